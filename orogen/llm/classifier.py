@@ -73,8 +73,9 @@ def raw_scores(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int,
     return bias + np.add.reduceat(value * linear[feature], runs) + ((sums * sums).sum(axis=1) - squares) / 2, sums
 
 
-def fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.1, decay: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic loss, AdaGrad, batches in a fixed random order."""
+def fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, least_epochs: int = 6, batch: int = 64, rate: float = 0.1, decay: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logistic loss, AdaGrad, batches in a fixed random order; few rows are seen more often, up to 80 times."""
+    epochs = max(least_epochs, min(80, 1500 * batch // max(1, len(label))))
     rng = np.random.default_rng(10)
     linear, pairs = np.zeros(FEATURES, np.float32), (rng.standard_normal((FEATURES, RANK)) * 0.02).astype(np.float32)
     seen_l, seen_p, bias, seen_b = np.full(FEATURES, 1e-2, np.float32), np.full((FEATURES, RANK), 1e-2, np.float32), 0.0, 1e-2

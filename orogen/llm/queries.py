@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, langid, rules, warc
+from . import classifier, decontamination, langid, ngrams, rules, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,22 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark, _table(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.scores(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(_table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -32,7 +44,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
+    "op3_decontamination": op3_decontamination,
+    "op4_lm_scoring": op4_lm_scoring,
     "op6_language_id": op6_language_id,
+    "op7_simhash": op7_simhash,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
@@ -46,4 +61,17 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id = response_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> response_id THEN response_id END AS refers_to
         FROM recs JOIN first USING (p)""",
+    "op4_lm_scoring": r"""
+        WITH cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM cut),
+        pairs AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM words),
+        one AS (SELECT w, count(*)::DOUBLE AS c FROM words GROUP BY w),
+        two AS (SELECT p, w, count(*)::DOUBLE AS c FROM pairs WHERE p IS NOT NULL GROUP BY p, w),
+        n AS (SELECT count(*)::DOUBLE AS n FROM words),
+        told AS (SELECT doc_id, pairs.p IS NOT NULL AND two.c < 2 AS backed,
+                        CASE WHEN two.c >= 2 THEN ln(two.c / before.c) WHEN pairs.p IS NULL THEN ln(one.c / n) ELSE ln(one.c / n) + ln(0.4) END AS s
+                 FROM pairs CROSS JOIN n JOIN one USING (w) LEFT JOIN two ON two.p = pairs.p AND two.w = pairs.w LEFT JOIN one AS before ON before.w = pairs.p),
+        sums AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (backed) AS n_backoffs, round(sum(s), 6) AS log_score FROM told GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backoffs, 0) AS n_backoffs, coalesce(log_score, 0.0) AS log_score, log_score / n_words AS mean_log_score
+        FROM documents LEFT JOIN sums USING (doc_id)""",
 }
