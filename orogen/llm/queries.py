@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontamination, langid, ngrams, pii, rules, sentencepieces, simhash, warc
+from . import classifier, decontamination, langid, ngrams, passages, pii, rules, sentencepieces, simhash, warc
 
 
 #: The model of op8_sentencepiece and of the pipeline; sentencepieces.load() takes any path.
@@ -50,6 +50,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encoded(_table(spark, sf_dir, "documents"), sentencepieces.load(PIECES))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
