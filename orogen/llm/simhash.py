@@ -39,7 +39,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(_fingerprints([text], words)[0])
 
 
-def _fingerprints(texts: list[bytes], words: int) -> np.ndarray:
+def _fingerprints(texts: list[bytes], words: int, seed: int = SEED) -> np.ndarray:
     hashes: list[int] = []
     sizes = np.zeros(len(texts), np.int64)
     digest = xxhash.xxh64_intdigest
@@ -52,7 +52,7 @@ def _fingerprints(texts: list[bytes], words: int) -> np.ndarray:
         n = max(1, len(found) - words + 1)
         starts = [0, *(ends[: n - 1].tolist())]
         stops = (ends[words - 1 :] - 1).tolist() if len(found) >= words else [len(line)]
-        hashes += [digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)]
+        hashes += [digest(line[a:b], seed) for a, b in zip(starts, stops, strict=True)]
         sizes[k] = n
     out = np.zeros(len(texts), np.uint64)
     some = np.flatnonzero(sizes)
@@ -98,26 +98,45 @@ def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def links(fps: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
-    """a, b: links that join exactly the fingerprints of fps(fp) (each once) that a chain of distances up to radius joins."""
+def _met(fps: DataFrame, radius: int, dense: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The entries that fingerprints ask for (segment, value, asks), those of the tables (segment, value, fp), and the buckets of
+    more than `dense` entries.
+
+    The ball of a segment's radius is shared by both sides: half of it around the one that asks, half around the entry.
+    """
     n = fps.count()
     # the fewer and longer the segments, the fewer fingerprints share a value; the more of them there are, the longer they must be
-    segments = 3 if n <= 1 << 24 else 2
-    cuts = _cuts(segments)
-    value = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in cuts]
-    table = fps.select("fp", F.posexplode(F.array(*value)).alias("segment", "value"))
-    sizes = table.groupBy("segment", "value").agg(F.count("*").alias("size"))
-    large = written(sizes.filter(F.col("size") > dense).select("segment", "value"), "simhash-dense")
-    asked = [F.array(*(F.struct(F.lit(k).alias("segment"), v.bitwiseXOR(F.lit(m).cast("long")).alias("value")) for m in _ball(w, radius // segments))) for k, (v, (_, w)) in enumerate(zip(value, cuts, strict=True))]
-    probes = fps.select(F.col("fp").alias("asks"), F.inline(F.concat(*asked)))
-    both = probes.join(table, ["segment", "value"]).filter("asks < fp")
+    cuts = _cuts(3 if n <= 1 << 22 else 2)
+    asking, stored = -(-(radius // len(cuts)) // 2), radius // len(cuts) // 2
+
+    def entries(ball: int) -> Column:
+        of = lambda k, a, w: F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1))
+        return F.array(*(F.struct(F.lit(k).alias("segment"), of(k, a, w).bitwiseXOR(F.lit(m).cast("long")).alias("value")) for k, (a, w) in enumerate(cuts) for m in _ball(w, ball)))
+
+    table = fps.select("fp", F.inline(entries(stored)))
+    probes = fps.select(F.col("fp").alias("asks"), F.inline(entries(asking)))
+    large = table.groupBy("segment", "value").agg(F.count("*").alias("size")).filter(F.col("size") > dense).select("segment", "value")
+    return probes, table, written(large, "simhash-dense")
+
+
+def _sparse(probes: DataFrame, table: DataFrame, large: DataFrame, radius: int) -> DataFrame:
+    """a, b: all pairs up to radius that meet in a bucket that is not large. Those of large ones are never made."""
+    if not large.isEmpty():
+        table = table.join(large, ["segment", "value"], "left_anti")
+    near = (probes["segment"] == table["segment"]) & (probes["value"] == table["value"]) & (F.col("asks") < F.col("fp")) & (_distance("asks", "fp") <= radius)
+    return probes.join(table, near).select(F.col("asks").alias("a"), F.col("fp").alias("b"))
+
+
+def links(fps: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
+    """a, b: links that join exactly the fingerprints of fps(fp) (each once) that a chain of distances up to radius joins."""
+    probes, table, large = _met(fps, radius, dense)
+    sparse = _sparse(probes, table, large, radius)
     if large.isEmpty():
-        return both.filter(_distance("asks", "fp") <= radius).select(F.col("asks").alias("a"), F.col("fp").alias("b"))
-    # the anti join goes first: pairs of a dense bucket are never made
-    sparse = probes.join(table.join(large, ["segment", "value"], "left_anti"), ["segment", "value"]).filter("asks < fp")
-    sparse = sparse.filter(_distance("asks", "fp") <= radius).select(F.col("asks").alias("a"), F.col("fp").alias("b"))
-    met = written(probes.join(large, ["segment", "value"], "left_semi").select(F.col("asks").alias("fp")).distinct(), "simhash-met")
-    return sparse.unionByName(midpoint_links(met, radius))
+        return sparse
+    met = probes.join(large, ["segment", "value"], "left_semi").select(F.col("asks").alias("fp"))
+    if radius // (3 if fps.count() <= 1 << 22 else 2) > 1:
+        met = met.unionByName(table.join(large, ["segment", "value"], "left_semi").select("fp"))
+    return sparse.unionByName(midpoint_links(written(met.distinct(), "simhash-met"), radius))
 
 
 def midpoint_links(fps: DataFrame, radius: int) -> DataFrame:
@@ -142,3 +161,95 @@ def grouped(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFr
     named = told.groupBy("root").agg(F.min("least").alias("component_id"))
     of = told.join(named, "root").select("fp", "component_id")
     return prints.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: The stage that drops near-duplicates: a link needs five-word shingles of this Jaccard similarity. Fingerprints of word pairs move
+#: less than those of longer shingles, so texts that similar nearly always lie within the wide radius under one of two seeds.
+SIMILARITY, SHINGLE, WIDE, WIDE_WORDS, WIDE_DENSE = 0.8, 5, 8, 2, 256
+
+
+def wide_links(fps: DataFrame, radius: int = WIDE, dense: int = WIDE_DENSE) -> DataFrame:
+    """a, b: candidates among fps(fp): all pairs up to radius, and in a dense bucket each fingerprint with the bucket's least."""
+    probes, table, large = _met(fps, radius, dense)
+    sparse = _sparse(probes, table, large, radius)
+    if large.isEmpty():
+        return sparse.distinct()
+    held = table.join(large, ["segment", "value"], "left_semi")
+    least = held.groupBy("segment", "value").agg(F.min("fp").alias("a"))
+    return sparse.unionByName(held.join(least, ["segment", "value"]).filter("fp <> a").select("a", F.col("fp").alias("b"))).distinct()
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, same (hash of the lower-cased words), f0 and f1 (fingerprints of word pairs under two seeds)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                text = [t.as_py() or b"" for t in part.column("text").cast(pa.binary())]
+                same = [xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in text]
+                prints = [_fingerprints(text, WIDE_WORDS, seed) for seed in (SEED, SEED + 1)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (same, *prints))], names=["doc_id", "same", "f0", "f1"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same long, f0 long, f1 long")
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, shingles (sorted 4-byte hashes, packed) of the documents in wanted(doc_id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t in batch.column("text").cast(pa.binary()):
+                w = (t.as_py() or b"").lower().split()
+                out.append(np.array(sorted({xxhash.xxh32_intdigest(b" ".join(w[k : k + SHINGLE])) for k in range(max(1, len(w) - SHINGLE + 1))}), np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "shingles"])
+
+    return docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar enough."""
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                p, q = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(shared >= least * (len(p) + len(q) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs without near-duplicates: of a group of texts linked by similarity the one with the smallest doc_id stays.
+
+    Texts with the same words are one class; classes meet by their fingerprints, one representative for each fingerprint, and a
+    candidate counts if its shingles are similar. Rows with a null doc_id stay; of several rows with the smallest doc_id of a group
+    one stays.
+    """
+    named = docs.filter("doc_id is not null")
+    texts = written(_texts(named.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "dedup-texts")
+    classes = written(texts.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("f0").alias("f0"), F.first("f1").alias("f1")), "dedup-classes")
+    pairs = []
+    for f in ("f0", "f1"):
+        leads = written(classes.groupBy(F.col(f).alias("fp")).agg(F.min("rep").alias("lead"), F.max("rep").alias("top")), "dedup-leads")
+        equal = classes.join(leads.filter("lead < top"), classes[f] == leads["fp"]).filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+        near = wide_links(leads.select("fp"))
+        ends = [leads.select(F.col("fp").alias(x), F.col("lead").alias(f"lead_{x}")) for x in "ab"]
+        pairs += [equal, near.join(ends[0], "a").join(ends[1], "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))]
+    found = pairs[0]
+    for more in pairs[1:]:
+        found = found.unionByName(more)
+    found = written(found.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "dedup-pairs")
+    wanted = found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id"))).distinct()
+    sets = written(_shingle_sets(named, wanted).groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "dedup-shingles")
+    roots = components(written(_similar(found, sets, similarity), "dedup-links"))
+    # a class goes if it is linked with a smaller one; of a class only its representative stays
+    gone = texts.join(classes.select("same", "rep"), "same").filter("doc_id <> rep").select("doc_id")
+    gone = gone.unionByName(roots.filter("node <> root").select(F.col("node").alias("doc_id"))).distinct()
+    kept = named.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
