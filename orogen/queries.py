@@ -1,7 +1,368 @@
-"""The queries of the field engine and their SQL."""
+"""The queries of the field engine and their SQL, over the driver's tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import kernels as K
+from .functions import orientation as O
+from .operators import evaluation, fitting, grouping, spatial
+from .parameters import CONTINUOUS, LAJAUNIE, SINGLE_SURFACE, VECTOR, Parameters
+from .sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "field_single_surface"
+#: The shape parameter of the kernel queries.
+SHAPE = 2.0
+
+
+def query(sql: str = ""):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _r(c: Column | str, digits: int = 6) -> Column:
+    """Rounded; + 0.0 makes -0.0 a zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + 0.0
+
+
+_POINTS = "points AS (SELECT label::BIGINT AS model_id, vec_id AS idx, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
+_INTERFACES = f"{_POINTS}, interfaces AS (SELECT model_id, idx AS constraint_id, x, y, z, idx % 5 * 10.0::DOUBLE AS level FROM points)"
+_ORIENTATIONS = (
+    "orientations AS (SELECT s_suppkey % 10 AS model_id, s_suppkey AS constraint_id, s_suppkey % 17 / 4.0::DOUBLE AS x, s_suppkey % 23 / 5.0::DOUBLE AS y, s_suppkey % 29 / 6.0::DOUBLE AS z, "
+    "(s_suppkey * 37 % 360)::DOUBLE AS strike, (s_suppkey * 13 % 90)::DOUBLE AS dip, (s_suppkey % 2)::INT AS polarity FROM supplier)"
+)
+_NORMALS = f"""{_ORIENTATIONS},
+    v AS (SELECT *, cos(radians(-strike)) * cos(radians(-dip)) AS vx, sin(radians(-strike)) * cos(radians(-dip)) AS vy, sin(radians(-dip)) AS vz FROM orientations),
+    p AS (SELECT *, -vz * vx AS ax, -vz * vy AS ay, vx * vx + vy * vy AS az FROM v),
+    s AS (SELECT *, CASE WHEN polarity = 1 AND az > 0 OR polarity = 0 AND az < 0 THEN -1 ELSE 1 END / sqrt(ax * ax + ay * ay + az * az) AS f FROM p),
+    normals AS (SELECT model_id, constraint_id, x, y, z, ax * f AS nx, ay * f AS ny, az * f AS nz FROM s)"""
+_PAIRS = f"{_POINTS}, pairs AS (SELECT a.model_id, a.idx AS a, b.idx AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM points a JOIN points b USING (model_id))"
+
+
+# --- sources and sinks
+
+
+@query(f"WITH {_INTERFACES} SELECT model_id, 'interface' AS category, constraint_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, level FROM interfaces")
+def source_interfaces(spark, sf):
+    return tables.interfaces(spark, sf).select("model_id", "category", "constraint_id", _r("x").alias("x"), _r("y").alias("y"), _r("z").alias("z"), "level")
+
+
+@query(f"WITH {_NORMALS} SELECT model_id, constraint_id, x, y, z, round(nx, 6) + 0.0 AS vx, round(ny, 6) + 0.0 AS vy, round(nz, 6) + 0.0 AS vz FROM normals")
+def source_planars(spark, sf):
+    return tables.planars(spark, sf).select("model_id", "constraint_id", "x", "y", "z", *(_r(v).alias(v) for v in ("vx", "vy", "vz")))
+
+
+@query(f"WITH {_INTERFACES} SELECT count(*) AS rows, 0::BIGINT AS refused FROM interfaces")
+def source_refused_rows(spark, sf):
+    found = tables.interfaces(spark, sf)
+    return found.agg(F.count("*").alias("rows")).join(tables.refused(found).agg(F.count("*").alias("refused")), F.lit(True))
+
+
+# --- orientation
+
+
+@query("""
+    WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings),
+    n AS (SELECT vec_id, a / sqrt(a * a + b * b + c * c) AS nx, b / sqrt(a * a + b * b + c * c) AS ny, c / sqrt(a * a + b * b + c * c) AS nz FROM e),
+    t AS (SELECT *, degrees(atan2(ny, nx)) AS dd FROM n)
+    SELECT vec_id, round(degrees(acos(nz)), 6) + 0.0 AS dip, round(360.0 - CASE WHEN dd < 0 THEN dd + 360.0 ELSE dd END, 6) + 0.0 AS strike, CASE WHEN nz < 0 THEN 1 ELSE 0 END AS polarity, NULL::VARCHAR AS error FROM t""")
+def planar_from_normal(spark, sf):
+    e = [F.col("embedding")[k].cast("double") for k in range(3)]
+    size = F.sqrt(e[0] * e[0] + e[1] * e[1] + e[2] * e[2])
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", *((v / size).alias(c) for v, c in zip(e, ("nx", "ny", "nz"), strict=True)))
+    return n.select("vec_id", _r(O.dip_of_normal(F.col("nz"))).alias("dip"), _r(O.strike_of_normal(F.col("nx"), F.col("ny"))).alias("strike"), O.polarity_of_normal(F.col("nz")).alias("polarity"), O.normal_error(F.col("nx"), F.col("ny"), F.col("nz")).alias("error"))
+
+
+@query(f"""WITH {_ORIENTATIONS}, s AS (SELECT constraint_id, dip, polarity, CASE WHEN strike >= 90 THEN strike - 90 ELSE strike + 270 END AS strike FROM orientations)
+    SELECT constraint_id, strike FROM s""")
+def planar_from_azimuth(spark, sf):
+    return tables.orientations(spark, sf).select("constraint_id", O.strike_of_azimuth(F.col("strike")).alias("strike"))
+
+
+@query(f"""WITH {_ORIENTATIONS} SELECT constraint_id, round(cos(radians(-strike)) * cos(radians(-dip)), 6) + 0.0 AS dip_x, round(sin(radians(-strike)) * cos(radians(-dip)), 6) + 0.0 AS dip_y,
+    round(sin(radians(-dip)), 6) + 0.0 AS dip_z, round(-sin(radians(-strike)), 6) + 0.0 AS strike_x, round(cos(radians(-strike)), 6) + 0.0 AS strike_y FROM orientations""")
+def planar_vectors(spark, sf):
+    found = tables.orientations(spark, sf).select("constraint_id", O.dip_vector(F.col("strike"), F.col("dip")).alias("d"), O.strike_vector(F.col("strike")).alias("s"))
+    return found.select("constraint_id", *(_r(f"d.{k}").alias(f"dip_{k}") for k in "xyz"), *(_r(f"s.{k}").alias(f"strike_{k}") for k in "xy"))
+
+
+@query(f"""WITH {_ORIENTATIONS}, c AS (SELECT constraint_id, radians(strike + 10) AS a, radians(10 - strike) AS b, radians(dip + 5) AS u, radians(5 - dip) AS w FROM orientations)
+    SELECT constraint_id,
+    round(least(cos(a) * sin(u), -cos(b) * sin(w), -cos(a) * sin(w), cos(b) * sin(u)), 6) + 0.0 AS x_lo, round(greatest(cos(a) * sin(u), -cos(b) * sin(w), -cos(a) * sin(w), cos(b) * sin(u)), 6) + 0.0 AS x_hi,
+    round(least(-sin(a) * sin(u), -sin(b) * sin(w), sin(a) * sin(w), sin(b) * sin(u)), 6) + 0.0 AS y_lo, round(greatest(-sin(a) * sin(u), -sin(b) * sin(w), sin(a) * sin(w), sin(b) * sin(u)), 6) + 0.0 AS y_hi,
+    round(least(cos(u), cos(w)), 6) + 0.0 AS z_lo, round(greatest(cos(u), cos(w)), 6) + 0.0 AS z_hi FROM c""")
+def planar_normal_bounds(spark, sf):
+    found = tables.orientations(spark, sf).select("constraint_id", O.normal_bounds(F.col("strike"), F.col("dip"), F.lit(10.0), F.lit(5.0)).alias("b")).select("constraint_id", "b.*")
+    return found.select("constraint_id", *(_r(f"{k}_{s}").alias(f"{k}_{s}") for k in "xyz" for s in ("lo", "hi")))
+
+
+@query(f"""WITH {_ORIENTATIONS} SELECT constraint_id, -dip AS level_lo, dip AS level_hi, round(least(2 * cos(radians(90 - (dip - 45))), 0), 6) + 0.0 AS angle_lo,
+    round(greatest(2 * cos(radians(90 - (dip - 45))), 0), 6) + 0.0 AS angle_hi FROM orientations""")
+def uncertainty_bounds(spark, sf):
+    found = tables.orientations(spark, sf).select("constraint_id", O.level_bounds(F.col("dip")).alias("l"), O.angle_bounds(F.col("dip") - 45.0).alias("a"))
+    return found.select("constraint_id", F.col("l.lo").alias("level_lo"), F.col("l.hi").alias("level_hi"), _r("a.lo").alias("angle_lo"), _r("a.hi").alias("angle_hi"))
+
+
+# --- cleaning and grouping
+
+
+@query("""
+    WITH RECURSIVE rows AS (SELECT p_size::BIGINT AS model_id, p_partkey AS constraint_id, p_partkey % 40 * 0.0004 AS x, 0.0 AS y, 0.0 AS z FROM part),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY x, y, z, constraint_id) AS n FROM rows),
+    fold AS (SELECT model_id, constraint_id, n, x AS last, true AS kept FROM ordered WHERE n = 1
+        UNION ALL SELECT o.model_id, o.constraint_id, o.n, CASE WHEN abs(o.x - f.last) < 1e-3 THEN f.last ELSE o.x END, NOT abs(o.x - f.last) < 1e-3 FROM fold f JOIN ordered o ON o.model_id = f.model_id AND o.n = f.n + 1)
+    SELECT model_id, constraint_id FROM fold WHERE kept""")
+def clean_collocated(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    rows = part.select(F.col("p_size").cast("long").alias("model_id"), F.lit("interface").alias("category"), F.col("p_partkey").alias("constraint_id"), (F.col("p_partkey") % 40 * 0.0004).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return grouping.remove_collocated(rows).select("model_id", "constraint_id")
+
+
+@query(f"WITH {_INTERFACES} SELECT model_id, level, min(constraint_id) AS reference, count(*) AS n, string_agg(constraint_id::VARCHAR, ',' ORDER BY constraint_id) AS members FROM interfaces GROUP BY model_id, level")
+def group_levels(spark, sf):
+    return grouping.levels(tables.interfaces(spark, sf)).select("model_id", "level", "reference", "n", F.array_join("members", ",").alias("members"))
+
+
+@query(f"WITH {_INTERFACES}, g AS (SELECT model_id, level, count(*) AS n FROM interfaces GROUP BY model_id, level) SELECT model_id, sum(n - 1)::BIGINT AS increments, greatest(count(*) - 1, 0) AS sequenced FROM g GROUP BY model_id")
+def group_pair_counts(spark, sf):
+    return grouping.pair_counts(tables.interfaces(spark, sf))
+
+
+@query(f"WITH {_INTERFACES}, g AS (SELECT model_id, level, min(constraint_id) AS reference FROM interfaces GROUP BY model_id, level) SELECT model_id, level, reference, constraint_id AS member FROM interfaces JOIN g USING (model_id, level) WHERE constraint_id <> reference")
+def group_increments(spark, sf):
+    return grouping.increments(tables.interfaces(spark, sf))
+
+
+@query(f"""WITH {_INTERFACES}, g AS (SELECT model_id, level, min(constraint_id) AS reference FROM interfaces GROUP BY model_id, level),
+    l AS (SELECT model_id, reference AS above, level, lead(reference) OVER w AS below, lead(level) OVER w AS level_below FROM g WINDOW w AS (PARTITION BY model_id ORDER BY level DESC))
+    SELECT model_id, above, below, level, level_below FROM l WHERE below IS NOT NULL""")
+def group_sequenced(spark, sf):
+    return grouping.sequenced(tables.interfaces(spark, sf))
+
+
+def _inequalities(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return spark.read.parquet(f"{sf}/part.parquet").select((k % 10).alias("model_id"), k.alias("constraint_id"), (k % 60 - 5.0).alias("level"))
+
+
+_INEQUALITIES = "inequalities AS (SELECT p_partkey % 10 AS model_id, p_partkey AS constraint_id, p_partkey % 60 - 5.0::DOUBLE AS level FROM part)"
+
+
+@query(f"""WITH {_INTERFACES}, {_INEQUALITIES}, g AS (SELECT model_id, level, min(constraint_id) AS reference FROM interfaces GROUP BY model_id, level)
+    SELECT q.model_id, q.constraint_id, arg_min(g.reference, g.level) FILTER (g.level > q.level) AS above, arg_max(g.reference, g.level) FILTER (g.level < q.level) AS below
+    FROM inequalities q JOIN g USING (model_id) GROUP BY q.model_id, q.constraint_id""")
+def group_lithology(spark, sf):
+    return grouping.lithology(_inequalities(spark, sf), tables.interfaces(spark, sf))
+
+
+@query(f"WITH {_INTERFACES}, {_INEQUALITIES} SELECT model_id, constraint_id FROM inequalities q WHERE EXISTS (SELECT 1 FROM interfaces i WHERE i.model_id = q.model_id AND i.level = q.level)")
+def group_level_conflicts(spark, sf):
+    return grouping.levels_in_both(_inequalities(spark, sf), tables.interfaces(spark, sf)).select("model_id", "constraint_id")
+
+
+@query(f"WITH {_INEQUALITIES} SELECT DISTINCT model_id, level FROM inequalities")
+def group_inequality_levels(spark, sf):
+    return grouping.inequality_levels(_inequalities(spark, sf))
+
+
+# --- spatial
+
+
+@query(f"WITH {_PAIRS} SELECT model_id, a AS idx, arg_min(b, (d, b)) AS nearest, round(min(d), 6) AS distance FROM pairs WHERE d <> 0 GROUP BY model_id, a")
+def spatial_nearest(spark, sf):
+    p = tables.points(spark, sf)
+    return spatial.nearest(p, p).withColumn("distance", _r("distance"))
+
+
+@query(f"WITH {_PAIRS} SELECT model_id, a AS idx, b AS near, round(d, 6) AS d, row_number() OVER (PARTITION BY model_id, a ORDER BY d, b)::INT AS rank FROM pairs WHERE d <> 0 QUALIFY rank <= 4")
+def spatial_nearest_k(spark, sf):
+    p = tables.points(spark, sf)
+    return spatial.nearest_k(p, p, 4).withColumn("d", _r("d"))
+
+
+@query(f"WITH {_PAIRS} SELECT model_id, a AS idx, arg_min(b, (-d, b)) AS farthest, round(max(d), 6) AS distance FROM pairs GROUP BY model_id, a")
+def spatial_farthest(spark, sf):
+    p = tables.points(spark, sf)
+    return spatial.farthest(p, p).withColumn("distance", _r("distance"))
+
+
+@query(f"WITH {_PAIRS} SELECT model_id, arg_min(a, (-d, a)) AS idx, round(max(d), 6) AS distance FROM pairs WHERE a % 3 = 0 AND b % 3 = 1 GROUP BY model_id")
+def spatial_farthest_from_set(spark, sf):
+    p = tables.points(spark, sf)
+    return spatial.farthest_from_other_set(p.filter("idx % 3 = 0"), p.filter("idx % 3 = 1")).withColumn("distance", _r("distance"))
+
+
+@query(f"WITH {_PAIRS} SELECT model_id, arg_min(a, (-d, a, b)) AS i, arg_min(b, (-d, a, b)) AS j, round(max(d), 6) AS distance FROM pairs GROUP BY model_id")
+def spatial_farthest_pair(spark, sf):
+    return spatial.farthest_pair(tables.points(spark, sf)).withColumn("distance", _r("distance"))
+
+
+@query(f"WITH {_PAIRS} SELECT model_id, a AS idx, arg_min(b, (abs(d - 0.3), b)) AS closest, round(min(abs(d - 0.3)), 6) AS gap FROM pairs GROUP BY model_id, a")
+def spatial_closest_to_distance(spark, sf):
+    p = tables.points(spark, sf)
+    return spatial.closest_to_distance(p, p, 0.3).withColumn("gap", _r("gap"))
+
+
+@query(f"WITH {_PAIRS}, n AS (SELECT model_id, a, min(d) AS d FROM pairs WHERE a <> b GROUP BY model_id, a), b AS (SELECT model_id, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(z) AS z_min, max(z) AS z_max FROM points GROUP BY model_id) SELECT b.*, round(coalesce(r.d, 0) / 2, 6) AS resolution FROM b LEFT JOIN (SELECT model_id, avg(d) AS d FROM n GROUP BY model_id) r USING (model_id)")
+def spatial_metrics(spark, sf):
+    return spatial.metrics(tables.points(spark, sf)).withColumn("resolution", _r("resolution"))
+
+
+@query(f"""WITH {_POINTS}, r AS (SELECT model_id, unnest(['x', 'y', 'z']) AS axis, unnest([max(x) - min(x), max(y) - min(y), max(z) - min(z)]) AS range FROM points GROUP BY model_id)
+    SELECT model_id, string_agg(axis, '' ORDER BY range DESC, axis DESC) AS axes FROM r GROUP BY model_id""")
+def spatial_axis_order(spark, sf):
+    return spatial.axis_order(tables.points(spark, sf)).select("model_id", F.array_join("axes", "").alias("axes"))
+
+
+@query()
+def spatial_extremal_points(spark, sf):
+    return spatial.extremal_points(tables.points(spark, sf))
+
+
+@query(f"WITH {_PAIRS} SELECT model_id, round(max(d), 6) AS distance FROM pairs GROUP BY model_id")
+def spatial_largest_distance(spark, sf):
+    return spatial.largest_distance(tables.points(spark, sf)).withColumn("distance", _r("distance"))
+
+
+# --- kernels and polynomials
+
+
+def _kernel_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.pairs(tables.points(spark, sf).filter("idx % 7 = 0"), tables.points(spark, sf).filter("idx % 5 = 0"))
+
+
+_KERNEL_PAIRS = f"{_POINTS}, k AS (SELECT a.model_id, a.idx AS a, b.idx AS b, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS r FROM points a JOIN points b USING (model_id) WHERE a.idx % 7 = 0 AND b.idx % 5 = 0), q AS (SELECT *, 2.0 + r * r AS q, exp(-4.0 * r * r) AS e, exp(-2.0 * r) AS m, ln(CASE WHEN r > 0 THEN r ELSE 1 END) AS l FROM k)"
+_VALUES = {"cubic": "r * r * r", "gaussian": "e", "multiquadric": "sqrt(q)", "multiquadric_cubic": "q * sqrt(q)", "inverse_multiquadric": "1 / sqrt(q)", "thin_plate": "r * r * r * r * l", "linear": "r", "wendland": "CASE WHEN r > 2 THEN 0 ELSE pow(1 - r / 2, 4) * (1 + 2 * r) END", "matern": "m * (3 + 6 * r + 4 * r * r)"}
+_SLOPES = {"cubic": "3 * r", "gaussian": "-8 * e", "multiquadric": "1 / sqrt(q)", "multiquadric_cubic": "3 * sqrt(q)", "inverse_multiquadric": "-1 / (q * sqrt(q))", "thin_plate": "r * r + 4 * r * r * l", "wendland": "CASE WHEN r > 2 THEN 0 ELSE 20 * pow(r - 2, 3) / 32 END", "matern": "-4 * m * (1 + 2 * r)"}
+#: H_xx and H_xy at r > 0.
+_SECONDS = {
+    "cubic": ("-3 * (dx * dx / r + r)", "-3 * dx * dy / r"), "gaussian": ("(8 - 64 * dx * dx) * e", "-64 * dx * dy * e"), "multiquadric": ("dx * dx / pow(q, 1.5) - 1 / sqrt(q)", "dx * dy / pow(q, 1.5)"),
+    "multiquadric_cubic": ("-3 * dx * dx / sqrt(q) - 3 * sqrt(q)", "-3 * dx * dy / sqrt(q)"), "inverse_multiquadric": ("-3 * dx * dx / pow(q, 2.5) + 1 / pow(q, 1.5)", "-3 * dx * dy / pow(q, 2.5)"),
+    "thin_plate": ("-7 * dx * dx - dy * dy - dz * dz - 8 * dx * dx * l - 4 * r * r * l", "-6 * dx * dy - 8 * dx * dy * l"),
+    "wendland": ("CASE WHEN r > 2 THEN 0 ELSE -20 / (32 * r * r) * (2 - r) * (2 - r) * (-2 * r * r + r * (4 * dx * dx + dy * dy + dz * dz)) END", "CASE WHEN r > 2 THEN 0 ELSE -60 * dx * dy * (2 - r) * (2 - r) / (32 * r) END"),
+    "matern": ("m * (4 + 8 * r - 16 * dx * dx)", "-16 * dx * dy * m"),
+}
+_NAMES = dict(zip(_VALUES, (K.CUBIC, K.GAUSSIAN, K.MULTIQUADRIC, K.MULTIQUADRIC_CUBIC, K.INVERSE_MULTIQUADRIC, K.THIN_PLATE, K.LINEAR, K.WENDLAND, K.MATERN), strict=True))
+
+
+@query(f"WITH {_KERNEL_PAIRS} SELECT model_id, a, b, {', '.join(f'round({v}, 6) + 0.0 AS {n}' for n, v in _VALUES.items())} FROM q")
+def kernel_values(spark, sf):
+    p = K.pair("a", "b")
+    return _kernel_pairs(spark, sf).select("model_id", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), *(_r(K.value(k, p, SHAPE)).alias(n) for n, k in _NAMES.items()))
+
+
+@query(f"WITH {_KERNEL_PAIRS} SELECT model_id, a, b, {', '.join(f'round(({v}) * d{k}, 6) + 0.0 AS {n}_{k}' for n, v in _SLOPES.items() for k in 'xyz')} FROM q")
+def kernel_gradients(spark, sf):
+    p = K.pair("a", "b")
+    return _kernel_pairs(spark, sf).select("model_id", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), *(_r(g).alias(f"{n}_{k}") for n in _SLOPES for k, g in zip("xyz", K.gradient(_NAMES[n], p, SHAPE), strict=True)))
+
+
+@query(f"WITH {_KERNEL_PAIRS} SELECT model_id, a, b, {', '.join(f'round({v}, 6) + 0.0 AS {n}_{s}' for n, both in _SECONDS.items() for s, v in zip(('xx', 'xy'), both))} FROM q WHERE r > 0")
+def kernel_second_derivatives(spark, sf):
+    p = K.pair("a", "b")
+    return _kernel_pairs(spark, sf).filter("d > 0").select("model_id", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), *(_r(K.second(_NAMES[n], p, SHAPE, 0, j)).alias(f"{n}_{s}") for n in _SECONDS for j, s in enumerate(("xx", "xy"))))
+
+
+@query(f"WITH {_POINTS} SELECT model_id, idx, round(x * x, 6) + 0.0 AS t0, round(y * y, 6) + 0.0 AS t1, round(z * z, 6) + 0.0 AS t2, round(x * y, 6) + 0.0 AS t3, round(x * z, 6) + 0.0 AS t4, round(y * z, 6) + 0.0 AS t5, round(x, 6) + 0.0 AS t6, round(y, 6) + 0.0 AS t7, round(z, 6) + 0.0 AS t8, 1.0::DOUBLE AS t9 FROM points")
+def polynomial_terms(spark, sf):
+    return tables.points(spark, sf).select("model_id", "idx", *(_r(t).alias(f"t{k}") for k, t in enumerate(K.polynomial(2, F.col("x"), F.col("y"), F.col("z")))))
+
+
+@query(f"WITH {_POINTS}, i AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY x, y, z, idx) - 1 AS n FROM points) SELECT a.model_id, a.n AS row, b.n AS col, round(pow(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 3), 6) AS value FROM i a JOIN i b USING (model_id)")
+def assembled_matrix(spark, sf):
+    """The kernel block of the continuous models as (row, col, value), by an equi-join of each model's functionals."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("model_id").orderBy("x", "y", "z", "idx")) - 1
+    dofs = tables.points(spark, sf).withColumn("n", n.cast("long")).withColumn("idx", F.col("n")).drop("n")
+    return spatial.pairs(dofs, dofs).select("model_id", F.col("a.idx").alias("row"), F.col("b.idx").alias("col"), _r(K.value(K.CUBIC, K.pair("a", "b"), 1.0)).alias("value"))
+
+
+# --- fits and fields
+
+
+def _quadratic(x: Column, y: Column, z: Column) -> Column:
+    return x * x + 2 * y * y + 3 * z * z + 4 * x * y + 5 * x * z + 6 * y * z + 7 * x + 8 * y + 9 * z + 10
+
+
+_QUADRATIC = "x * x + 2 * y * y + 3 * z * z + 4 * x * y + 5 * x * z + 6 * y * z + 7 * x + 8 * y + 9 * z + 10"
+
+
+@query(f"WITH {_POINTS} SELECT 0::BIGINT AS model_id, idx AS query_id, round({_QUADRATIC}, 5) + 0.0 AS value FROM points WHERE idx >= 60")
+def field_single_surface(spark, sf):
+    """Sites on a quadratic: the order-2 polynomial reproduces it everywhere else."""
+    p = tables.points(spark, sf).withColumn("model_id", F.lit(0).cast("long"))
+    site = p.filter("idx < 60").select("model_id", F.col("idx").alias("constraint_id"), "x", "y", "z", _quadratic(F.col("x"), F.col("y"), F.col("z")).alias("level"))
+    models = fitting.fit(tables.constraints_of(site, "interface"), Parameters(SINGLE_SURFACE, polynomial_order=2))
+    found = evaluation.evaluate(models, p.filter("idx >= 60").withColumnRenamed("idx", "query_id"))
+    return found.withColumn("value", _r("value", 5))
+
+
+_TWO = "sites AS (SELECT p_partkey // 2 AS model_id, p_partkey % 2 AS side, p_partkey % 13 / 3.0 AS x, p_partkey % 7 / 2.0 AS y, p_partkey % 5 * 1.0 AS z, p_size::DOUBLE AS level FROM part), two AS (SELECT a.model_id, a.x AS ax, a.y AS ay, a.z AS az, a.level AS al, b.x AS bx, b.y AS by_, b.z AS bz, b.level AS bl, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS r FROM sites a JOIN sites b ON a.model_id = b.model_id AND a.side = 0 AND b.side = 1)"
+
+
+@query(f"""WITH {_TWO}, k AS (SELECT *, exp(-r * r) AS k FROM two), w AS (SELECT *, (al - k * bl) / (1 - k * k) AS w1, (bl - k * al) / (1 - k * k) AS w2 FROM k)
+    SELECT model_id, model_id AS query_id, round(w1 * exp(-((1 - ax) * (1 - ax) + (0.5 - ay) * (0.5 - ay) + (2 - az) * (2 - az))) + w2 * exp(-((1 - bx) * (1 - bx) + (0.5 - by_) * (0.5 - by_) + (2 - bz) * (2 - bz))), 6) + 0.0 AS value FROM w""")
+def field_continuous_two_sites(spark, sf):
+    """A model for each two parts: many small fits, the field at one point by the closed form."""
+    k = F.col("p_partkey")
+    site = spark.read.parquet(f"{sf}/part.parquet").select(F.floor(k / 2).alias("model_id"), (k % 2).alias("constraint_id"), (k % 13 / 3.0).alias("x"), (k % 7 / 2.0).alias("y"), (k % 5 * 1.0).alias("z"), F.col("p_size").cast("double").alias("level"))
+    two = site.join(site.groupBy("model_id").agg(F.count("*").alias("n")).filter("n = 2").select("model_id"), "model_id")
+    models = fitting.fit(tables.constraints_of(two, "interface"), Parameters(CONTINUOUS, K.GAUSSIAN, shape=1.0))
+    at = two.filter("constraint_id = 0").select("model_id", F.col("model_id").alias("query_id"), F.lit(1.0).alias("x"), F.lit(0.5).alias("y"), F.lit(2.0).alias("z"))
+    return evaluation.evaluate(models, at).withColumn("value", _r("value"))
+
+
+@query(f"WITH {_NORMALS}, g AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY constraint_id) AS n FROM normals) SELECT model_id, constraint_id AS query_id, round(nx, 5) + 0.0 AS gx, round(ny, 5) + 0.0 AS gy, round(nz, 5) + 0.0 AS gz FROM g WHERE n <= 12")
+def field_vector(spark, sf):
+    """The gradient at a model's own planars is their normal."""
+    from pyspark.sql import Window
+
+    p = tables.planars(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("model_id").orderBy("constraint_id"))).filter("n <= 12").drop("n")
+    models = fitting.fit(p, Parameters(VECTOR, K.GAUSSIAN, shape=0.5))
+    found = evaluation.evaluate(models, p.withColumnRenamed("constraint_id", "query_id"), gradient=True)
+    return found.select("model_id", "query_id", *(_r(c, 5).alias(c) for c in ("gx", "gy", "gz")))
+
+
+@query(f"""WITH {_INTERFACES}, {_NORMALS}, few AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY constraint_id) AS n FROM interfaces),
+    own AS (SELECT model_id, level, constraint_id FROM few WHERE n <= 20), g AS (SELECT model_id, level, min(constraint_id) AS reference FROM own GROUP BY model_id, level)
+    SELECT model_id, constraint_id AS member, 0.0::DOUBLE AS increment FROM own JOIN g USING (model_id, level) WHERE constraint_id <> reference""")
+def field_lajaunie(spark, sf):
+    """The members of a level have the value of its reference: the increments are 0."""
+    from pyspark.sql import Window
+
+    first = lambda df, n: df.withColumn("n", F.row_number().over(Window.partitionBy("model_id").orderBy("constraint_id"))).filter(F.col("n") <= n).drop("n")
+    own = first(tables.interfaces(spark, sf), 20)
+    models = fitting.fit(own.unionByName(first(tables.planars(spark, sf), 3)), Parameters(LAJAUNIE))
+    found = evaluation.evaluate(models, own.withColumnRenamed("constraint_id", "query_id")).select("model_id", "query_id", "value")
+    pairs = grouping.increments(own)
+    a, b = (found.select("model_id", F.col("query_id").alias(c), F.col("value").alias(f"v_{c}")) for c in ("reference", "member"))
+    return pairs.join(a, ["model_id", "reference"]).join(b, ["model_id", "member"]).select("model_id", "member", _r(F.col("v_reference") - F.col("v_member"), 4).alias("increment"))
+
+
+@query("SELECT 0::BIGINT AS model_id, l_orderkey * 8 + l_linenumber AS query_id, round(l_quantity / 10.0 * 3 + l_discount * 5 - l_tax + 2, 5) + 0.0 AS value FROM lineitem")
+def field_over_lineitem(spark, sf):
+    """One small model over the largest table: a stateless map of its rows. The sites lie on a plane, which order 1 reproduces."""
+    grid = [(i, float(x), float(y), float(z), 3.0 * x + 5.0 * y - z + 2.0) for i, (x, y, z) in enumerate((x, y, z) for x in (0, 2, 5) for y in (0.0, 0.06, 0.1) for z in (0.0, 0.04, 0.08))]
+    site = spark.createDataFrame([(0, *g) for g in grid], "model_id long, constraint_id long, x double, y double, z double, level double")
+    models = fitting.fit(tables.constraints_of(site, "interface"), Parameters(SINGLE_SURFACE, polynomial_order=1))
+    at = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.lit(0).cast("long").alias("model_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("query_id"), (F.col("l_quantity") / 10.0).cast("double").alias("x"), F.col("l_discount").cast("double").alias("y"), F.col("l_tax").cast("double").alias("z"))
+    return evaluation.evaluate(models, at).withColumn("value", _r("value", 5))
+
+
+@query(f"WITH {_INTERFACES}, g AS (SELECT model_id, level, count(*) AS n FROM interfaces GROUP BY model_id, level), s AS (SELECT model_id, sum(n)::BIGINT AS points, sum(n - 1)::BIGINT AS increments FROM g GROUP BY model_id) SELECT model_id, (points + 4)::INT AS single_surface, (increments + 3)::INT AS lajaunie, points::INT AS continuous FROM s")
+def layout_sizes(spark, sf):
+    """Unknowns of each model kind for the interfaces, by their counts; clean and grouped with DataFrame operators."""
+    found = fitting.cleaned(tables.interfaces(spark, sf))
+    counts = grouping.levels(found).groupBy("model_id").agg(F.sum("n").alias("points"), F.sum(F.col("n") - 1).alias("increments"))
+    return counts.select("model_id", (F.col("points") + 4).cast("int").alias("single_surface"), (F.col("increments") + 3).cast("int").alias("lajaunie"), F.col("points").cast("int").alias("continuous"))
