@@ -18,7 +18,7 @@ gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -85,7 +85,7 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, rank int, score double")
 
 
-def units(text: str) -> list[str]:
+def units(text: str | None) -> list[str]:
     return _UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
@@ -137,11 +137,14 @@ def lattice(found: DataFrame, model: Model) -> DataFrame:
     least = 1 if model.kind == "unigram" else 2
     none = found.sparkSession.createDataFrame([("", 0, (1 << 24) - 1, 0.0)], "piece string, id int, rank int, score double")
     table = piece_table(found.sparkSession, model).filter(F.length("piece") >= least).unionByName(none)
-    n, kind = F.length("unit"), "array<struct<start:int,size:int,piece:string>>"
-    starts = F.when(n >= least, F.sequence(F.lit(0), n - least))
-    spans = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(least), F.least(n - s, F.lit(model.longest))), lambda k: F.struct(s.alias("start"), k.alias("size"), F.substring("unit", s + 1, k).alias("piece")))))
-    empty = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit("").alias("piece")))
-    exploded = found.select("unit", F.inline(F.concat(empty.cast(kind), F.coalesce(spans.cast(kind), F.array().cast(kind)))))
+    n = F.length("unit")
+    # units too long for the fold's state get the edge of length 0 alone; two plain sequences stay in generated code
+    longest = F.when(n <= _BITS, n).otherwise(0)
+    starts = found.select("unit", F.explode(F.sequence(F.lit(0), F.greatest(longest - least, F.lit(0)))).alias("start"))
+    room = F.least(F.when(n <= _BITS, n).otherwise(0) - F.col("start"), F.lit(model.longest))
+    sizes = F.when(room >= least, F.sequence(F.lit(least), room)).otherwise(F.array().cast("array<int>"))
+    sized = starts.select("unit", "start", F.explode(F.when(F.col("start") == 0, F.concat(F.array(F.lit(0)), sizes)).otherwise(sizes)).alias("size"))
+    exploded = sized.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("size")))
     edge = F.shiftleft(F.col("rank").cast("long"), 36) + F.shiftleft((F.col("start") + F.col("size")).cast("long"), 30) + F.shiftleft((F.lit(63) - F.col("start")).cast("long"), 24) + F.col("id")
     edges = exploded.join(F.broadcast(table), "piece")
     if model.kind != "unigram":
@@ -176,14 +179,13 @@ def best_path(edges: Column, scores: Column, size: Column) -> Column:
 
 def encoded_units(docs: DataFrame, model: Model) -> DataFrame:
     """unit, edges (the chosen pieces; null for a unit that is too long for the lattice) of every distinct unit of the texts."""
-    found = distinct_units(docs)
     size = F.length("unit")
-    latticed = lattice(found.filter(size <= _BITS), model)
+    # in order of the units, so that the sort before they are grouped again finds them sorted
+    latticed = lattice(distinct_units(docs).sortWithinPartitions("unit"), model)
     cuts = latticed.withColumn("cuts", best_path(F.col("edges"), F.col("scores"), size) if model.kind == "unigram" else merged(F.col("edges"), size))
     held = lambda e: (F.col("cuts").bitwiseAND(_ends(e)) == _ends(e)) & (_stop(e) > _start(e))
     kept = F.filter("edges", lambda e: held(e) & (_inner(e, F.col("cuts")) == 0))
-    chosen = cuts.select("unit", F.transform(kept, lambda e: e.bitwiseAND(F.lit((1 << 36) - 1))).alias("edges"))
-    return chosen.unionByName(found.filter(size > _BITS).select("unit", F.lit(None).cast("array<long>").alias("edges")))
+    return cuts.select("unit", F.when(size <= _BITS, F.transform(kept, lambda e: e.bitwiseAND(F.lit((1 << 36) - 1)))).alias("edges"))
 
 
 def _char_ids(model: Model, c: str) -> list[int]:
@@ -258,15 +260,23 @@ def unit_table(docs: DataFrame, model: Model) -> DataFrame:
 class Lookup:
     """The encoded units as sorted arrays: some 20 bytes for a unit."""
 
-    def __init__(self, hashes: np.ndarray, ends: np.ndarray, ids: bytes):
+    def __init__(self, hashes: np.ndarray, ends: np.ndarray, ids: np.ndarray):
         self.hashes, self.ends, self.ids = hashes, ends, ids
 
-    def find(self, unit: str) -> bytes | None:
-        h = np.uint64(xxhash.xxh64_intdigest(unit.encode(), 42)).view(np.int64)
-        i = int(np.searchsorted(self.hashes, h))
-        if i == len(self.hashes) or self.hashes[i] != h:
-            return None
-        return self.ids[int(self.ends[i - 1]) if i else 0 : int(self.ends[i])]
+    def find(self, wanted: list[str]) -> list[bytes]:
+        """The packed ids of some units, all of which are there."""
+        h = _hashes(wanted)
+        at = np.searchsorted(self.hashes, h)
+        if len(at) and not (self.hashes[np.minimum(at, len(self.hashes) - 1)] == h).all():
+            raise KeyError("a unit is not in the table")
+        stops = self.ends[at].tolist()
+        starts = np.where(at > 0, self.ends[at - 1], 0).tolist()
+        return [self.ids[a:b].tobytes() for a, b in zip(starts, stops, strict=True)]
+
+
+def _hashes(wanted: list[str]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(u.encode(), 42) for u in wanted], np.uint64).view(np.int64)
 
 
 def _collected(table: DataFrame) -> Lookup:
@@ -278,45 +288,53 @@ def _collected(table: DataFrame) -> Lookup:
             sizes = np.array([len(x.as_py()) for x in ids], "<u2")
             yield pa.RecordBatch.from_pydict({"hashes": [batch.column("hash").to_numpy().astype("<i8").tobytes()], "sizes": [sizes.tobytes()], "ids": [b"".join(x.as_py() for x in ids)]})
 
-    hashes, sizes, ids = [], [], []
+    n = table.count()
+    key, size, flat, at = np.empty(n, np.int64), np.empty(n, np.uint16), bytearray(), 0
     for r in table.mapInArrow(run, "hashes binary, sizes binary, ids binary").toLocalIterator():
-        hashes.append(np.frombuffer(r["hashes"], "<i8"))
-        sizes.append(np.frombuffer(r["sizes"], "<u2"))
-        ids.append(np.frombuffer(r["ids"], np.uint8))
-    if not hashes:
-        return Lookup(np.zeros(0, np.int64), np.zeros(0, np.int64), b"")
-    key, size, flat = np.concatenate(hashes), np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
-    first = np.cumsum(size) - size
-    order = np.argsort(key)
-    ends = np.cumsum(size[order])
-    # the ids in order of the hashes
-    where = np.repeat(first[order] - (ends - size[order]), size[order]) + np.arange(len(flat))
-    return Lookup(key[order], ends, flat[where].tobytes())
-
-
-def _rows(texts: pa.Array, find, model: Model, keep_ids: bool) -> dict[str, pa.Array]:
-    cache: dict[str, bytes] = {}
+        some = np.frombuffer(r["hashes"], "<i8")
+        key[at : at + len(some)], size[at : at + len(some)] = some, np.frombuffer(r["sizes"], "<u2")
+        flat += r["ids"]
+        at += len(some)
+    if not n:
+        return Lookup(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint8))
+    flat = np.frombuffer(flat, np.uint8)
+    order = np.argsort(key).astype(np.uint32)
+    first = np.cumsum(size, dtype=np.int64) - size
+    ordered = np.empty(len(flat), np.uint8)
+    at = 0
+    # the ids in order of the hashes, some units at a time: an index over all of them would be eight times as large
+    for cut in range(0, len(order), 200_000):
+        some = order[cut : cut + 200_000]
+        n = size[some].astype(np.int64)
+        ends = np.cumsum(n)
+        where = np.repeat(first[some] - (ends - n), n) + np.arange(ends[-1])
+        ordered[at : at + len(where)] = flat[where]
+        at += len(where)
+    return Lookup(key[order], np.cumsum(size[order], dtype=np.uint32 if len(flat) < 1 << 32 else np.uint64), ordered)
+
+
+def _rows(texts: pa.Array, find: Callable[[list[str]], list[bytes]], cache: dict[str, bytes], model: Model, keep_ids: bool) -> dict[str, pa.Array]:
+    """The columns of some texts; find gives the ids of units that the cache does not have yet."""
     width = np.dtype(model.width)
     shown = [p.encode() if ok else b"" for p, ok in zip(model.pieces, model.plain, strict=True)]
     for b, i in model.bytes_from.items():
         shown[i] = bytes([b])
     blank = MARK.encode()
     n, digest, trip, all_ids = [], [], [], []
-    for text in texts:
-        text = text.as_py()
-        parts = units(text or "")
-        for u in parts:
-            if u not in cache:
-                cache[u] = find(u)
-        ids = b"".join([cache[u] for u in parts])
-        if len(cache) > 500_000:
-            cache.clear()
+    texts = texts.to_pylist()
+    parts = [units(t) for t in texts]
+    missing = [u for u in {u for p in parts for u in p} if u not in cache]
+    cache.update(zip(missing, find(missing), strict=True))
+    for text, mine in zip(texts, parts, strict=True):
+        ids = b"".join([cache[u] for u in mine])
         found = np.frombuffer(ids, width)
         n.append(len(found))
         digest.append(xxhash.xxh64_hexdigest(ids))
         trip.append(decode_bytes(found.tolist(), shown, blank) == (text or ""))
         if keep_ids:
             all_ids.append(found.astype(np.int32))
+    if len(cache) > 400_000:
+        cache.clear()
     out = {"n_pieces": pa.array(n, pa.int64()), "ids_digest": pa.array(digest, pa.string()), "round_trip": pa.array(trip, pa.bool_())}
     return out | ({"ids": pa.array(all_ids, pa.list_(pa.int32()))} if keep_ids else {})
 
@@ -338,10 +356,11 @@ def encoded(docs: DataFrame, model: Model, keep_ids: bool = False, most_broadcas
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lookup, known = shared.value
+            cache: dict[str, bytes] = {}
             for batch in batches:
                 for at in range(0, batch.num_rows, 500):
                     part = batch.slice(at, 500)
-                    rows = _rows(part.column("text"), lookup.find, known, keep_ids)
+                    rows = _rows(part.column("text"), lookup.find, cache, known, keep_ids)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), *rows.values()], names=["doc_id", *rows])
 
         return plain.mapInArrow(run, schema)
@@ -351,14 +370,13 @@ def encoded(docs: DataFrame, model: Model, keep_ids: bool = False, most_broadcas
     shared_model = spark.sparkContext.broadcast(model)
 
     def ask(part: pa.Table) -> pa.Table:
-        seen = {u for text in part.column("text") for u in units(text.as_py() or "")}
-        hashes = np.array([xxhash.xxh64_intdigest(u.encode(), 42) for u in seen], np.uint64).view(np.int64)
-        return pa.table({"chunk": pa.array(np.full(len(seen), part.column("chunk")[0].as_py())), "hash": pa.array(hashes)})
+        seen = {u for text in part.column("text").to_pylist() for u in units(text)}
+        return pa.table({"chunk": pa.array(np.full(len(seen), part.column("chunk")[0].as_py())), "hash": pa.array(_hashes(list(seen)))})
 
     def answer(part: pa.Table, told: pa.Table) -> pa.Table:
         known = dict(zip(told.column("hash").to_pylist(), told.column("ids").to_pylist(), strict=True))
-        find = lambda u: known[int(np.uint64(xxhash.xxh64_intdigest(u.encode(), 42)).view(np.int64))]
-        rows = _rows(part.column("text").combine_chunks(), find, shared_model.value, keep_ids)
+        find = lambda wanted: [known[h] for h in _hashes(wanted).tolist()]
+        rows = _rows(part.column("text"), find, {}, shared_model.value, keep_ids)
         return pa.table({"doc_id": part.column("doc_id")} | rows)
 
     asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk long, hash long")
