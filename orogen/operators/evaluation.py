@@ -63,7 +63,7 @@ def _answers(field: Field, queries: pd.DataFrame, gradient: bool) -> pd.DataFram
 
 
 def evaluate(models: DataFrame, queries: DataFrame, gradient: bool = False) -> DataFrame:
-    """The scalar or gradient of each query's model at queries(model_id, query_id, x, y, z); NaN for a model with an error, no row
+    """The scalar or gradient of each query's model at queries(model_id, query_id, x, y, z); null for a model with an error, no row
     for a model that is not there."""
     spark = models.sparkSession
     schema = GRADIENTS if gradient else SCALARS
