@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import dense
+from .modified import ModifiedKernel
 
 BROADCAST_BYTES, PART_ROWS, BLOCK = 64 << 20, 200_000, 2048
 SCALARS, GRADIENTS = "model_id long, query_id long, value double", "model_id long, query_id long, gx double, gy double, gz double"
@@ -30,9 +31,13 @@ class Field:
         self.weight, self.polynomial = np.array(row["weight"], float), np.array(row["polynomial"], float)
         self.transform = None if row["transform"] is None else np.array(row["transform"], np.float32).reshape(3, 3)
         self.order, self.truncated = row["polynomial_order"], row["truncated"]
+        points = row["basis_points"]
+        self.modified = None if points is None else ModifiedKernel(np.array(points, float).reshape(-1, 3), self.kernel, self.shape, self.transform)
 
     def apply(self, functionals: dense.Terms) -> np.ndarray:
         out = np.zeros(functionals.size)
+        if self.modified is not None:
+            return self.modified.matrix(functionals, self.terms) @ self.weight
         if len(self.weight):
             out += dense.kernel_matrix(functionals, self.terms, self.kernel, self.shape, self.transform) @ self.weight
         if len(self.polynomial):

@@ -16,15 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..errors import FieldError
-from ..parameters import CONTINUOUS, LAJAUNIE, SINGLE_SURFACE, VECTOR, Parameters
-from . import dense
+from ..parameters import CONTINUOUS, LAJAUNIE, SINGLE_SURFACE, STRATIGRAPHIC, VECTOR, Parameters
+from . import dense, quadratic
+from .modified import ModifiedKernel, unisolvent_points
 from .grouping import remove_collocated
 
 MOST_DOFS = 5000
 CONSTRAINTS = "model_id long, category string, constraint_id long, x double, y double, z double, c double, level double, vx double, vy double, vz double"
 MODELS = (
     "model_id long, error string, kernel string, shape double, polynomial_order int, truncated boolean, transform array<double>, owner array<int>, coefficient array<double>, "
-    "point array<double>, direction array<double>, weight array<double>, polynomial array<double>, n_dofs int"
+    "point array<double>, direction array<double>, weight array<double>, polynomial array<double>, n_dofs int, basis_points array<double>, iterations int"
 )
 _AXES = np.eye(3)
 
@@ -91,24 +92,139 @@ def assemble(found: pd.DataFrame, parameters: Parameters) -> tuple[dense.Terms,
     return terms, matrix, np.array([*right, *[0.0] * m]), transform, order, truncated
 
 
+def _levels(level: np.ndarray) -> list[tuple[float, np.ndarray]]:
+    """The levels from the highest, each with its members in order."""
+    return [(at, np.flatnonzero(level == at)) for at in sorted({v + 0.0 for v in level}, reverse=True)]
+
+
+def inequality_layout(found: pd.DataFrame, parameters: Parameters) -> tuple[list, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Functionals, how many of the first are inequalities, their signs and lower bounds, the right-hand sides of the others."""
+    ip, level, _ = _rows(found, "interface")
+    qp, at, _ = _rows(found, "inequality")
+    pp, _, normals = _rows(found, "planar")
+    tp, _, tangents = _rows(found, "tangent")
+    planar, planar_right = _planar_rows(pp, normals)
+    tangent = [dense.derivative(p, t) for p, t in zip(tp, tangents, strict=True)]
+    if not len(ip):
+        raise FieldError("NoInterfaceData")
+    if parameters.model == SINGLE_SURFACE:
+        # a level of at most 0 asks for a field below the surface, whatever its size
+        rows = [dense.value(p) for p in qp] + [dense.value(p) for p in ip] + planar + tangent
+        return rows, len(qp), np.where(at <= 0, -1.0, 1.0), np.zeros(len(qp)), np.array([*level, *planar_right, *[0.0] * len(tangent)])
+    groups = _levels(level)
+    if set(at.tolist()) & {v for v, _ in groups}:
+        raise FieldError("InvalidInputData", "an inequality has the level of an interface")
+    first = [int(m[0]) for _, m in groups]
+    upper = [dense.difference(ip[a], ip[b]) for a, b in zip(first, first[1:], strict=False)]
+    lithology = []
+    for p, v in zip(qp, at, strict=True):
+        above, below = [m for m in groups if m[0] > v], [m for m in groups if m[0] < v]
+        lithology += [dense.difference(ip[above[-1][1][0]], p)] if above else []
+        lithology += [dense.difference(p, ip[below[0][1][0]])] if below else []
+    same = [dense.difference(ip[m[0]], ip[k]) for _, m in groups for k in m[1:]]
+    n = len(upper) + len(lithology)
+    right = np.array([0.0] * len(same) + planar_right + [0.0] * len(tangent))
+    if not n or not len(right):
+        raise FieldError("InvalidInputData", "equalities and inequalities are both needed")
+    return upper + lithology + same + planar + tangent, n, np.ones(n), np.array([parameters.least_thickness] * len(upper) + [0.0] * len(lithology)), right
+
+
+def _normal_bounds(normal: np.ndarray, d_strike: float, d_dip: float) -> list[tuple[float, float]]:
+    """Per axis the least and greatest component of the four normals whose strike and dip are moved both ways."""
+    dip, direction = np.degrees(np.arccos(normal[2])), np.degrees(np.arctan2(normal[1], normal[0]))
+    strike = 360 - (direction + 360 if direction < 0 else direction)
+    a, b, u, w = np.radians([d_strike + strike, d_strike - strike, d_dip + dip, d_dip - dip])
+    corners = np.array(
+        [(np.cos(a) * np.sin(u), -np.sin(a) * np.sin(u), np.cos(u)), (-np.cos(b) * np.sin(w), -np.sin(b) * np.sin(w), np.cos(w)), (-np.cos(a) * np.sin(w), np.sin(a) * np.sin(w), np.cos(w)), (np.cos(b) * np.sin(u), np.sin(b) * np.sin(u), np.cos(u))]
+    )
+    return list(zip(corners.min(axis=0), corners.max(axis=0), strict=True))
+
+
+def restricted_layout(found: pd.DataFrame, parameters: Parameters) -> tuple[list, np.ndarray]:
+    """Functionals and the bounds (rows lower, upper) of each."""
+    ip, level, _ = _rows(found, "interface")
+    qp, at, _ = _rows(found, "inequality")
+    pp, _, normals = _rows(found, "planar")
+    tp, _, tangents = _rows(found, "tangent")
+    if not len(ip):
+        raise FieldError("NoInterfaceData")
+    every = found[["x", "y", "z", "c"]].to_numpy(float)
+    # inequalities have no other end than the size of the model
+    wide = float(np.sqrt(((every[:, None] - every[None]) ** 2).sum(axis=2)).max())
+    u, angle = parameters.interface_uncertainty, parameters.angular_uncertainty
+    groups = _levels(level)
+    same = [(dense.difference(ip[m[0]], ip[k]), (-u, u)) for _, m in groups for k in m[1:]]
+    if parameters.model == SINGLE_SURFACE:
+        rows = [(dense.value(p), (-wide, 0.0) if v <= 0 else (0.0, wide)) for p, v in zip(qp, at, strict=True)] + [(dense.value(p), (-u, u)) for p in ip]
+    elif parameters.model == LAJAUNIE:
+        rows = same
+    elif parameters.model == STRATIGRAPHIC:
+        functionals, n, *_ = inequality_layout(found, parameters)
+        upper = len(groups) - 1
+        rows = [(f, (parameters.least_thickness, wide)) for f in functionals[:upper]] + [(f, (0.0, parameters.least_thickness)) for f in functionals[upper:n]] + same
+    else:
+        raise FieldError("InvalidInputData", f"{parameters.model} has no restricted form")
+    v = 2 * np.cos(np.radians(90 - angle))
+    rows += [(dense.derivative(p, _AXES[k]), b) for p, n in zip(pp, normals, strict=True) for k, b in enumerate(_normal_bounds(n, angle, angle / 2))]
+    rows += [(dense.derivative(p, t), (min(v, 0.0), max(v, 0.0))) for p, t in zip(tp, tangents, strict=True)]
+    return [f for f, _ in rows], np.array([b for _, b in rows], float)
+
+
+def fit_restricted(found: pd.DataFrame, parameters: Parameters) -> tuple[dense.Terms, np.ndarray, ModifiedKernel, int]:
+    """The same for a model whose constraints are bounds."""
+    functionals, bounds = restricted_layout(found, parameters)
+    terms = dense.Terms.build(functionals)
+    if terms.size > MOST_DOFS:
+        raise FieldError("ModelTooLarge", f"{terms.size} unknowns")
+    kernel = _modified(found, parameters)
+    whole = kernel.matrix(terms, terms)
+    weight, iterations = quadratic.bounded(whole, whole, bounds[:, 0], bounds[:, 1] - bounds[:, 0])
+    return terms, weight, kernel, iterations
+
+
+def _modified(found: pd.DataFrame, parameters: Parameters) -> ModifiedKernel:
+    ip, level, _ = _rows(found, "interface")
+    transform = dense.transform_of(parameters.kernel, _rows(found, "planar")[2]) if parameters.anisotropy else None
+    return ModifiedKernel(unisolvent_points([ip[m, :3] for _, m in _levels(level) if len(m) > 1]), parameters.kernel, parameters.shape, transform)
+
+
+def fit_inequalities(found: pd.DataFrame, parameters: Parameters) -> tuple[dense.Terms, np.ndarray, ModifiedKernel, int]:
+    """Terms, weights, modified kernel and iterations of a model with inequalities: the least energy that meets all of them."""
+    functionals, n, sign, lower, right = inequality_layout(found, parameters)
+    terms = dense.Terms.build(functionals)
+    if terms.size > MOST_DOFS:
+        raise FieldError("ModelTooLarge", f"{terms.size} unknowns")
+    kernel = _modified(found, parameters)
+    whole = kernel.matrix(terms, terms)
+    weight, iterations = quadratic.predictor_corrector(whole, whole[n:], right, whole[:n] * sign[:, None], lower)
+    return terms, weight, kernel, iterations
+
+
 def fit_one(found: pd.DataFrame, parameters: Parameters) -> dict:
     """The row of one model; constraints in order of insertion within their cleaned order."""
     row = {"error": None, "kernel": parameters.kernel, "shape": parameters.shape}
-    empty = {"polynomial_order": -1, "truncated": False, "transform": None} | {c: [] for c in ("owner", "coefficient", "point", "direction", "weight", "polynomial")} | {"n_dofs": 0}
+    empty = {"polynomial_order": -1, "truncated": False, "transform": None} | {c: [] for c in ("owner", "coefficient", "point", "direction", "weight", "polynomial")} | {"n_dofs": 0, "basis_points": None, "iterations": 0}
     try:
         numbers = found[["x", "y", "z", "c"]].to_numpy(float)
         if not np.isfinite(numbers).all():
             raise FieldError("NonFiniteInput")
         if parameters.model == VECTOR and not (found["category"] == "planar").any():
             return row | empty
-        terms, matrix, right, transform, order, truncated = assemble(found, parameters)
-        weight = dense.solve_lu(matrix, right)
+        if parameters.restricted and parameters.model in (SINGLE_SURFACE, LAJAUNIE, STRATIGRAPHIC):
+            terms, weight, kernel, iterations = fit_restricted(found, parameters)
+            transform, order, truncated, points = kernel.transform, -1, False, kernel.points.ravel().tolist()
+        elif parameters.model == STRATIGRAPHIC or parameters.model == SINGLE_SURFACE and (found["category"] == "inequality").any():
+            terms, weight, kernel, iterations = fit_inequalities(found, parameters)
+            transform, order, truncated, points = kernel.transform, -1, False, kernel.points.ravel().tolist()
+        else:
+            terms, matrix, right, transform, order, truncated = assemble(found, parameters)
+            weight, iterations, points = dense.solve_lu(matrix, right), 0, None
     except FieldError as e:
         return row | empty | {"error": e.category}
     n = terms.size
     return row | {
         "polynomial_order": order, "truncated": truncated, "transform": None if transform is None else transform.astype(float).ravel().tolist(), "owner": terms.owner.tolist(), "coefficient": terms.coefficient.tolist(),
-        "point": terms.point.ravel().tolist(), "direction": terms.direction.ravel().tolist(), "weight": weight[:n].tolist(), "polynomial": weight[n:].tolist(), "n_dofs": len(weight),
+        "point": terms.point.ravel().tolist(), "direction": terms.direction.ravel().tolist(), "weight": weight[:n].tolist(), "polynomial": weight[n:].tolist(), "n_dofs": len(weight), "basis_points": points, "iterations": iterations,
     }
 
 

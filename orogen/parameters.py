@@ -20,13 +20,18 @@ class Parameters:
     polynomial_order: int = 1
     smoothing: float | None = None
     anisotropy: bool = False
+    least_thickness: float = 0.0
+    #: With restricted, interfaces and orientations are bounds of these uncertainties (degrees for the angle).
+    restricted: bool = False
+    interface_uncertainty: float = 0.0
+    angular_uncertainty: float = 0.0
 
     def checked(self) -> Parameters:
         if self.kernel not in KERNELS:
             raise FieldError("UnsupportedKernel", self.kernel)
         if self.model not in MODEL_CODES.values():
             raise FieldError("InvalidInputData", self.model)
-        for v in (self.shape, self.smoothing or 0.0):
+        for v in (self.shape, self.smoothing or 0.0, self.least_thickness, self.interface_uncertainty, self.angular_uncertainty):
             if not abs(v) < float("inf"):
                 raise FieldError("NonFiniteInput")
         if self.polynomial_order not in (0, 1, 2):

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import kernels as K
 from .functions import orientation as O
-from .operators import evaluation, fitting, grouping, spatial
-from .parameters import CONTINUOUS, LAJAUNIE, SINGLE_SURFACE, VECTOR, Parameters
+from .operators import evaluation, fitting, grouping, quadratic, spatial
+from .parameters import CONTINUOUS, LAJAUNIE, SINGLE_SURFACE, STRATIGRAPHIC, VECTOR, Parameters
 from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -366,3 +366,52 @@ def layout_sizes(spark, sf):
     found = fitting.cleaned(tables.interfaces(spark, sf))
     counts = grouping.levels(found).groupBy("model_id").agg(F.sum("n").alias("points"), F.sum(F.col("n") - 1).alias("increments"))
     return counts.select("model_id", (F.col("points") + 4).cast("int").alias("single_surface"), (F.col("increments") + 3).cast("int").alias("lajaunie"), F.col("points").cast("int").alias("continuous"))
+
+
+def _horizons(spark: SparkSession, sf: str, inequalities: list[tuple[tuple, float]], apart: float = 0.0) -> DataFrame:
+    """A model for each nation: one set of interfaces, inequalities and a planar, moved by `apart` from nation to nation."""
+    rows = [("interface", i, *map(float, p), v, None, None, None) for i, (p, v) in enumerate([((0, 0, 0), 30.0), ((2, 0, 0), 30.0), ((0, 3, 0), 30.0), ((0, 0, 4), 30.0), ((5, 1, 1), 20.0), ((7, -1, 2), 10.0)])]
+    rows += [("inequality", i, *map(float, p), v, None, None, None) for i, (p, v) in enumerate(inequalities)] + [("planar", 0, 1.0, 2.0, 3.0, None, 0.6, 0.0, 0.8)]
+    one = spark.createDataFrame(rows, "category string, constraint_id long, x double, y double, z double, level double, vx double, vy double, vz double")
+    moved = F.col("model_id") * apart
+    models = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("model_id"))
+    return models.join(F.broadcast(one), F.lit(True)).select("model_id", "category", "constraint_id", (F.col("x") + moved).alias("x"), (F.col("y") - moved).alias("y"), (F.col("z") + moved).alias("z"), F.lit(0.0).alias("c"), "level", "vx", "vy", "vz")
+
+
+@query("SELECT n_nationkey::BIGINT AS model_id, i AS query_id, [30.0, 30.0, 30.0, 30.0, 20.0, 10.0][i + 1]::DOUBLE AS value FROM nation, range(6) t(i)")
+def field_inequalities(spark, sf):
+    """Single surfaces with inequalities: the quadratic program keeps the interfaces' levels."""
+    found = _horizons(spark, sf, [((3, -2, 2), 1.0), ((4, 2, -1), -1.0)], apart=0.25)
+    models = fitting.fit(found, Parameters(SINGLE_SURFACE))
+    at = found.filter("category = 'interface'").withColumnRenamed("constraint_id", "query_id")
+    return evaluation.evaluate(models, at).withColumn("value", _r("value", 3))
+
+
+@query("SELECT n_nationkey::BIGINT AS model_id, true AS ordered, 0.0::DOUBLE AS spread FROM nation")
+def field_stratigraphic(spark, sf):
+    """Horizons: a higher level's reference has at least the value of the next one's, and one level has one value."""
+    found = _horizons(spark, sf, [((3, -2, 2), 25.0), ((4, 2, -1), 5.0)])
+    models = fitting.fit(found, Parameters(STRATIGRAPHIC))
+    own = found.filter("category = 'interface'")
+    value = evaluation.evaluate(models, own.withColumnRenamed("constraint_id", "query_id")).withColumnRenamed("query_id", "constraint_id")
+    level = own.join(value, ["model_id", "constraint_id"]).groupBy("model_id", "level").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    order = F.array_sort(F.collect_list(F.struct("level", "lo")))
+    told = level.groupBy("model_id").agg(order.alias("s"), F.max(F.col("hi") - F.col("lo")).alias("spread"))
+    return told.select("model_id", F.expr("forall(sequence(1, size(s) - 1), i -> s[i].lo >= s[i - 1].lo - 1e-6)").alias("ordered"), _r("spread", 4).alias("spread"))
+
+
+@query("SELECT s_suppkey, greatest(0, s_suppkey % 9 - 4)::DOUBLE AS least, least(greatest(0, s_suppkey % 9 - 4), s_suppkey % 9 - 2)::DOUBLE AS boxed FROM supplier")
+def solver_quadratic(spark, sf):
+    """A program of one unknown for each supplier: min x^2 with x >= d, and with d <= x <= d + 2."""
+
+    def solve(parts):
+        import numpy as np
+
+        one = np.eye(1)
+        for part in parts:
+            d = (part["s_suppkey"] % 9 - 4).astype(float)
+            part["least"] = [round(quadratic.predictor_corrector(one, np.zeros((0, 1)), np.zeros(0), one, np.array([v]))[0][0], 3) + 0.0 for v in d]
+            part["boxed"] = [round(quadratic.bounded(one, one, np.array([v]), np.array([2.0]))[0][0], 3) + 0.0 for v in d]
+            yield part
+
+    return spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").mapInPandas(solve, "s_suppkey long, least double, boxed double")

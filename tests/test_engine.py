@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from orogen.errors import FieldError
 from orogen.functions import kernels as K
 from orogen.functions import orientation as O
-from orogen.operators import dense, evaluation, fitting, grouping, spatial
-from orogen.parameters import CONTINUOUS, LAJAUNIE, SINGLE_SURFACE, VECTOR, Parameters
+from orogen.operators import dense, evaluation, fitting, grouping, quadratic, spatial
+from orogen.parameters import CONTINUOUS, LAJAUNIE, SINGLE_SURFACE, STRATIGRAPHIC, VECTOR, Parameters
 
 W = (0.25, 0.75, 0.5)
 COLUMNS = "model_id long, category string, constraint_id long, x double, y double, z double, c double, level double, vx double, vy double, vz double"
@@ -97,6 +97,45 @@ def test_constant_with_order_0(spark):
     assert list(value.values()) == pytest.approx([3.0, 3.0]) and np.allclose(list(slope.values()), 0)
 
 
+MORE = [((5, 1, 1), 20), ((7, -1, 2), 10)]
+
+
+def with_inequalities(spark, some):
+    rows = [(1, "inequality", i, *map(float, p), 0.0, float(v), None, None, None) for i, (p, v) in enumerate(some)]
+    return constraints(spark, HORIZON + MORE, PLANARS[:1]).unionByName(spark.createDataFrame(rows, COLUMNS))
+
+
+def test_single_surface_with_inequalities(spark):
+    model, value, slope = field(spark, with_inequalities(spark, [((3, -2, 2), 1), ((4, 2, -1), -1)]), Parameters(SINGLE_SURFACE))
+    assert model.iterations == 9 and value[0] == pytest.approx(bits(0x404068505733409F), abs=1e-9)
+    assert slope[0] == pytest.approx([bits(x) for x in (0x3FE9ECC8119E9754, 0x3FE3CC95A65D5675, 0x400B0675074328A5)], abs=1e-8)
+
+
+def test_stratigraphic(spark):
+    _, value, slope = field(spark, with_inequalities(spark, [((3, -2, 2), 25), ((4, 2, -1), 5)]), Parameters(STRATIGRAPHIC))
+    assert value[0] == pytest.approx(bits(0xBFC225A5E3C21329), abs=1e-9)
+    assert slope[0] == pytest.approx([bits(x) for x in (0x3FBAF56640FD4EBD, 0xBFA9238F043FE56E, 0xBFD0454C51D39C86)], abs=1e-8)
+    assert fitting.fit(with_inequalities(spark, [((3, -2, 2), 20)]), Parameters(STRATIGRAPHIC)).first().error == "InvalidInputData"
+
+
+@pytest.mark.parametrize(("model", "want"), [(SINGLE_SURFACE, 0xBFC3DA1FB38BE001), (LAJAUNIE, 0xBFC3DA1F8F9C5EE9)])
+def test_restricted(spark, model, want):
+    rows = constraints(spark, HORIZON, PLANARS[:1])
+    _, value, slope = field(spark, rows, Parameters(model, restricted=True, interface_uncertainty=0.25, angular_uncertainty=8.0))
+    assert value[0] == pytest.approx(bits(want), abs=1e-7)
+    assert slope[0] == pytest.approx([bits(x) for x in (0x3FAAA5A00C4CC82A, 0xBFA5362FA47DF96A, 0xBFCAA33520C9AE36)], abs=1e-6)
+
+
+def test_quadratic_programs():
+    half, one = np.array([[1.0, 0]]), np.array([[1.0, 1]])
+    x, iterations = quadratic.predictor_corrector(np.eye(2), one, np.array([1.0]), half, np.array([0.2]))
+    assert x == pytest.approx([0.5, 0.5]) and iterations == 12
+    assert quadratic.predictor_corrector(np.eye(2), one, np.array([1.0]), half, np.array([0.8]))[0] == pytest.approx([0.8, 0.2])
+    assert quadratic.bounded(np.diag([1.0, 2]), np.eye(2), np.array([0.5, -2]), np.ones(2))[0] == pytest.approx([0.5, -1], abs=1e-6)
+    with pytest.raises(FieldError, match="InfeasibleSolution"):
+        quadratic.bounded(np.eye(1), np.eye(1), np.ones(1), np.zeros(1))
+
+
 def test_errors_are_rows(spark):
     one = constraints(spark, planars=PLANARS[:1])
     assert fitting.fit(one, Parameters(VECTOR)).first().error == "SingularSystem"
