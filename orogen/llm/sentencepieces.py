@@ -97,7 +97,7 @@ def distinct_units(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column("text"):
                 seen.update(units(text.as_py()))
-                if len(seen) > 400_000:
+                if len(seen) > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], names=["unit"])
                     seen = set()
         if seen:
@@ -333,7 +333,7 @@ def _rows(texts: pa.Array, find: Callable[[list[str]], list[bytes]], cache: dict
         trip.append(decode_bytes(found.tolist(), shown, blank) == (text or ""))
         if keep_ids:
             all_ids.append(found.astype(np.int32))
-    if len(cache) > 400_000:
+    if len(cache) > 100_000:
         cache.clear()
     out = {"n_pieces": pa.array(n, pa.int64()), "ids_digest": pa.array(digest, pa.string()), "round_trip": pa.array(trip, pa.bool_())}
     return out | ({"ids": pa.array(all_ids, pa.list_(pa.int32()))} if keep_ids else {})
@@ -358,8 +358,8 @@ def encoded(docs: DataFrame, model: Model, keep_ids: bool = False, most_broadcas
             lookup, known = shared.value
             cache: dict[str, bytes] = {}
             for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
+                for at in range(0, batch.num_rows, 200):
+                    part = batch.slice(at, 200)
                     rows = _rows(part.column("text"), lookup.find, cache, known, keep_ids)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), *rows.values()], names=["doc_id", *rows])
 
