@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+_REPO = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, _REPO)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (_REPO, os.environ.get("PYTHONPATH"))))
 
 
 @pytest.fixture(scope="session")
