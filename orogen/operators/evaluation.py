@@ -73,9 +73,12 @@ def evaluate(models: DataFrame, queries: DataFrame, gradient: bool = False) -> D
     spark = models.sparkSession
     schema = GRADIENTS if gradient else SCALARS
     points = queries.select("model_id", "query_id", "x", "y", "z")
+    # fitted once for the check of the size and for what follows it
+    models = models.persist()
     numbers = models.agg(F.coalesce(F.sum(F.size("point") + F.size("direction") + F.size("weight") + 2 * F.size("owner")), F.lit(0))).first()[0]
     if numbers * 8 <= BROADCAST_BYTES:
         known = spark.sparkContext.broadcast({r["model_id"]: Field(r) for r in models.collect()})
+        models.unpersist()
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:

@@ -9,7 +9,8 @@ A fitted model is a row: the terms of its functionals, their weights, the polyno
 
 from __future__ import annotations
 
-from dataclasses import replace
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -30,9 +31,26 @@ MODELS = (
 _AXES = np.eye(3)
 
 
-def _rows(found: pd.DataFrame, category: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    mine = found[found["category"] == category]
-    return mine[["x", "y", "z", "c"]].to_numpy(float), mine["level"].to_numpy(float), mine[["vx", "vy", "vz"]].to_numpy(float)
+@dataclass
+class Constraints:
+    """The constraints of one model as arrays, in order of category, place and insertion."""
+
+    category: np.ndarray
+    place: np.ndarray
+    level: np.ndarray
+    vector: np.ndarray
+
+    def __getitem__(self, rows: slice) -> Constraints:
+        return Constraints(self.category[rows], self.place[rows], self.level[rows], self.vector[rows])
+
+    @staticmethod
+    def of(found: pd.DataFrame) -> Constraints:
+        return Constraints(found["category"].to_numpy(), found[["x", "y", "z", "c"]].to_numpy(float), found["level"].to_numpy(float), found[["vx", "vy", "vz"]].to_numpy(float))
+
+
+def _rows(found: Constraints, category: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    mine = found.category == category
+    return found.place[mine], found.level[mine], found.vector[mine]
 
 
 def _planar_rows(points: np.ndarray, normals: np.ndarray) -> tuple[list, list]:
@@ -40,7 +58,7 @@ def _planar_rows(points: np.ndarray, normals: np.ndarray) -> tuple[list, list]:
     return [dense.derivative(p, _AXES[k]) for p in points for k in range(3)], [float(v) for n in normals for v in n]
 
 
-def layout(found: pd.DataFrame, parameters: Parameters) -> tuple[list, list[float], int, int, bool]:
+def layout(found: Constraints, parameters: Parameters) -> tuple[list, list[float], int, int, bool]:
     """Functionals, their right-hand sides, how many of the first are smoothed, polynomial terms' order (-1: none), truncation."""
     ip, level, _ = _rows(found, "interface")
     pp, _, normals = _rows(found, "planar")
@@ -72,7 +90,7 @@ def layout(found: pd.DataFrame, parameters: Parameters) -> tuple[list, list[floa
     raise FieldError("InvalidInputData", f"{parameters.model} is not fitted by a linear system")
 
 
-def assemble(found: pd.DataFrame, parameters: Parameters) -> tuple[dense.Terms, np.ndarray, np.ndarray, np.ndarray | None, int, bool]:
+def assemble(found: Constraints, parameters: Parameters) -> tuple[dense.Terms, np.ndarray, np.ndarray, np.ndarray | None, int, bool]:
     """Terms, matrix, right-hand side, anisotropic transform, polynomial order, truncation of one model."""
     functionals, right, smoothed, order, truncated = layout(found, parameters)
     terms = dense.Terms.build(functionals)
@@ -97,7 +115,7 @@ def _levels(level: np.ndarray) -> list[tuple[float, np.ndarray]]:
     return [(at, np.flatnonzero(level == at)) for at in sorted({v + 0.0 for v in level}, reverse=True)]
 
 
-def inequality_layout(found: pd.DataFrame, parameters: Parameters) -> tuple[list, int, np.ndarray, np.ndarray, np.ndarray]:
+def inequality_layout(found: Constraints, parameters: Parameters) -> tuple[list, int, np.ndarray, np.ndarray, np.ndarray]:
     """Functionals, how many of the first are inequalities, their signs and lower bounds, the right-hand sides of the others."""
     ip, level, _ = _rows(found, "interface")
     qp, at, _ = _rows(found, "inequality")
@@ -140,7 +158,7 @@ def _normal_bounds(normal: np.ndarray, d_strike: float, d_dip: float) -> list[tu
     return list(zip(corners.min(axis=0), corners.max(axis=0), strict=True))
 
 
-def restricted_layout(found: pd.DataFrame, parameters: Parameters) -> tuple[list, np.ndarray]:
+def restricted_layout(found: Constraints, parameters: Parameters) -> tuple[list, np.ndarray]:
     """Functionals and the bounds (rows lower, upper) of each."""
     ip, level, _ = _rows(found, "interface")
     qp, at, _ = _rows(found, "inequality")
@@ -148,7 +166,7 @@ def restricted_layout(found: pd.DataFrame, parameters: Parameters) -> tuple[list
     tp, _, tangents = _rows(found, "tangent")
     if not len(ip):
         raise FieldError("NoInterfaceData")
-    every = found[["x", "y", "z", "c"]].to_numpy(float)
+    every = found.place
     # inequalities have no other end than the size of the model
     wide = float(np.sqrt(((every[:, None] - every[None]) ** 2).sum(axis=2)).max())
     u, angle = parameters.interface_uncertainty, parameters.angular_uncertainty
@@ -170,7 +188,7 @@ def restricted_layout(found: pd.DataFrame, parameters: Parameters) -> tuple[list
     return [f for f, _ in rows], np.array([b for _, b in rows], float)
 
 
-def fit_restricted(found: pd.DataFrame, parameters: Parameters) -> tuple[dense.Terms, np.ndarray, ModifiedKernel, int]:
+def fit_restricted(found: Constraints, parameters: Parameters) -> tuple[dense.Terms, np.ndarray, ModifiedKernel, int]:
     """The same for a model whose constraints are bounds."""
     functionals, bounds = restricted_layout(found, parameters)
     terms = dense.Terms.build(functionals)
@@ -182,13 +200,13 @@ def fit_restricted(found: pd.DataFrame, parameters: Parameters) -> tuple[dense.T
     return terms, weight, kernel, iterations
 
 
-def _modified(found: pd.DataFrame, parameters: Parameters) -> ModifiedKernel:
+def _modified(found: Constraints, parameters: Parameters) -> ModifiedKernel:
     ip, level, _ = _rows(found, "interface")
     transform = dense.transform_of(parameters.kernel, _rows(found, "planar")[2]) if parameters.anisotropy else None
     return ModifiedKernel(unisolvent_points([ip[m, :3] for _, m in _levels(level) if len(m) > 1]), parameters.kernel, parameters.shape, transform)
 
 
-def fit_inequalities(found: pd.DataFrame, parameters: Parameters) -> tuple[dense.Terms, np.ndarray, ModifiedKernel, int]:
+def fit_inequalities(found: Constraints, parameters: Parameters) -> tuple[dense.Terms, np.ndarray, ModifiedKernel, int]:
     """Terms, weights, modified kernel and iterations of a model with inequalities: the least energy that meets all of them."""
     functionals, n, sign, lower, right = inequality_layout(found, parameters)
     terms = dense.Terms.build(functionals)
@@ -200,20 +218,19 @@ def fit_inequalities(found: pd.DataFrame, parameters: Parameters) -> tuple[dense
     return terms, weight, kernel, iterations
 
 
-def fit_one(found: pd.DataFrame, parameters: Parameters) -> dict:
+def fit_one(found: Constraints, parameters: Parameters) -> dict:
     """The row of one model; constraints in order of insertion within their cleaned order."""
     row = {"error": None, "kernel": parameters.kernel, "shape": parameters.shape}
     empty = {"polynomial_order": -1, "truncated": False, "transform": None} | {c: [] for c in ("owner", "coefficient", "point", "direction", "weight", "polynomial")} | {"n_dofs": 0, "basis_points": None, "iterations": 0}
     try:
-        numbers = found[["x", "y", "z", "c"]].to_numpy(float)
-        if not np.isfinite(numbers).all():
+        if not np.isfinite(found.place).all():
             raise FieldError("NonFiniteInput")
-        if parameters.model == VECTOR and not (found["category"] == "planar").any():
+        if parameters.model == VECTOR and not (found.category == "planar").any():
             return row | empty
         if parameters.restricted and parameters.model in (SINGLE_SURFACE, LAJAUNIE, STRATIGRAPHIC):
             terms, weight, kernel, iterations = fit_restricted(found, parameters)
             transform, order, truncated, points = kernel.transform, -1, False, kernel.points.ravel().tolist()
-        elif parameters.model == STRATIGRAPHIC or parameters.model == SINGLE_SURFACE and (found["category"] == "inequality").any():
+        elif parameters.model == STRATIGRAPHIC or parameters.model == SINGLE_SURFACE and (found.category == "inequality").any():
             terms, weight, kernel, iterations = fit_inequalities(found, parameters)
             transform, order, truncated, points = kernel.transform, -1, False, kernel.points.ravel().tolist()
         else:
@@ -237,12 +254,26 @@ def fit(constraints: DataFrame, parameters: Parameters) -> DataFrame:
     """A row of MODELS for each model_id. Spark deals the models to tasks by model_id."""
     parameters = parameters.checked()
 
-    def run(found: pd.DataFrame) -> pd.DataFrame:
-        # the cleaned order is that of place; of constraints at one place only the first is left
-        found = found.sort_values(["category", "x", "y", "z", "constraint_id"], kind="stable")
-        return pd.DataFrame([{"model_id": int(found["model_id"].iloc[0])} | fit_one(found, parameters)])
-
-    return cleaned(constraints).groupBy("model_id").applyInPandas(run, MODELS)
+    def fitted(found: pd.DataFrame) -> pd.DataFrame:
+        ids, rows = found["model_id"].to_numpy(), Constraints.of(found)
+        cuts = np.append(np.flatnonzero(np.append(True, ids[1:] != ids[:-1])), len(ids))
+        return pd.DataFrame([{"model_id": int(ids[a])} | fit_one(rows[a:b], parameters) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for part in parts:
+            part = part if left is None else pd.concat([left, part])
+            # the last model may go on in the next batch
+            cut = int(np.searchsorted(part["model_id"].to_numpy(), part["model_id"].iloc[-1]))
+            if cut:
+                yield fitted(part.iloc[:cut])
+            left = part.iloc[cut:]
+        if left is not None and len(left):
+            yield fitted(left)
+
+    # many models are small: a task takes its models one after another, without a group's overhead for each
+    ordered = cleaned(constraints).repartition("model_id").sortWithinPartitions("model_id", "category", "x", "y", "z", "constraint_id")
+    return ordered.mapInPandas(run, MODELS)
 
 
 def smoothed(parameters: Parameters, amount: float) -> Parameters:
