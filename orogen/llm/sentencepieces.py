@@ -18,7 +18,7 @@ gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ngrams import CHUNK_BYTES
-from .shared import written
+from .shared import hashes, pieces, written
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -36,6 +36,8 @@ _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BITS = 62
 #: Up to so many distinct units are sent to all tasks (some 20 bytes each); more are joined by shuffle.
 MOST_BROADCAST = 8_000_000
+#: Bytes of text that a task looks at together; a longer text is looked at alone.
+PART_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -79,9 +81,9 @@ def of_pieces(pieces: list[str], scores: list[float], plain: list[bool] | None =
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    """piece, id, rank (0 merges first; equal scores have equal ranks), score."""
+    """piece (its marks as blanks), id, rank (0 merges first; equal scores have equal ranks), score."""
     order = {s: k for k, s in enumerate(sorted({s for s, ok in zip(model.scores, model.plain, strict=True) if ok}, reverse=True))}
-    rows = [(p, i, order[s], float(s)) for i, (p, s, ok) in enumerate(zip(model.pieces, model.scores, model.plain, strict=True)) if ok]
+    rows = [(p.replace(MARK, " "), i, order[s], float(s)) for i, (p, s, ok) in enumerate(zip(model.pieces, model.scores, model.plain, strict=True)) if ok]
     return spark.createDataFrame(rows, "piece string, id int, rank int, score double")
 
 
@@ -89,19 +91,49 @@ def units(text: str | None) -> list[str]:
     return _UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def cut_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Some texts as the model sees them, in bytes: marks are blanks here, and one stands before each text that is not empty. Bytes,
+    where each text begins (and the end), where each unit begins. No unit is empty and each byte is in one."""
+    mark = np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] == 0x96) & (raw[2:] == 0x81)) if len(raw) > 2 else np.zeros(0, np.int64)
+    if len(mark):
+        raw = raw.copy()
+        raw[mark] = 32
+        raw, offsets = np.delete(raw, np.concatenate([mark + 1, mark + 2])), offsets - 2 * np.searchsorted(mark, offsets)
+    some = np.diff(offsets) > 0
+    raw = np.insert(raw, offsets[:-1][some], 32)
+    offsets = offsets + np.append(0, np.cumsum(some))
+    blank = raw == 32
+    first = blank.copy()
+    first[1:] &= ~blank[:-1]
+    first[offsets[:-1][some]] = True
+    return raw, offsets, np.flatnonzero(first)
+
+
+def _within(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of some runs, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def distinct_units(docs: DataFrame) -> DataFrame:
-    """unit: every distinct unit of the texts. Tasks send each of theirs once."""
+    """unit: every distinct unit of the texts, its marks as blanks. Tasks send most of theirs once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
+        seen = np.zeros(0, np.uint64)
         for batch in batches:
-            for text in batch.column("text"):
-                seen.update(units(text.as_py()))
-                if len(seen) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], names=["unit"])
-                    seen = set()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], names=["unit"])
+            for _, raw, offsets in pieces(batch, most=PART_BYTES):
+                raw, _, start = cut_units(raw, offsets)
+                stop = np.append(start[1:], len(raw))
+                value, at = np.unique(hashes(raw, start, stop), return_index=True)
+                place = np.searchsorted(seen, value)
+                new = np.append(seen, np.uint64(0))[place] != value
+                new |= place == len(seen)
+                seen = np.insert(seen, place[new], value[new])
+                size = (stop - start)[at[new]]
+                found = pa.py_buffer(raw[_within(start[at[new]], size)])
+                yield pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(len(size), pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), found)], names=["unit"])
+                if len(seen) > 1 << 20:
+                    seen = seen[:0]
 
     return docs.select("text").filter("text <> ''").mapInArrow(run, "unit string").distinct()
 
@@ -242,107 +274,105 @@ def fold_long(unit: str, model: Model) -> list[int]:
 
 
 def unit_table(docs: DataFrame, model: Model) -> DataFrame:
-    """hash (XXH64 of the unit, seed 42), ids (packed) of every distinct unit, written to the shared folder."""
+    """hash, ids (packed) of every distinct unit, written to the shared folder."""
     chosen = encoded_units(docs, model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            names, edges = batch.column("unit").to_pylist(), batch.column("edges").to_pylist()
-            ids = [fold_long(u, known) if e is None else _ids_of(u, e, known) for u, e in zip(names, edges, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([np.array(x, known.width).tobytes() for x in ids], pa.binary())], names=["unit", "ids"])
+            for part, raw, offsets in pieces(batch, "unit", PART_BYTES):
+                names, edges = part.column("unit").to_pylist(), part.column("edges").to_pylist()
+                names = [u.replace(" ", MARK) for u in names]
+                ids = [fold_long(u, known) if e is None else _ids_of(u, e, known) for u, e in zip(names, edges, strict=True)]
+                value = hashes(raw, offsets[:-1], offsets[1:]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array([np.array(x, known.width).tobytes() for x in ids], pa.binary())], names=["hash", "ids"])
 
-    whole = chosen.mapInArrow(run, "unit string, ids binary")
-    return written(whole.select(F.xxhash64("unit").alias("hash"), "ids"), "pieces-units")
+    return written(chosen.mapInArrow(run, "hash long, ids binary"), "pieces-units")
 
 
 class Lookup:
     """The encoded units as sorted arrays: some 20 bytes for a unit."""
 
-    def __init__(self, hashes: np.ndarray, ends: np.ndarray, ids: np.ndarray):
-        self.hashes, self.ends, self.ids = hashes, ends, ids
+    def __init__(self, keys: np.ndarray, ends: np.ndarray, ids: np.ndarray):
+        self.keys, self.ends, self.ids = keys, ends, ids
 
-    def find(self, wanted: list[str]) -> list[bytes]:
-        """The packed ids of some units, all of which are there."""
-        h = _hashes(wanted)
-        at = np.searchsorted(self.hashes, h)
-        if len(at) and not (self.hashes[np.minimum(at, len(self.hashes) - 1)] == h).all():
+    def places(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of some units, all of which are there, begin, and how many they are."""
+        at = np.searchsorted(self.keys, wanted)
+        if len(at) and (not len(self.keys) or (self.keys[np.minimum(at, len(self.keys) - 1)] != wanted).any()):
             raise KeyError("a unit is not in the table")
-        stops = self.ends[at].tolist()
-        starts = np.where(at > 0, self.ends[at - 1], 0).tolist()
-        return [self.ids[a:b].tobytes() for a, b in zip(starts, stops, strict=True)]
+        stops = self.ends[at].astype(np.int64)
+        starts = np.where(at > 0, self.ends[at - 1], 0).astype(np.int64)
+        return starts, stops - starts
 
 
-def _hashes(wanted: list[str]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(u.encode(), 42) for u in wanted], np.uint64).view(np.int64)
-
-
-def _collected(table: DataFrame) -> Lookup:
-    """The table on the driver, partition by partition and packed; the caller has checked its size."""
+def _collected(table: DataFrame, n: int, width: str) -> Lookup:
+    """The table of n units on the driver, partition by partition and packed; the caller has checked its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids")
-            sizes = np.array([len(x.as_py()) for x in ids], "<u2")
+            sizes = np.array([len(x.as_py()) for x in ids], "<u4")
             yield pa.RecordBatch.from_pydict({"hashes": [batch.column("hash").to_numpy().astype("<i8").tobytes()], "sizes": [sizes.tobytes()], "ids": [b"".join(x.as_py() for x in ids)]})
 
-    n = table.count()
-    key, size, flat, at = np.empty(n, np.int64), np.empty(n, np.uint16), bytearray(), 0
+    key, size, flat, at = np.empty(n, np.uint64), np.empty(n, np.uint32), bytearray(), 0
     for r in table.mapInArrow(run, "hashes binary, sizes binary, ids binary").toLocalIterator():
-        some = np.frombuffer(r["hashes"], "<i8")
-        key[at : at + len(some)], size[at : at + len(some)] = some, np.frombuffer(r["sizes"], "<u2")
+        some = np.frombuffer(r["hashes"], "<u8")
+        key[at : at + len(some)], size[at : at + len(some)] = some, np.frombuffer(r["sizes"], "<u4")
         flat += r["ids"]
         at += len(some)
-    if not n:
-        return Lookup(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint8))
-    flat = np.frombuffer(flat, np.uint8)
+    flat = np.frombuffer(flat, width)
+    size //= np.dtype(width).itemsize
     order = np.argsort(key).astype(np.uint32)
     first = np.cumsum(size, dtype=np.int64) - size
-    ordered = np.empty(len(flat), np.uint8)
+    ordered = np.empty(len(flat), width)
     at = 0
     # the ids in order of the hashes, some units at a time: an index over all of them would be eight times as large
     for cut in range(0, len(order), 200_000):
         some = order[cut : cut + 200_000]
-        n = size[some].astype(np.int64)
-        ends = np.cumsum(n)
-        where = np.repeat(first[some] - (ends - n), n) + np.arange(ends[-1])
+        where = _within(first[some], size[some].astype(np.int64))
         ordered[at : at + len(where)] = flat[where]
         at += len(where)
     return Lookup(key[order], np.cumsum(size[order], dtype=np.uint32 if len(flat) < 1 << 32 else np.uint64), ordered)
 
 
-def _rows(texts: pa.Array, find: Callable[[list[str]], list[bytes]], cache: dict[str, bytes], model: Model, keep_ids: bool) -> dict[str, pa.Array]:
-    """The columns of some texts; find gives the ids of units that the cache does not have yet."""
-    width = np.dtype(model.width)
-    shown = [p.encode() if ok else b"" for p, ok in zip(model.pieces, model.plain, strict=True)]
+class Shown:
+    """The bytes that each id decodes to, marks as blanks, in one row."""
+
+    def __init__(self, model: Model):
+        shown = _shown(model)
+        self.size = np.array([len(x) for x in shown], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(shown), np.uint8)
+
+
+def _shown(model: Model) -> list[bytes]:
+    shown = [p.replace(MARK, " ").encode() if ok else b"" for p, ok in zip(model.pieces, model.plain, strict=True)]
     for b, i in model.bytes_from.items():
         shown[i] = bytes([b])
-    blank = MARK.encode()
-    n, digest, trip, all_ids = [], [], [], []
-    texts = texts.to_pylist()
-    parts = [units(t) for t in texts]
-    missing = [u for u in {u for p in parts for u in p} if u not in cache]
-    cache.update(zip(missing, find(missing), strict=True))
-    for text, mine in zip(texts, parts, strict=True):
-        ids = b"".join([cache[u] for u in mine])
-        found = np.frombuffer(ids, width)
-        n.append(len(found))
-        digest.append(xxhash.xxh64_hexdigest(ids))
-        trip.append(decode_bytes(found.tolist(), shown, blank) == (text or ""))
-        if keep_ids:
-            all_ids.append(found.astype(np.int32))
-    if len(cache) > 100_000:
-        cache.clear()
-    out = {"n_pieces": pa.array(n, pa.int64()), "ids_digest": pa.array(digest, pa.string()), "round_trip": pa.array(trip, pa.bool_())}
-    return out | ({"ids": pa.array(all_ids, pa.list_(pa.int32()))} if keep_ids else {})
-
-
-def decode_bytes(ids: list[int], shown: list[bytes], blank: bytes = MARK.encode()) -> str:
-    """The text of some ids: their pieces in a row, marks made blanks, the one before the text removed."""
-    text = b"".join([shown[i] for i in ids]).replace(blank, b" ").decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
+    return shown
+
+
+def _rows(raw: np.ndarray, offsets: np.ndarray, lookup: Lookup, shown: Shown, keep_ids: bool) -> dict[str, pa.Array]:
+    """The columns of some texts, all units of which are in lookup."""
+    whole, bounds, start = cut_units(raw, offsets)
+    value, slot = np.unique(hashes(whole, start, np.append(start[1:], len(whole))), return_inverse=True)
+    first, size = lookup.places(value)
+    first, size = first[slot], size[slot]
+    ids = lookup.ids[_within(first, size)]
+    ends = np.append(0, np.cumsum(size))[np.searchsorted(start, bounds)]
+    pieces_of = shown.size[ids]
+    back = shown.bytes[_within(shown.first[ids], pieces_of)]
+    back_ends = np.append(0, np.cumsum(pieces_of))[ends]
+    packed, told, text = memoryview(ids.tobytes()), back.tobytes(), raw.tobytes()
+    digest, trip = [], []
+    for k in range(len(offsets) - 1):
+        digest.append(xxhash.xxh64_hexdigest(packed[ends[k] * ids.itemsize : ends[k + 1] * ids.itemsize]))
+        # the blank before the text goes
+        trip.append(told[back_ends[k] + (back_ends[k + 1] > back_ends[k]) : back_ends[k + 1]] == text[offsets[k] : offsets[k + 1]])
+    out = {"n_pieces": pa.array(np.diff(ends)), "ids_digest": pa.array(digest, pa.string()), "round_trip": pa.array(trip, pa.bool_())}
+    return out | ({"ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))} if keep_ids else {})
 
 
 def encoded(docs: DataFrame, model: Model, keep_ids: bool = False, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -351,33 +381,42 @@ def encoded(docs: DataFrame, model: Model, keep_ids: bool = False, most_broadcas
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = unit_table(plain, model)
     schema = "doc_id long, n_pieces long, ids_digest string, round_trip boolean" + (", ids array<int>" if keep_ids else "")
-    if table.count() <= most_broadcast:
-        shared = spark.sparkContext.broadcast((_collected(table), model))
+    n = table.count()
+    if n <= most_broadcast:
+        shared = spark.sparkContext.broadcast((_collected(table, n, model.width), Shown(model)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lookup, known = shared.value
-            cache: dict[str, bytes] = {}
             for batch in batches:
-                for at in range(0, batch.num_rows, 200):
-                    part = batch.slice(at, 200)
-                    rows = _rows(part.column("text"), lookup.find, cache, known, keep_ids)
+                for part, raw, offsets in pieces(batch, most=PART_BYTES):
+                    rows = _rows(raw, offsets, *shared.value, keep_ids)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), *rows.values()], names=["doc_id", *rows])
 
         return plain.mapInArrow(run, schema)
     # beyond that bound: chunks of texts ask for their units, and the answers meet the texts again
     total = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(total // CHUNK_BYTES + 1)))
-    shared_model = spark.sparkContext.broadcast(model)
+    shared_shown = spark.sparkContext.broadcast(Shown(model))
+    width = model.width
+
+    def texts_of(part: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        for batch in part.to_batches():
+            yield from pieces(batch, most=PART_BYTES)
 
     def ask(part: pa.Table) -> pa.Table:
-        seen = {u for text in part.column("text").to_pylist() for u in units(text)}
-        return pa.table({"chunk": pa.array(np.full(len(seen), part.column("chunk")[0].as_py())), "hash": pa.array(_hashes(list(seen)))})
+        seen = []
+        for _, raw, offsets in texts_of(part):
+            raw, _, start = cut_units(raw, offsets)
+            seen.append(np.unique(hashes(raw, start, np.append(start[1:], len(raw)))))
+        seen = np.unique(np.concatenate(seen)).view(np.int64)
+        return pa.table({"chunk": pa.array(np.full(len(seen), part.column("chunk")[0].as_py())), "hash": pa.array(seen)})
 
     def answer(part: pa.Table, told: pa.Table) -> pa.Table:
-        known = dict(zip(told.column("hash").to_pylist(), told.column("ids").to_pylist(), strict=True))
-        find = lambda wanted: [known[h] for h in _hashes(wanted).tolist()]
-        rows = _rows(part.column("text"), find, {}, shared_model.value, keep_ids)
-        return pa.table({"doc_id": part.column("doc_id")} | rows)
+        key, ids = told.column("hash").to_numpy().view(np.uint64), told.column("ids").to_pylist()
+        order = np.argsort(key)
+        flat = np.frombuffer(b"".join(ids[k] for k in order), width)
+        lookup = Lookup(key[order], np.cumsum([len(ids[k]) // flat.itemsize for k in order], dtype=np.int64), flat)
+        found = [{"doc_id": some.column("doc_id")} | _rows(raw, offsets, lookup, shared_shown.value, keep_ids) for some, raw, offsets in texts_of(part)]
+        return pa.concat_tables([pa.table(x) for x in found])
 
     asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk long, hash long")
     told = asked.join(table, "hash").select("chunk", "hash", "ids")
@@ -389,11 +428,8 @@ def decoded(rows: DataFrame, model: Model) -> DataFrame:
 
     Only DataFrame functions: the model is one array literal of fixed size.
     """
-    shown = [p.encode() if ok else b"" for p, ok in zip(model.pieces, model.plain, strict=True)]
-    for b, i in model.bytes_from.items():
-        shown[i] = bytes([b])
     spark = rows.sparkSession
-    table = F.broadcast(spark.createDataFrame([([x.hex() for x in shown],)], "_pieces array<string>"))
+    table = F.broadcast(spark.createDataFrame([([x.hex() for x in _shown(model)],)], "_pieces array<string>"))
     whole = F.unhex(F.array_join(F.transform("ids", lambda i: F.element_at("_pieces", i + 1)), ""))
-    text = F.regexp_replace(F.replace(F.decode(whole, "UTF-8"), F.lit(MARK), F.lit(" ")), "^ ", "")
+    text = F.regexp_replace(F.decode(whole, "UTF-8"), "^ ", "")
     return rows.join(table, F.lit(True)).withColumn("text", text).drop("_pieces")

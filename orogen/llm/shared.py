@@ -86,16 +86,21 @@ class Words:
         last = inside & (~after[1:] | edge[1:])
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
-        power, inverse = _powers(n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((mapped.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-        self.hash = mixed((sums[self.end] - sums[self.start]) * inverse[self.start])
+        self.hash = hashes(mapped, self.start, self.end)
 
     def per_doc(self, values: np.ndarray | None = None) -> np.ndarray:
         """For each text the number of its words, or the sum of their values."""
         return np.bincount(self.doc, weights=values, minlength=len(self.offsets) - 1)
 
 
+def hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes."""
+    power, inverse = _powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
+    return mixed((sums[stop] - sums[start]) * inverse[start])
+
+
 _POWERS: list[np.ndarray] = []
 
 
