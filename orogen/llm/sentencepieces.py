@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ _BITS = 62
 #: Up to so many distinct units are sent to all tasks (some 20 bytes each); more are joined by shuffle.
 MOST_BROADCAST = 8_000_000
 #: Bytes of text that a task looks at together; a longer text is looked at alone.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -226,19 +227,39 @@ def _char_ids(model: Model, c: str) -> list[int]:
     return [model.bytes_from.get(b, model.unknown) for b in c.encode()] if model.bytes_from else [model.unknown]
 
 
-def _ids_of(unit: str, edges: list[int], model: Model) -> list[int]:
-    """The ids of a unit whose pieces of two and more characters are chosen."""
-    out: list[int] = []
-    at = 0
-    for start, stop, piece in sorted((63 - ((e >> 24) & 63), (e >> 30) & 63, e & 0xFFFFFF) for e in edges):
-        while at < start:
-            out += _char_ids(model, unit[at])
-            at += 1
-        out.append(piece)
-        at = stop
-    for c in unit[at:]:
-        out += _char_ids(model, c)
-    return out
+class Characters:
+    """The ids of characters alone: one of their own, or those of their bytes."""
+
+    def __init__(self, model: Model):
+        self.single = np.full(0x110000, -1, np.int32)
+        for p, i in model.ids.items():
+            if len(p) == 1:
+                self.single[32 if p == MARK else ord(p)] = i
+        self.unknown, self.has_bytes = model.unknown, bool(model.bytes_from)
+        self.byte = np.array([model.bytes_from.get(b, model.unknown) for b in range(256)], np.int32)
+
+    def filled(self, names: list[str], edges: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some units, and where each unit's begin (and the end): the chosen edges, and the characters between them."""
+        points = np.frombuffer("".join(names).encode("utf-32-le"), "<u4")
+        ends = np.append(0, np.cumsum([len(u) for u in names]))
+        chosen = edges.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(names)), edges.value_lengths().to_numpy(zero_copy_only=False))
+        start, stop = 63 - ((chosen >> 24) & 63), (chosen >> 30) & 63
+        first = ends[row] + start
+        ids, count = self.single[points], np.ones(len(points), np.int64)
+        inner = _within(first + 1, stop - start - 1)
+        count[inner], ids[inner], ids[first] = 0, 0, chosen & 0xFFFFFF
+        alone = np.flatnonzero(ids < 0)
+        ids[alone] = self.unknown
+        if self.has_bytes:
+            c = points[alone]
+            count[alone] = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+        cuts = np.cumsum(count)
+        out = np.repeat(ids, count)
+        if self.has_bytes and len(alone):
+            raw = np.frombuffer(points[alone].tobytes().decode("utf-32-le").encode(), np.uint8)
+            out[_within(cuts[alone] - count[alone], count[alone])] = self.byte[raw]
+        return out, np.append(0, cuts)[ends]
 
 
 def fold_long(unit: str, model: Model) -> list[int]:
@@ -279,14 +300,17 @@ def unit_table(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, alone = shared.value, Characters(shared.value)
         for batch in batches:
-            for part, raw, offsets in pieces(batch, "unit", PART_BYTES):
-                names, edges = part.column("unit").to_pylist(), part.column("edges").to_pylist()
-                names = [u.replace(" ", MARK) for u in names]
-                ids = [fold_long(u, known) if e is None else _ids_of(u, e, known) for u, e in zip(names, edges, strict=True)]
-                value = hashes(raw, offsets[:-1], offsets[1:]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array([np.array(x, known.width).tobytes() for x in ids], pa.binary())], names=["hash", "ids"])
+            short = batch.column("edges").is_valid()
+            for part, raw, offsets in pieces(batch.filter(short), "unit", PART_BYTES):
+                ids, cuts = alone.filled(part.column("unit").to_pylist(), part.column("edges"))
+                packed = ids.astype(known.width)
+                found = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((cuts * packed.itemsize).astype(np.int32)), pa.py_buffer(packed)])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes(raw, offsets[:-1], offsets[1:]).view(np.int64)), found], names=["hash", "ids"])
+            for part, raw, offsets in pieces(batch.filter(pc.invert(short)), "unit", PART_BYTES):
+                found = [np.array(fold_long(u.replace(" ", MARK), known), known.width).tobytes() for u in part.column("unit").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes(raw, offsets[:-1], offsets[1:]).view(np.int64)), pa.array(found, pa.binary())], names=["hash", "ids"])
 
     return written(chosen.mapInArrow(run, "hash long, ids binary"), "pieces-units")
 
@@ -312,9 +336,8 @@ def _collected(table: DataFrame, n: int, width: str) -> Lookup:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("ids")
-            sizes = np.array([len(x.as_py()) for x in ids], "<u4")
-            yield pa.RecordBatch.from_pydict({"hashes": [batch.column("hash").to_numpy().astype("<i8").tobytes()], "sizes": [sizes.tobytes()], "ids": [b"".join(x.as_py() for x in ids)]})
+            for part, raw, offsets in pieces(batch, "ids"):
+                yield pa.RecordBatch.from_pydict({"hashes": [np.asarray(part.column("hash")).astype("<i8").tobytes()], "sizes": [np.diff(offsets).astype("<u4").tobytes()], "ids": [raw.tobytes()]})
 
     key, size, flat, at = np.empty(n, np.uint64), np.empty(n, np.uint32), bytearray(), 0
     for r in table.mapInArrow(run, "hashes binary, sizes binary, ids binary").toLocalIterator():

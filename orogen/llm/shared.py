@@ -106,7 +106,7 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, PIECE_BYTES + 1)
+        size = -(-n // (1 << 18)) * (1 << 18)
         _POWERS[:] = [np.cumprod(np.r_[np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _POWERS[0][:n], _POWERS[1][:n]
 
