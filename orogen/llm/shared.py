@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task looks at together; a longer text is looked at alone.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
