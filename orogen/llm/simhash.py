@@ -169,8 +169,8 @@ def grouped(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFr
 #: themselves miss (1 - 0.8^4)^16, some 0.0002, of the pairs at 0.8 whatever the edit.
 SIMILARITY, SHINGLE, WIDE, WIDE_WORDS, WIDE_DENSE = 0.8, 5, 8, 2, 256
 BANDS, ROWS = 16, 4
-#: All pairs of a band's bucket with no more texts are candidates.
-BUCKET = 32
+#: All pairs of a band's bucket with no more texts are candidates; those of a larger one are compared in parts of PART texts.
+BUCKET, PART = 32, 1024
 
 
 def wide_links(fps: DataFrame, radius: int = WIDE, dense: int = WIDE_DENSE) -> DataFrame:
@@ -258,6 +258,50 @@ def _band_pairs(classes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return pairs.unionByName(large.select(F.col("rep").alias("a"), F.col("least").alias("b"))), large
 
 
+def _dense_links(large: DataFrame, sets: DataFrame, roots: DataFrame, least: float, part: int = PART) -> DataFrame:
+    """a, b: links that join all similar texts of the buckets large(key, rep, least) that roots(node, root) does not join yet.
+
+    In each bucket the texts outside the component of its least are compared with all of the bucket, except those of their own
+    component. Both sides are dealt into parts, so a group has a bound and a bucket is worked on by many tasks.
+    """
+    known = large.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("own")), "rep", "left").join(roots.select(F.col("node").alias("least"), F.col("root").alias("led")), "least", "left")
+    known = known.select("key", "rep", F.coalesce("own", "rep").alias("root"), (F.coalesce("own", "rep") != F.coalesce("led", "least")).alias("other"))
+    counts = known.groupBy("key").agg(F.count("*").alias("n"), F.count_if("other").alias("k")).filter("k > 0")
+    counts = counts.select("key", F.ceil(F.col("n") / part).alias("n"), F.ceil(F.col("k") / part).alias("k"))
+    known = written(known.join(counts, "key"), "dedup-dense")
+    deal = lambda of: F.pmod(F.xxhash64("rep", F.lit(of)), F.col(of))
+    alls = known.select("key", "rep", "root", F.lit(False).alias("asks"), deal("n").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
+    others = known.filter("other").select("key", "rep", "root", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"), deal("k").alias("i"))
+    dealt = alls.unionByName(others).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rep, root, asks = (table.column(c).to_numpy() for c in ("rep", "root", "asks"))
+        found = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("shingles")]
+        size = np.array([len(x) for x in found])
+        place = np.unique(np.concatenate(found), return_inverse=True)[1]
+        start = np.append(0, np.cumsum(size))
+        mark = np.zeros(int(place.max()) + 1, np.int32)
+        a, b = [], []
+        for row in np.flatnonzero(asks):
+            apart = root != root[row]
+            if not apart.any():
+                continue
+            mine = place[start[row] : start[row + 1]]
+            mark[mine] = 1
+            shared = np.add.reduceat(mark[place], start[:-1])
+            mark[mine] = 0
+            near = np.flatnonzero(apart & (shared >= least * (size + size[row] - shared)))
+            # one link for each component that is joined
+            joined, one = np.unique(root[near], return_index=True)
+            a += [int(rep[row])] * len(one)
+            b += rep[near[one]].tolist()
+            root = np.where(np.isin(root, joined), root[row], root)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.select("key", "i", "j", "rep", "root", "asks", "shingles").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, most: int = BUCKET) -> DataFrame:
     """The rows of docs without near-duplicates: of a group of texts linked by similarity the one with the smallest doc_id stays.
 
@@ -282,7 +326,12 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, most: int = BU
     found = written(found.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "dedup-pairs")
     wanted = found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id"))).distinct()
     sets = written(_shingle_sets(named, wanted).groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "dedup-shingles")
-    roots = components(written(_similar(found, sets, similarity), "dedup-links"))
+    linked = written(_similar(found, sets, similarity), "dedup-links")
+    roots = components(linked)
+    if not large.isEmpty():
+        more = written(_dense_links(large, sets, roots, similarity).distinct(), "dedup-dense-links")
+        if not more.isEmpty():
+            roots = components(linked.unionByName(more))
     # a class goes if it is linked with a smaller one; of a class only its representative stays
     gone = texts.join(classes.select("same", "rep"), "same").filter("doc_id <> rep").select("doc_id")
     gone = gone.unionByName(roots.filter("node <> root").select(F.col("node").alias("doc_id"))).distinct()

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
-from orogen.llm import simhash
+from orogen.llm import components, simhash
 
 from .corpus import sentence, table, vocabulary
+from .test_matches import roots_of
 
 
 def jaccard(x, y):
@@ -27,3 +28,27 @@ def test_appended_and_replaced_blocks_are_near_copies(spark):
     assert kept == set(range(80))
 
 
+def test_a_dense_bucket_is_compared_beyond_its_least_text(spark):
+    rng = random.Random(32)
+    words = vocabulary(rng, 3000)
+    texts = [sentence(rng, 60, words)]
+    for _ in range(12):
+        long = sentence(rng, 120, words).split()
+        # a chain: each is similar to the next one alone
+        texts += [" ".join(long[k : k + 100]) for k in (0, 8, 16)]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    docs = table(spark, texts)
+    large = spark.createDataFrame([(1, i, 0) for i in range(len(texts))], "key long, rep long, least long")
+    sets = simhash._shingle_sets(docs, docs.select("doc_id"))
+    none = spark.createDataFrame([], "node long, root long")
+    want = roots_of(len(texts), links)
+    for part in (5, 1024):
+        got = [(r.a, r.b) for r in simhash._dense_links(large, sets, none, 0.8, part).collect()]
+        assert roots_of(len(texts), got) == want
+        assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in got)
+    known = components.components(spark.createDataFrame(links[:9], "a long, b long"))
+    got = [(r.a, r.b) for r in simhash._dense_links(large, sets, known, 0.8, 7).collect()]
+    assert roots_of(len(texts), links[:9] + got) == want
+    # buckets of two are dense here
+    kept = {r.doc_id for r in simhash.deduplicated(docs, most=2).collect()}
+    assert kept == set(want)
