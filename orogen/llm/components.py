@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from .shared import forget, written
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links the neighbours of each node to the least of them and itself: the larger neighbours, or (small) the smaller ones."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    # written, so that both sides of the join are plain shuffles and Spark can split a node that very many edges have
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     moved = both.filter("b > a") if large else both
-    found = moved.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    found = moved.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         found = found.unionByName(least.select("a", F.col("m").alias("b")))
-    return found.filter("a <> b").distinct()
+    after = written(found.filter("a <> b").distinct(), "links")
+    forget(least)
+    return after
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,8 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
         if told == seen:
             break
         seen = told
-        after = written(_stars(_stars(now, True), False), "links")
+        middle = _star(now, True)
         forget(now)
-        now = after
+        now = _star(middle, False)
+        forget(middle)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
