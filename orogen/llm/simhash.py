@@ -32,8 +32,8 @@ from .shared import forget, mixed, written
 
 #: Fixed by the contract.
 SEED, WORDS, RADIUS = 42, 4, 4
-#: A bucket with more fingerprints is linked by midpoints.
-DENSE = 64
+#: A bucket with more fingerprints is linked by midpoints. Keys of buckets (16 bytes each) that may be broadcast.
+DENSE, MOST_SENT = 64, 1 << 17
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -128,14 +128,16 @@ def links(fps: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame
     """a, b: links that join exactly the fingerprints of fps(fp) (each once) that a chain of distances up to radius joins."""
     probes, table, large = _met(fps, radius, dense)
     crowded = large.count()
+    # a few keys of crowded buckets go to all tasks, more are joined by a shuffle
+    of_large = F.broadcast(large) if crowded <= MOST_SENT else large.hint("merge")
     # pairs of a crowded bucket are never made; merge: no side may be sent to every task, however well it is packed
-    sparse = table.join(large.hint("merge"), ["segment", "value"], "left_anti") if crowded else table
+    sparse = table.join(of_large, ["segment", "value"], "left_anti") if crowded else table
     near = (probes["segment"] == sparse["segment"]) & (probes["value"] == sparse["value"]) & (F.col("asks") < F.col("fp")) & (_distance("asks", "fp") <= radius)
     found = probes.join(sparse.hint("merge"), near).select(F.col("asks").alias("a"), F.col("fp").alias("b"))
     if not crowded:
         return found
-    met = probes.join(large.hint("merge"), ["segment", "value"], "left_semi").select(F.col("asks").alias("fp"))
-    met = met.unionByName(table.join(large.hint("merge"), ["segment", "value"], "left_semi").select("fp")).distinct()
+    met = probes.join(of_large, ["segment", "value"], "left_semi").select(F.col("asks").alias("fp"))
+    met = met.unionByName(table.join(of_large, ["segment", "value"], "left_semi").select("fp")).distinct()
     return found.unionByName(midpoint_links(written(met, "simhash-met"), radius))
 
 
