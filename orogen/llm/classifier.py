@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rules import _run_sums, text_counts
-from .shared import Words, fold_of, held_out, pieces, sampled, table_of_bytes
+from .shared import Words, fold_of, held_out, pieces, sampled, small_batches, table_of_bytes
 
 #: Hashed words have the features 0 to WORDS - 1; the statistics follow, each cut into STEPS intervals.
 WORDS, STEPS = 1 << 15, 16
@@ -139,7 +139,8 @@ def trained(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, label:
 
 
 def scored(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, cutoff: float = 0.7) -> DataFrame:
-    """docs with held_out, score and predicted (1 if score >= cutoff). The machine's size is fixed: FEATURES * (RANK + 1) numbers."""
+    """docs with held_out, score and predicted (1 if score >= cutoff), in place of columns so named. The machine's size is fixed: FEATURES * (RANK + 1) numbers."""
+    small_batches(docs.sparkSession)
     machine = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, most_rows))
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     plain = docs.select(*kept)
@@ -159,6 +160,13 @@ def scored(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, cutoff:
     return out.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000) -> DataFrame:
+    """The rows of docs that the machine predicts 1 for, with their own columns, whatever these are named."""
+    own = [c if c in ("doc_id", "text") else f"column_{k}" for k, c in enumerate(docs.columns)]
+    told = scored(docs.toDF(*own), labels, most_rows).filter("predicted = 1")
+    return told.select(*own).toDF(*docs.columns)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     return scored(docs.select("doc_id", "text"), labels, most_rows).select("doc_id", "held_out", "score", "predicted")

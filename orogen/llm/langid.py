@@ -6,7 +6,7 @@ bundles the unit vectors of its training texts, and a text gets the language who
 
 Defined cases: a null text or one without a letter gets "und" and score 0; so does every text if nothing can be learned; equal
 cosines go to the smaller name; a null lang never trains; a null doc_id is not held out and never trains; repeated rows are
-judged alike; extra columns are ignored; an empty table gives an empty result.
+judged alike; a text of any length is bundled in cuts, each of which has its own ends (two n-grams in some 260,000); extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold_of, held_out, pieces, sampled
+from .shared import fold_of, held_out, pieces, sampled, small_batches
 
 DIMENSIONS = 1024
 #: n-grams seen most often in a piece are bundled by a dense product, the rest one by one.
 _DENSE = 1536
+#: Characters that are bundled together.
+_CUT = 1 << 18
 _PIECE = 1 << 20
 
 
@@ -41,11 +43,29 @@ def _folded() -> np.ndarray:
 
 def letter_vectors(letters: np.ndarray) -> np.ndarray:
     """A row of +1 and -1 for each code point; 0, the gap between words, has one too. They follow from the code point alone."""
-    return np.stack([np.random.default_rng([6, int(c)]).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1 for c in letters]).astype(np.float32) if len(letters) else np.zeros((0, DIMENSIONS), np.float32)
+    return np.stack([np.random.default_rng([6, int(c)]).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1 for c in letters]) if len(letters) else np.zeros((0, DIMENSIONS), np.int8)
 
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The bundled vector of each text, and whether it has a letter. Three-letter n-grams, gaps between words included."""
+    """The bundled vector of each text, and whether it has a letter. Three-letter n-grams, gaps between words included.
+
+    Bundles add, so a text of more than _CUT characters is bundled cut by cut and needs no more memory than a short one.
+    """
+    cuts = [(k, t[at : at + _CUT]) for k, t in enumerate(texts) for at in range(0, max(1, len(t)), _CUT)]
+    out, has = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), bool)
+    first = size = 0
+    for last in range(len(cuts)):
+        size += len(cuts[last][1])
+        if size >= _CUT or last + 1 == len(cuts):
+            own = np.array([k for k, _ in cuts[first : last + 1]])
+            found, some = _bundled([t for _, t in cuts[first : last + 1]])
+            np.add.at(out, own, found)
+            np.logical_or.at(has, own, some)
+            first, size = last + 1, 0
+    return out, has
+
+
+def _bundled(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = len(texts)
     out, has = np.zeros((n, DIMENSIONS), np.float32), np.zeros(n, bool)
     points = np.frombuffer(" ".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
@@ -69,20 +89,22 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     rank[order] = np.arange(len(order))
     slot, grams = rank[slot], grams[order]
     base = letter_vectors(letters)
-    bound = base[grams // (a * a)] * np.roll(base, 1, axis=1)[grams // a % a] * np.roll(base, 2, axis=1)[grams % a]
+    turned, twice = np.roll(base, 1, axis=1), np.roll(base, 2, axis=1)
+    bound = lambda g: base[g // (a * a)] * turned[g // a % a] * twice[g % a]
     v = len(grams)
     dense = min(v, _DENSE)
+    often_bound = bound(grams[:dense]).astype(np.float32)
     block = max(1, (1 << 21) // v)
     for start in range(0, n, block):
         lo, hi = np.searchsorted(doc, [start, start + block])
         rows = min(block, n - start)
         counts = np.bincount((doc[lo:hi] - start) * v + slot[lo:hi], minlength=rows * v).reshape(rows, v)
-        part = counts[:, :dense].astype(np.float32) @ bound[:dense]
+        part = counts[:, :dense].astype(np.float32) @ often_bound
         r, c = np.nonzero(counts[:, dense:])
-        for cut in range(0, len(r), 1 << 15):
-            rr, cc = r[cut : cut + (1 << 15)], c[cut : cut + (1 << 15)] + dense
+        for cut in range(0, len(r), 1 << 12):
+            rr, cc = r[cut : cut + (1 << 12)], c[cut : cut + (1 << 12)] + dense
             first = np.flatnonzero(np.append(True, rr[1:] != rr[:-1]))
-            part[rr[first]] += np.add.reduceat(bound[cc] * counts[rr, cc].astype(np.float32)[:, None], first, axis=0)
+            part[rr[first]] += np.add.reduceat(bound(grams[cc]) * counts[rr, cc].astype(np.float32)[:, None], first, axis=0)
         out[start : start + rows] = part
     return out, has
 
@@ -97,10 +119,11 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, [t or "" for t in part.column("text").to_pylist()]
 
 
-def prototypes(docs: DataFrame, most_rows: int = 20_000, most_languages: int = 1000) -> tuple[list[str], np.ndarray]:
+def prototypes(docs: DataFrame, most_rows: int = 20_000) -> tuple[list[str], np.ndarray]:
     """The names of the languages and their unit prototypes, learned from about `most_rows` rows that are not held out.
 
-    Each input partition adds up its own languages; Spark adds these sums. Of more than `most_languages` the most frequent stay.
+    Each input partition adds up its own languages; Spark adds these sums. Every language of these rows has a prototype, so there are no
+    more of them than rows.
     """
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != 2))
     chosen = sampled(usable, F.col("doc_id"), most_rows, usable.count())
@@ -121,12 +144,13 @@ def prototypes(docs: DataFrame, most_rows: int = 20_000, most_languages: int = 1
     partial = chosen.mapInArrow(run, "lang string, rows long, sums array<double>")
     total = partial.select("lang", "rows", F.posexplode("sums").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"), F.sum("rows").alias("rows"))
     whole = total.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"), F.max("rows").alias("rows"))
-    got = sorted(whole.orderBy(F.desc("rows"), "lang").limit(most_languages).collect(), key=lambda r: r["lang"])
+    got = sorted(whole.collect(), key=lambda r: r["lang"])
     return [r["lang"] for r in got], _unit(np.array([r["v"] for r in got], dtype=np.float64).reshape(len(got), DIMENSIONS)).astype(np.float32)
 
 
 def predicted(docs: DataFrame, most_rows: int = 20_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score (the cosine, 0 if negative) of every document."""
+    small_batches(docs.sparkSession)
     learned = docs.sparkSession.sparkContext.broadcast(prototypes(docs, most_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 S(w | context) = count(context w) / count(context) if the n-gram was counted at least `least` times, else 0.4 S(w | shorter
 context), and count(w) / N for single words. The counts come from all texts.
 
-The texts are dealt into chunks of bounded size by a hash of doc_id. Every chunk explodes its n-grams, adds up equal ones and sends
+The texts are dealt into chunks of bounded size by a hash of doc_id and text. Every chunk explodes its n-grams, adds up equal ones and sends
 each once, to the bucket of its hash; a bucket adds up the chunks' counts (the count table of that bucket) and joins the totals
 back to the n-grams that each chunk asked for; the chunk sums the scores of its documents. However frequent an n-gram is, a
 bucket sees it once for each chunk. The rows that travel are sorted arrays, packed: an n-gram costs some six bytes instead of
@@ -11,7 +11,7 @@ the thirty of a row. The number of buckets and chunks grows with the bytes of te
 
 Defined cases: words are the runs between the separators of the shared reader, lower-cased A-Z; a null text or one without
 words has n_words 0, log_score 0 and mean_log_score null; a first word has no context; repeated rows count as often as they occur;
-a null doc_id forms a chunk key of its own; extra columns are ignored; an empty table gives an empty result.
+rows with one doc_id, or none, are dealt by their texts; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def scores(docs: DataFrame, order: int = 2, least: int = 2) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks, buckets = total // CHUNK_BYTES + 1, total // BUCKET_BYTES + 1
-    dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
 
     def explode(table: pa.Table) -> pa.Table:
         words, _ = _chunk_words(table)
@@ -125,7 +125,7 @@ def scores(docs: DataFrame, order: int = 2, least: int = 2) -> DataFrame:
             backed += has & ~good
             shorter = counts
         n_doc = words.per_doc()
-        log = np.round(words.per_doc(value), 6)
+        log = np.round(words.per_doc(value).astype(np.float64), 6)
         return pa.table(
             {"doc_id": texts.column("doc_id"), "n_words": pa.array(n_doc.astype(np.int64)), "n_backoffs": pa.array(words.per_doc(backed).astype(np.int64)), "log_score": pa.array(log)}
         )

@@ -8,12 +8,15 @@ values never collide, and equal values stay equal in all documents. Digits keep
 * A card number that passes the Luhn test gives one that passes it: all but the check digit are permuted, then it is computed.
 * An IPv4 address permutes its 32 bits and stays an address. A date stays a date of the calendar; a text that only looks like
   a date or an address (month 13, octet 300) is not validated and stays.
-* The digits of a telephone number after its country prefix are permuted.
-* E-mail names and secrets have no number format: each is replaced by as many keyed hexadecimal digits (at most 64) as it has
-  characters, the e-mail's domain by example.com.
+* The digits of a telephone number after its country code are permuted, however they are separated; so are those of a social-security
+  number.
+* E-mail names and secrets have no number format: each is replaced by as many keyed hexadecimal digits (at most 64, for names at
+  least 16) as it has characters, the e-mail's domain by example.com.
+
+The key is the caller's: who has it can undo the pseudonyms. IBANs and IPv6 addresses are not known and stay.
 
 Defined cases: a null or empty text stays; a text without personal data stays byte for byte; an empty table gives an empty
-result; extra columns stay; columns named like a helper are not touched, since none is added.
+result; a very long text, or a very long run of what looks like one address, is searched in one pass without recursion; extra columns stay; columns named like a helper are not touched, since none is added.
 """
 
 from __future__ import annotations
@@ -22,17 +25,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Country codes of fewer than three digits (ITU E.164), as patterns.
+_COUNTRIES = ("1", "7", "2[07]", "3[0-469]", "4[013-9]", "5[1-8]", "6[0-6]", "8[1246]", "9[0-58]")
 #: Days of the Gregorian 400-year cycle: 27 * 5411.
 _CYCLE, _LEFT = 146097, 27
 
-#: What may be personal data, the most specific first. Java regular expressions; each alternative consumes at least one character.
+#: What may be personal data, the most specific first. Java regular expressions; each alternative consumes at least one character, and
+#: what may repeat without bound does so possessively, since Java's matcher calls itself for each repeat of a greedy group.
 _SECRET = r"(?i:token|api[_-]?key|secret|password|passwd|pwd)[\x20\t]*[=:][\x20\t]*[\"']?[A-Za-z0-9_+/\-]{12,}"
-_EMAIL = r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"
+_EMAIL = r"(?<![\w.+%-])[\w.+%-]++@[\w-]++(?:\.[\w-]++)++"
 _IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 _PHONE = r"(?<![\w+])\+\d{1,3}[\x20.-]?\(?\d{2,4}\)?[\x20.-]?\d{3,4}[\x20.-]?\d{3,4}(?!\d)|(?<![\w)])\(\d{3}\)[\x20-]?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\d-])"
 _DATE = r"(?<![\d/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d/-])"
+_SOCIAL = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _NUMBER = r"(?<![\d])\d(?:[\x20-]?\d){12,18}(?![\d])"
-PATTERN = "|".join((_SECRET, _EMAIL, _IP, _DATE, _PHONE, _NUMBER))
+PATTERN = "|".join((_SECRET, _EMAIL, _IP, _DATE, _SOCIAL, _PHONE, _NUMBER))
 #: A text without any of these shapes has nothing for PATTERN; this test is cheap.
 _HINT = r"@|\d[\d.()\x20/-]{5}|[=:][\x20\t]*[\"']?[A-Za-z0-9_+/\-]{12}"
 
@@ -125,7 +132,7 @@ def pseudonym(found: Column, key: str) -> Column:
     digits = F.regexp_replace(found, "[^0-9]", "")
     # e-mail
     name = F.regexp_extract(found, "^([^@]*)@", 1)
-    email = F.concat(_hex(F.lower(found), F.greatest(F.length(name), F.lit(8)), key, "email"), F.lit("@example.com"))
+    email = F.concat(_hex(F.lower(found), F.greatest(F.length(name), F.lit(16)), key, "email"), F.lit("@example.com"))
     # secret
     head = F.regexp_extract(found, "^([^=:]*[=:][\\x20\\t]*[\"']?)", 1)
     value = F.substring(found, F.length(head) + 1, F.length(found))
@@ -139,7 +146,7 @@ def pseudonym(found: Column, key: str) -> Column:
     iso = F.try_to_timestamp(found, F.lit("yyyy-MM-dd")).cast("date")
     european = F.try_to_timestamp(found, F.lit("dd/MM/yyyy")).cast("date")
     # telephone: the country prefix stays
-    prefix = F.regexp_extract(found, r"^(\+\d{1,3})", 1)
+    prefix = F.regexp_extract(found, r"^(\+(?:%s|\d{3}))" % "|".join(_COUNTRIES), 1)
     rest = F.substring(found, F.length(prefix) + 1, F.length(found))
     rest_digits = F.regexp_replace(rest, "[^0-9]", "")
     phone = F.concat(prefix, _within(rest, permuted_digits(rest_digits, key, "phone")))
@@ -174,14 +181,14 @@ def replaced(text: Column, found: Column, key: str) -> Column:
     return F.when(F.size(found) > 0, F.array_join(F.zip_with(gaps, put, lambda g, p: F.concat(g, p)), "")).otherwise(text)
 
 
-def pseudonymised(docs: DataFrame, key: str = "orogen", column: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """docs with personal data in column replaced; all columns stay. n_chars, where there is one, follows the new text."""
     text = F.col(column)
     out = docs.withColumn(column, _let(text, lambda t: replaced(t, matches(t), key)))
     return out.withColumn("n_chars", F.length(column).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
-def report(docs: DataFrame, key: str = "orogen") -> DataFrame:
+def report(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text (replaced), n_found, kinds (sorted, comma-separated) of every document."""
     found = docs.select(F.col("doc_id"), "text", matches(F.col("text")).alias("_found"))
     return found.select(

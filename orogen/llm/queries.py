@@ -12,6 +12,8 @@ from . import classifier, decontamination, langid, ngrams, passages, pii, rules,
 
 #: The model of op8_sentencepiece and of the pipeline; sentencepieces.load() takes any path.
 PIECES = os.environ.get("OROGEN_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+#: The key of the pseudonyms. Whoever runs these queries for more than a check sets one of their own.
+PII_KEY = os.environ.get("OROGEN_PII_KEY", "for checks alone")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +37,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(_table(spark, sf_dir, "documents"))
+    return pii.report(_table(spark, sf_dir, "documents"), PII_KEY)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

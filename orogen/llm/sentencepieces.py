@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ngrams import CHUNK_BYTES
-from .shared import hashes, pieces, written
+from .shared import hashes, pieces, small_batches, written
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -402,6 +402,7 @@ def encoded(docs: DataFrame, model: Model, keep_ids: bool = False, most_broadcas
     """doc_id, n_pieces, ids_digest (XXH64 of the packed ids), round_trip (they decode to the text), and with keep_ids also ids."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(spark)
     table = unit_table(plain, model)
     schema = "doc_id long, n_pieces long, ids_digest string, round_trip boolean" + (", ids array<int>" if keep_ids else "")
     n = table.count()
@@ -417,7 +418,7 @@ def encoded(docs: DataFrame, model: Model, keep_ids: bool = False, most_broadcas
         return plain.mapInArrow(run, schema)
     # beyond that bound: chunks of texts ask for their units, and the answers meet the texts again
     total = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(total // CHUNK_BYTES + 1)))
+    dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(total // CHUNK_BYTES + 1)))
     shared_shown = spark.sparkContext.broadcast(Shown(model))
     width = model.width
 

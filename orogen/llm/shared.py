@@ -44,6 +44,14 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from now on, where the session has Spark's own default of 10,000: a batch of texts is held
+    by the JVM and by Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, rows)
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 4; 2 is the held-out part. Null for a null doc_id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import forget, mixed, written
+from .shared import forget, mixed, small_batches, written
 
 #: Fixed by the contract.
 SEED, WORDS, RADIUS = 42, 4, 4
@@ -153,6 +153,7 @@ def midpoint_links(fps: DataFrame, radius: int) -> DataFrame:
 
 def grouped(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id of every row of docs(doc_id, text)."""
+    small_batches(docs.sparkSession)
     prints = written(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words), "simhash-fp")
     once = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-once")
     roots = components(links(once.select("fp"), radius))
@@ -316,6 +317,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, part: int = PAR
     of their shingles. In each bucket all are compared with the least, so a bucket gives rows in proportion to its size; what
     this leaves apart is compared with all of the bucket.
     """
+    small_batches(docs.sparkSession)
     texts = written(_texts(docs), "dedup-texts")
     classes = written(texts.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "dedup-classes")
     once = written(classes.groupBy("fp").agg(F.min("same").alias("lead"), F.count("*").alias("size")), "dedup-leads")

@@ -100,3 +100,28 @@ def test_sum_of_squares_identity():
         x = value[doc == d]
         want = 0.5 + x @ linear + sum(pairs[i] @ pairs[j] * x[i] * x[j] for i in range(5) for j in range(i))
         assert abs(got[d] - want) < 1e-12
+
+
+def test_a_text_of_many_different_letters_is_bundled_in_bounded_memory(spark):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 500_000)))
+    langid.vectors(["warm up"])
+    tracemalloc.start()
+    found, has = langid.vectors([text, "kurz"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert has.all() and peak < 500e6
+    parts = sum(langid.vectors([text[k : k + langid._CUT]])[0][0] for k in range(0, len(text), langid._CUT))
+    assert np.allclose(found[0], parts)
+
+
+def test_the_stage_keeps_columns_that_the_machine_has_too(spark):
+    rows = [(i, "fine words of prose " * 9 if i % 2 else "### buy |", -7.0, 3, "mine") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted int, held_out string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    kept = classifier.accepted(docs, labels)
+    assert kept.schema == docs.schema
+    got = kept.collect()
+    assert got and {(r.score, r.predicted, r.held_out) for r in got} == {(-7.0, 3, "mine")} and all(r.doc_id % 2 for r in got)
