@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouping import remove_collocated
+
 
 def distance(a: str, b: str) -> Column:
     return F.sqrt(sum(((F.col(f"{a}.{k}") - F.col(f"{b}.{k}")) * (F.col(f"{a}.{k}") - F.col(f"{b}.{k}")) for k in "xyzc"), F.lit(0.0)))
@@ -63,7 +65,8 @@ def bounds(points: DataFrame) -> DataFrame:
 
 
 def metrics(points: DataFrame) -> DataFrame:
-    """Bounds, and as resolution half the mean distance to the nearest neighbour."""
+    """Bounds, and as resolution half the mean distance to the nearest neighbour, of the points that are not collocated with another."""
+    points = remove_collocated(points.withColumn("constraint_id", F.col("idx")), ("model_id",)).drop("constraint_id")
     return bounds(points).join(average_nearest(points), "model_id").withColumn("resolution", F.col("average") / 2).drop("average")
 
 

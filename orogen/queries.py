@@ -213,9 +213,19 @@ def spatial_closest_to_distance(spark, sf):
     return spatial.closest_to_distance(p, p, 0.3).withColumn("gap", _r("gap"))
 
 
-@query(f"WITH {_PAIRS}, n AS (SELECT model_id, a, min(d) AS d FROM pairs WHERE a <> b GROUP BY model_id, a), b AS (SELECT model_id, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(z) AS z_min, max(z) AS z_max FROM points GROUP BY model_id) SELECT b.*, round(coalesce(r.d, 0) / 2, 6) AS resolution FROM b LEFT JOIN (SELECT model_id, avg(d) AS d FROM n GROUP BY model_id) r USING (model_id)")
+@query(f"""WITH RECURSIVE {_POINTS}, twice AS (SELECT * FROM points UNION ALL SELECT model_id, idx + 1000000, x + 0.0005, y, z FROM points WHERE idx % 5 = 0),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY x, y, z, idx) AS n FROM twice),
+    fold AS (SELECT model_id, idx, x, y, z, n, x AS lx, y AS ly, z AS lz, true AS kept FROM ordered WHERE n = 1
+        UNION ALL SELECT model_id, idx, x, y, z, n, CASE WHEN near THEN lx ELSE x END, CASE WHEN near THEN ly ELSE y END, CASE WHEN near THEN lz ELSE z END, NOT near
+        FROM (SELECT o.*, f.lx, f.ly, f.lz, abs(o.x - f.lx) < 1e-3 AND abs(o.y - f.ly) < 1e-3 AND abs(o.z - f.lz) < 1e-3 AS near FROM fold f JOIN ordered o ON o.model_id = f.model_id AND o.n = f.n + 1)),
+    left_over AS (SELECT * FROM fold WHERE kept),
+    n AS (SELECT a.model_id, a.idx, min(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2)) AS d FROM left_over a JOIN left_over b ON a.model_id = b.model_id AND a.idx <> b.idx GROUP BY a.model_id, a.idx),
+    b AS (SELECT model_id, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(z) AS z_min, max(z) AS z_max FROM left_over GROUP BY model_id)
+    SELECT b.*, round(coalesce(r.d, 0) / 2, 6) AS resolution FROM b LEFT JOIN (SELECT model_id, avg(d) AS d FROM n GROUP BY model_id) r USING (model_id)""")
 def spatial_metrics(spark, sf):
-    return spatial.metrics(tables.points(spark, sf)).withColumn("resolution", _r("resolution"))
+    p = tables.points(spark, sf)
+    beside = p.filter("idx % 5 = 0").withColumn("idx", F.col("idx") + 1_000_000).withColumn("x", F.col("x") + 0.0005)
+    return spatial.metrics(p.unionByName(beside)).withColumn("resolution", _r("resolution"))
 
 
 @query(f"""WITH {_POINTS}, r AS (SELECT model_id, unnest(['x', 'y', 'z']) AS axis, unnest([max(x) - min(x), max(y) - min(y), max(z) - min(z)]) AS range FROM points GROUP BY model_id)

@@ -204,6 +204,11 @@ def test_collocated_rows_are_compared_with_the_last_kept(spark):
     assert sorted(r.constraint_id for r in grouping.remove_collocated(rows).collect()) == [0, 2]
 
 
+def test_metrics_leave_out_collocated_points(spark):
+    points = spark.createDataFrame([(1, i, x, 0.0, 0.0, 0.0) for i, x in enumerate((0.0, 0.0005, 4.0))], "model_id long, idx long, x double, y double, z double, c double")
+    assert spatial.metrics(points).first().resolution == 2.0
+
+
 def test_spatial(spark):
     points = spark.createDataFrame([(1, i, *map(float, p), 0.0) for i, p in enumerate([(0, 0, 0), (3, 4, 0), (-3, -4, 0)])], "model_id long, idx long, x double, y double, z double, c double")
     r = spatial.farthest_pair(points).first()
