@@ -2,7 +2,7 @@
 
 The models are small and go to the queries if their size, which is checked, is below BROADCAST_BYTES; the queries then are a stateless
 map without a shuffle. Larger sets of models meet their queries by model_id, the queries of one model dealt to as many parts as
-they need.
+they need. Linear models whose terms have one shape are evaluated together, so many small models cost as much as one.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import FieldError
 from . import dense
 from .modified import ModifiedKernel
 
-BROADCAST_BYTES, PART_ROWS, BLOCK = 64 << 20, 200_000, 2048
+BROADCAST_BYTES, PART_ROWS, CELLS = 64 << 20, 200_000, 1 << 18
 SCALARS, GRADIENTS = "model_id long, query_id long, value double", "model_id long, query_id long, gx double, gy double, gz double"
 
 
@@ -34,37 +35,105 @@ class Field:
         points = row["basis_points"]
         self.modified = None if points is None else ModifiedKernel(np.array(points, float).reshape(-1, 3), self.kernel, self.shape, self.transform)
 
-    def apply(self, functionals: dense.Terms) -> np.ndarray:
-        out = np.zeros(functionals.size)
-        if self.modified is not None:
-            return self.modified.matrix(functionals, self.terms) @ self.weight
-        if len(self.weight):
-            out += dense.kernel_matrix(functionals, self.terms, self.kernel, self.shape, self.transform) @ self.weight
-        if len(self.polynomial):
-            out += dense.polynomial_matrix(functionals, self.order, self.truncated) @ self.polynomial
-        return out
-
-    def scalar(self, points: np.ndarray) -> np.ndarray:
-        n = len(points)
-        return self.apply(dense.Terms(np.arange(n), np.ones(n), points, np.zeros((n, 3)))) if n else np.zeros(0)
+    def shape_key(self) -> tuple:
+        """Fields with equal keys are evaluated together; a modified kernel and a transform are a field's own."""
+        if self.modified is not None or self.transform is not None:
+            return (id(self),)
+        return self.kernel, self.shape, self.order, self.truncated, len(self.polynomial), (self.terms.direction != 0).any(axis=1).tobytes()
 
-    def gradient(self, points: np.ndarray) -> np.ndarray:
+    def modified_at(self, points: np.ndarray, direction: np.ndarray) -> np.ndarray:
         n = len(points)
-        if not n:
-            return np.zeros((0, 3))
-        ones = lambda k: np.tile(np.eye(3)[k], (n, 1))
-        return np.stack([self.apply(dense.Terms(np.arange(n), np.ones(n), points, ones(k))) for k in range(3)], axis=1)
+        return self.modified.matrix(dense.Terms(np.arange(n), np.ones(n), points, np.tile(direction, (n, 1))), self.terms) @ self.weight
+
+
+class Fields:
+    """Fields of one shape, stacked: terms by (field, term)."""
+
+    def __init__(self, fields: list[Field]):
+        self.one = fields[0]
+        self.directed = (self.one.terms.direction != 0).any(axis=1)
+        self.point, self.direction = np.stack([f.terms.point for f in fields]), np.stack([f.terms.direction for f in fields])
+        self.weight = np.stack([f.terms.coefficient * f.weight[f.terms.owner] for f in fields])
+        self.polynomial = np.stack([f.polynomial for f in fields])
+
+    def __call__(self, field: np.ndarray, points: np.ndarray, gradient: bool) -> np.ndarray:
+        """The scalars (n, 1) or gradients (n, 3) at points (n, 4) of the fields with these numbers."""
+        cells = 4 * len(self.one.terms.owner) if self.one.modified is not None else len(self.one.terms.owner)
+        step = max(1, CELLS // max(1, cells))
+        out = np.zeros((len(points), 3 if gradient else 1))
+        for k in range(0, len(points), step):
+            out[k : k + step] = self._block(field[k : k + step], points[k : k + step], gradient)
+        return out
 
+    def _block(self, field: np.ndarray, points: np.ndarray, gradient: bool) -> np.ndarray:
+        one, n = self.one, len(points)
+        axes = np.eye(3)
+        if one.modified is not None:
+            return np.stack([one.modified_at(points, d) for d in (axes if gradient else np.zeros((1, 3)))], axis=1)
+        # one field is not copied for every point
+        own = (lambda a: a[:1]) if len(self.point) == 1 else (lambda a: a[field])
+        out = np.zeros((n, 3 if gradient else 1))
+        for mine in (~self.directed, self.directed) if len(one.weight) else ():
+            if mine.any():
+                out += self._kernel(own(self.point[:, mine]), own(self.direction[:, mine]), own(self.weight[:, mine]), points, bool(self.directed[mine].any()), gradient)
+        if self.polynomial.shape[1]:
+            for k, d in enumerate(axes if gradient else np.zeros((1, 3))):
+                basis = dense.polynomial_matrix(dense.Terms(np.arange(n), np.ones(n), points, np.tile(d, (n, 1))), one.order, one.truncated)
+                out[:, k] += (basis * own(self.polynomial)).sum(axis=1)
+        return out
 
-def _answers(field: Field, queries: pd.DataFrame, gradient: bool) -> pd.DataFrame:
-    points = np.concatenate([queries[["x", "y", "z"]].to_numpy(float), np.zeros((len(queries), 1))], axis=1)
-    head = queries[["model_id", "query_id"]].reset_index(drop=True)
-    parts = range(0, len(points), BLOCK)
-    if field.error is not None:
-        found = np.full((len(points), 3 if gradient else 1), np.nan)
-    else:
-        found = np.concatenate([field.gradient(points[k : k + BLOCK]) if gradient else field.scalar(points[k : k + BLOCK])[:, None] for k in parts]) if len(points) else np.zeros((0, 3 if gradient else 1))
-    return pd.concat([head, pd.DataFrame(found, columns=["gx", "gy", "gz"] if gradient else ["value"])], axis=1)
+    def _kernel(self, at: np.ndarray, direction: np.ndarray, weight: np.ndarray, points: np.ndarray, directed: bool, gradient: bool) -> np.ndarray:
+        """The sum over terms that all are directed, or all are values."""
+        one = self.one
+        d = [points[:, k, None] - at[:, :, k] for k in range(3)]
+        if one.transform is None:
+            square = d[0] * d[0] + d[1] * d[1] + d[2] * d[2] + (points[:, 3, None] - at[:, :, 3]) ** 2
+            q, metric = d, np.eye(3)
+        else:
+            m = one.transform.astype(float)
+            t = [sum(m[i, j] * d[j] for j in range(3)) for i in range(3)]
+            square, metric = t[0] * t[0] + t[1] * t[1] + t[2] * t[2], (one.transform.T @ one.transform).astype(float)
+            q = [sum(m[i, j] * t[i] for i in range(3)) for j in range(3)]
+        k, f, g = dense.radial(one.kernel, np.sqrt(square), one.shape, int(directed) + int(gradient))
+        if (directed or gradient) and f is None:
+            raise FieldError("LinearDerivativeUnavailable")
+        if not directed:
+            return np.stack([(f * c * weight).sum(axis=1) for c in q], axis=1) if gradient else (k * weight).sum(axis=1)[:, None]
+        along = sum(q[j] * direction[:, :, j] for j in range(3))
+        if not gradient:
+            return (-f * along * weight).sum(axis=1)[:, None]
+        turned = direction @ metric
+        return np.stack([(-(f * turned[:, :, j] + g * along * q[j]) * weight).sum(axis=1) for j in range(3)], axis=1)
+
+
+class Known:
+    """Fitted models by model_id, those of one shape stacked."""
+
+    def __init__(self, rows):
+        alike: dict[tuple, list[tuple[int, Field]]] = {}
+        self.failed, self.place = set(), {}
+        for row in rows:
+            field = Field(row)
+            if field.error is not None:
+                self.failed.add(row["model_id"])
+            else:
+                alike.setdefault(field.shape_key(), []).append((row["model_id"], field))
+        self.stacks = [Fields([f for _, f in some]) for some in alike.values()]
+        for stack, some in enumerate(alike.values()):
+            self.place |= {model_id: (stack, k) for k, (model_id, _) in enumerate(some)}
+
+    def answers(self, queries: pd.DataFrame, gradient: bool) -> pd.DataFrame:
+        """The queries of models that are known, with their answers; NaN for a model with an error."""
+        ids, back = np.unique(queries["model_id"].to_numpy(), return_inverse=True)
+        where = np.array([self.place.get(i, (-1 if i in self.failed else -2, 0)) for i in ids.tolist()], np.int64).reshape(-1, 2)[back]
+        points = np.concatenate([queries[["x", "y", "z"]].to_numpy(float), np.zeros((len(queries), 1))], axis=1)
+        out = np.full((len(queries), 3 if gradient else 1), np.nan)
+        for stack in np.unique(where[:, 0]):
+            if stack >= 0:
+                mine = np.flatnonzero(where[:, 0] == stack)
+                out[mine] = self.stacks[stack](where[mine, 1], points[mine], gradient)
+        told = pd.concat([queries[["model_id", "query_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["gx", "gy", "gz"] if gradient else ["value"])], axis=1)
+        return told[where[:, 0] > -2]
 
 
 def evaluate(models: DataFrame, queries: DataFrame, gradient: bool = False) -> DataFrame:
@@ -77,14 +146,13 @@ def evaluate(models: DataFrame, queries: DataFrame, gradient: bool = False) -> D
     models = models.persist()
     numbers = models.agg(F.coalesce(F.sum(F.size("point") + F.size("direction") + F.size("weight") + 2 * F.size("owner")), F.lit(0))).first()[0]
     if numbers * 8 <= BROADCAST_BYTES:
-        known = spark.sparkContext.broadcast({r["model_id"]: Field(r) for r in models.collect()})
+        known = spark.sparkContext.broadcast(Known(models.collect()))
         models.unpersist()
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                for model_id, mine in part.groupby("model_id"):
-                    if model_id in known.value:
-                        yield _answers(known.value[model_id], mine, gradient)
+                if len(part):
+                    yield known.value.answers(part, gradient)
 
         return points.mapInPandas(run, schema)
     sizes = points.groupBy("model_id").agg((F.floor(F.count("*") / PART_ROWS) + 1).alias("parts"))
@@ -95,6 +163,6 @@ def evaluate(models: DataFrame, queries: DataFrame, gradient: bool = False) -> D
         if not len(model) or not len(mine):
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
         row = model.iloc[0].to_dict()
-        return _answers(Field(row | {"error": row["error"] or None}), mine, gradient)
+        return Known([row | {"error": row["error"] or None}]).answers(mine, gradient)
 
     return dealt.groupBy("model_id", "part").cogroup(copies.groupBy("model_id", "part")).applyInPandas(meet, schema)

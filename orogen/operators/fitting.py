@@ -1,8 +1,10 @@
 """Fitting: constraints of many models to many fitted fields, one model in one task.
 
 Constraints are one tagged table: model_id, category (interface, inequality, planar, tangent), constraint_id (order of insertion),
-x, y, z, c, level, and vx, vy, vz (a planar's normal or a tangent). They are cleaned with DataFrame operators, then each model is
-assembled and solved in its group. A model of more than MOST_DOFS unknowns is refused, so a group is bounded.
+x, y, z, c, level, and vx, vy, vz (a planar's normal or a tangent). orogen.operators.layout makes the table of each model's unknowns with
+DataFrame operators; here the rows of a model meet in one task for the dense solution alone. A model of more than MOST_DOFS unknowns
+is refused, and its rows are not gathered beyond that, so a task's memory is bounded. Small linear models of one shape are solved
+together.
 
 A fitted model is a row: the terms of its functionals, their weights, the polynomial's coefficients, or an error category.
 """
@@ -15,234 +17,168 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import FieldError
-from ..parameters import CONTINUOUS, LAJAUNIE, SINGLE_SURFACE, STRATIGRAPHIC, VECTOR, Parameters
-from . import dense, quadratic
-from .modified import ModifiedKernel, unisolvent_points
+from ..parameters import LAJAUNIE, SINGLE_SURFACE, STRATIGRAPHIC, Parameters
+from . import dense, layout, quadratic
 from .grouping import remove_collocated
+from .modified import ModifiedKernel, unisolvent_points
 
-MOST_DOFS = 5000
+MOST_DOFS, SMALL, BATCH = 5000, 64, 512
 CONSTRAINTS = "model_id long, category string, constraint_id long, x double, y double, z double, c double, level double, vx double, vy double, vz double"
 MODELS = (
     "model_id long, error string, kernel string, shape double, polynomial_order int, truncated boolean, transform array<double>, owner array<int>, coefficient array<double>, "
     "point array<double>, direction array<double>, weight array<double>, polynomial array<double>, n_dofs int, basis_points array<double>, iterations int"
 )
-_AXES = np.eye(3)
 
 
 @dataclass
-class Constraints:
-    """The constraints of one model as arrays, in order of category, place and insertion."""
+class Rows:
+    """Layout rows as arrays: section, first and second point (NaN: none), direction (NaN: a value), sign, lower, upper, value, error."""
 
-    category: np.ndarray
-    place: np.ndarray
-    level: np.ndarray
-    vector: np.ndarray
+    section: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    direction: np.ndarray
+    bounds: np.ndarray
+    error: np.ndarray
 
-    def __getitem__(self, rows: slice) -> Constraints:
-        return Constraints(self.category[rows], self.place[rows], self.level[rows], self.vector[rows])
+    def __getitem__(self, rows) -> Rows:
+        return Rows(self.section[rows], self.first[rows], self.second[rows], self.direction[rows], self.bounds[rows], self.error[rows])
 
     @staticmethod
-    def of(found: pd.DataFrame) -> Constraints:
-        return Constraints(found["category"].to_numpy(), found[["x", "y", "z", "c"]].to_numpy(float), found["level"].to_numpy(float), found[["vx", "vy", "vz"]].to_numpy(float))
-
-
-def _rows(found: Constraints, category: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    mine = found.category == category
-    return found.place[mine], found.level[mine], found.vector[mine]
-
-
-def _planar_rows(points: np.ndarray, normals: np.ndarray) -> tuple[list, list]:
-    """Three derivatives for each planar, equal to its normal's components."""
-    return [dense.derivative(p, _AXES[k]) for p in points for k in range(3)], [float(v) for n in normals for v in n]
-
-
-def layout(found: Constraints, parameters: Parameters) -> tuple[list, list[float], int, int, bool]:
-    """Functionals, their right-hand sides, how many of the first are smoothed, polynomial terms' order (-1: none), truncation."""
-    ip, level, _ = _rows(found, "interface")
-    pp, _, normals = _rows(found, "planar")
-    tp, _, tangents = _rows(found, "tangent")
-    planar, planar_right = _planar_rows(pp, normals)
-    tangent = [dense.derivative(p, t) for p, t in zip(tp, tangents, strict=True)]
-    if parameters.model == CONTINUOUS:
-        if len(pp) or len(tp):
-            raise FieldError("EqualityVectorOutOfBounds")
-        if not len(ip):
-            raise FieldError("NoInterfaceData")
-        return [dense.value(p) for p in ip], list(level), 0, -1, False
-    if parameters.model == VECTOR:
-        return planar, planar_right, 0, -1, False
-    if not len(ip):
-        raise FieldError("NoInterfaceData")
-    if parameters.model == SINGLE_SURFACE:
-        rows = [dense.value(p) for p in ip] + planar + tangent
-        return rows, [*level, *planar_right, *[0.0] * len(tangent)], len(ip), parameters.polynomial_order, False
-    if parameters.model == LAJAUNIE:
-        # references of the levels from the highest, each with the other members of its level
-        pairs = []
-        for at in sorted({v + 0.0 for v in level}, reverse=True):
-            members = np.flatnonzero(level == at)
-            pairs += [dense.difference(ip[members[0]], ip[m]) for m in members[1:]]
-        if not pairs:
-            raise FieldError("InvalidInputData", "no two interfaces of one level")
-        return pairs + planar + tangent, [0.0] * len(pairs) + planar_right + [0.0] * len(tangent), len(pairs), parameters.polynomial_order, True
-    raise FieldError("InvalidInputData", f"{parameters.model} is not fitted by a linear system")
-
-
-def assemble(found: Constraints, parameters: Parameters) -> tuple[dense.Terms, np.ndarray, np.ndarray, np.ndarray | None, int, bool]:
-    """Terms, matrix, right-hand side, anisotropic transform, polynomial order, truncation of one model."""
-    functionals, right, smoothed, order, truncated = layout(found, parameters)
-    terms = dense.Terms.build(functionals)
-    transform = dense.transform_of(parameters.kernel, _rows(found, "planar")[2]) if parameters.anisotropy else None
-    n = terms.size
-    if n + 10 > MOST_DOFS:
-        raise FieldError("ModelTooLarge", f"{n} unknowns")
-    block = dense.kernel_matrix(terms, terms, parameters.kernel, parameters.shape, transform)
-    if parameters.smoothing is not None and smoothed:
-        at = np.array([[0.0, 0, 0, 0]]), np.array([[0.0, 0, parameters.smoothing, 0]])
-        one = [dense.Terms.build([dense.value(p[0])]) for p in at]
-        block[np.arange(smoothed), np.arange(smoothed)] = dense.kernel_matrix(*one, parameters.kernel, parameters.shape, transform)[0, 0]
-    poly = dense.polynomial_matrix(terms, order, truncated) if order >= 0 else np.zeros((n, 0))
-    m = poly.shape[1]
-    matrix = np.zeros((n + m, n + m))
-    matrix[:n, :n], matrix[:n, n:], matrix[n:, :n] = block, poly, poly.T
-    return terms, matrix, np.array([*right, *[0.0] * m]), transform, order, truncated
-
-
-def _levels(level: np.ndarray) -> list[tuple[float, np.ndarray]]:
-    """The levels from the highest, each with its members in order."""
-    return [(at, np.flatnonzero(level == at)) for at in sorted({v + 0.0 for v in level}, reverse=True)]
-
-
-def inequality_layout(found: Constraints, parameters: Parameters) -> tuple[list, int, np.ndarray, np.ndarray, np.ndarray]:
-    """Functionals, how many of the first are inequalities, their signs and lower bounds, the right-hand sides of the others."""
-    ip, level, _ = _rows(found, "interface")
-    qp, at, _ = _rows(found, "inequality")
-    pp, _, normals = _rows(found, "planar")
-    tp, _, tangents = _rows(found, "tangent")
-    planar, planar_right = _planar_rows(pp, normals)
-    tangent = [dense.derivative(p, t) for p, t in zip(tp, tangents, strict=True)]
-    if not len(ip):
-        raise FieldError("NoInterfaceData")
+    def of(found: pd.DataFrame) -> Rows:
+        take = lambda *names: found[list(names)].to_numpy(float)
+        return Rows(found["section"].to_numpy(), take("x1", "y1", "z1", "c1"), take("x2", "y2", "z2", "c2"), take("dx", "dy", "dz"), take("sign", "lower", "upper", "value"), found["error"].to_numpy())
+
+    def of_sections(self, *sections: int) -> Rows:
+        return self[np.isin(self.section, sections)]
+
+    @property
+    def unknowns(self) -> Rows:
+        return self[(self.section >= layout.SEQUENCED) & (self.section <= layout.TANGENT)]
+
+    def shape(self) -> tuple[int, bytes, bytes]:
+        """Models with equal shapes differ in numbers alone."""
+        return len(self.section), np.isnan(self.second[:, 0]).tobytes(), np.isnan(self.direction[:, 0]).tobytes()
+
+    def terms(self) -> dense.Terms:
+        return terms_of([self])
+
+
+def terms_of(systems: list[Rows]) -> dense.Terms:
+    """The terms of models of one shape, stacked if there are several."""
+    one = systems[0]
+    two, directed = ~np.isnan(one.second[:, 0]), ~np.isnan(one.direction[:, 0])
+    start = np.arange(len(two)) + np.cumsum(two) - two
+    n = len(two) + int(two.sum())
+    coefficient, point, direction = np.ones((len(systems), n)), np.empty((len(systems), n, 4)), np.zeros((len(systems), n, 3))
+    coefficient[:, start[two] + 1] = -1
+    point[:, start] = [s.first for s in systems]
+    point[:, start[two] + 1] = [s.second[two] for s in systems]
+    direction[:, start[directed]] = [s.direction[directed] for s in systems]
+    owner = np.repeat(np.arange(len(two)), 1 + two)
+    return dense.Terms(owner, coefficient, point, direction) if len(systems) > 1 else dense.Terms(owner, coefficient[0], point[0], direction[0])
+
+
+def polynomial_of(parameters: Parameters) -> tuple[int, bool]:
+    """Order of the polynomial (-1: none) and whether its constant is left out."""
     if parameters.model == SINGLE_SURFACE:
-        # a level of at most 0 asks for a field below the surface, whatever its size
-        rows = [dense.value(p) for p in qp] + [dense.value(p) for p in ip] + planar + tangent
-        return rows, len(qp), np.where(at <= 0, -1.0, 1.0), np.zeros(len(qp)), np.array([*level, *planar_right, *[0.0] * len(tangent)])
-    groups = _levels(level)
-    if set(at.tolist()) & {v for v, _ in groups}:
-        raise FieldError("InvalidInputData", "an inequality has the level of an interface")
-    first = [int(m[0]) for _, m in groups]
-    upper = [dense.difference(ip[a], ip[b]) for a, b in zip(first, first[1:], strict=False)]
-    lithology = []
-    for p, v in zip(qp, at, strict=True):
-        above, below = [m for m in groups if m[0] > v], [m for m in groups if m[0] < v]
-        lithology += [dense.difference(ip[above[-1][1][0]], p)] if above else []
-        lithology += [dense.difference(p, ip[below[0][1][0]])] if below else []
-    same = [dense.difference(ip[m[0]], ip[k]) for _, m in groups for k in m[1:]]
-    n = len(upper) + len(lithology)
-    right = np.array([0.0] * len(same) + planar_right + [0.0] * len(tangent))
-    if not n or not len(right):
-        raise FieldError("InvalidInputData", "equalities and inequalities are both needed")
-    return upper + lithology + same + planar + tangent, n, np.ones(n), np.array([parameters.least_thickness] * len(upper) + [0.0] * len(lithology)), right
-
-
-def _normal_bounds(normal: np.ndarray, d_strike: float, d_dip: float) -> list[tuple[float, float]]:
-    """Per axis the least and greatest component of the four normals whose strike and dip are moved both ways."""
-    dip, direction = np.degrees(np.arccos(normal[2])), np.degrees(np.arctan2(normal[1], normal[0]))
-    strike = 360 - (direction + 360 if direction < 0 else direction)
-    a, b, u, w = np.radians([d_strike + strike, d_strike - strike, d_dip + dip, d_dip - dip])
-    corners = np.array(
-        [(np.cos(a) * np.sin(u), -np.sin(a) * np.sin(u), np.cos(u)), (-np.cos(b) * np.sin(w), -np.sin(b) * np.sin(w), np.cos(w)), (-np.cos(a) * np.sin(w), np.sin(a) * np.sin(w), np.cos(w)), (np.cos(b) * np.sin(u), np.sin(b) * np.sin(u), np.cos(u))]
-    )
-    return list(zip(corners.min(axis=0), corners.max(axis=0), strict=True))
-
-
-def restricted_layout(found: Constraints, parameters: Parameters) -> tuple[list, np.ndarray]:
-    """Functionals and the bounds (rows lower, upper) of each."""
-    ip, level, _ = _rows(found, "interface")
-    qp, at, _ = _rows(found, "inequality")
-    pp, _, normals = _rows(found, "planar")
-    tp, _, tangents = _rows(found, "tangent")
-    if not len(ip):
-        raise FieldError("NoInterfaceData")
-    every = found.place
-    # inequalities have no other end than the size of the model
-    wide = float(np.sqrt(((every[:, None] - every[None]) ** 2).sum(axis=2)).max())
-    u, angle = parameters.interface_uncertainty, parameters.angular_uncertainty
-    groups = _levels(level)
-    same = [(dense.difference(ip[m[0]], ip[k]), (-u, u)) for _, m in groups for k in m[1:]]
-    if parameters.model == SINGLE_SURFACE:
-        rows = [(dense.value(p), (-wide, 0.0) if v <= 0 else (0.0, wide)) for p, v in zip(qp, at, strict=True)] + [(dense.value(p), (-u, u)) for p in ip]
-    elif parameters.model == LAJAUNIE:
-        rows = same
-    elif parameters.model == STRATIGRAPHIC:
-        functionals, n, *_ = inequality_layout(found, parameters)
-        upper = len(groups) - 1
-        rows = [(f, (parameters.least_thickness, wide)) for f in functionals[:upper]] + [(f, (0.0, parameters.least_thickness)) for f in functionals[upper:n]] + same
-    else:
-        raise FieldError("InvalidInputData", f"{parameters.model} has no restricted form")
-    v = 2 * np.cos(np.radians(90 - angle))
-    rows += [(dense.derivative(p, _AXES[k]), b) for p, n in zip(pp, normals, strict=True) for k, b in enumerate(_normal_bounds(n, angle, angle / 2))]
-    rows += [(dense.derivative(p, t), (min(v, 0.0), max(v, 0.0))) for p, t in zip(tp, tangents, strict=True)]
-    return [f for f, _ in rows], np.array([b for _, b in rows], float)
-
-
-def fit_restricted(found: Constraints, parameters: Parameters) -> tuple[dense.Terms, np.ndarray, ModifiedKernel, int]:
-    """The same for a model whose constraints are bounds."""
-    functionals, bounds = restricted_layout(found, parameters)
-    terms = dense.Terms.build(functionals)
-    if terms.size > MOST_DOFS:
-        raise FieldError("ModelTooLarge", f"{terms.size} unknowns")
-    kernel = _modified(found, parameters)
-    whole = kernel.matrix(terms, terms)
-    weight, iterations = quadratic.bounded(whole, whole, bounds[:, 0], bounds[:, 1] - bounds[:, 0])
-    return terms, weight, kernel, iterations
+        return parameters.polynomial_order, False
+    return (parameters.polynomial_order, True) if parameters.model == LAJAUNIE else (-1, False)
 
 
-def _modified(found: Constraints, parameters: Parameters) -> ModifiedKernel:
-    ip, level, _ = _rows(found, "interface")
-    transform = dense.transform_of(parameters.kernel, _rows(found, "planar")[2]) if parameters.anisotropy else None
-    return ModifiedKernel(unisolvent_points([ip[m, :3] for _, m in _levels(level) if len(m) > 1]), parameters.kernel, parameters.shape, transform)
+def _transform(found: Rows, parameters: Parameters) -> np.ndarray | None:
+    return dense.transform_of(parameters.kernel, found.of_sections(layout.PLANAR).bounds[:, 3].reshape(-1, 3)) if parameters.anisotropy else None
 
 
-def fit_inequalities(found: Constraints, parameters: Parameters) -> tuple[dense.Terms, np.ndarray, ModifiedKernel, int]:
-    """Terms, weights, modified kernel and iterations of a model with inequalities: the least energy that meets all of them."""
-    functionals, n, sign, lower, right = inequality_layout(found, parameters)
-    terms = dense.Terms.build(functionals)
-    if terms.size > MOST_DOFS:
-        raise FieldError("ModelTooLarge", f"{terms.size} unknowns")
-    kernel = _modified(found, parameters)
+def system_matrix(terms: dense.Terms, smoothed: int, kernel: str, shape: float, transform: np.ndarray | None, order: int, truncated: bool, smoothing: float | None) -> np.ndarray:
+    """The kernel block, its smoothed diagonal, and the polynomial blocks; of stacked terms a stack."""
+    n = terms.size
+    block = dense.kernel_matrix(terms, terms, kernel, shape, transform)
+    if smoothing is not None and smoothed:
+        ends = [dense.Terms(np.zeros(1, int), np.ones(1), np.array([[0.0, 0, z, 0]]), np.zeros((1, 3))) for z in (0.0, smoothing)]
+        block[..., np.arange(smoothed), np.arange(smoothed)] = dense.kernel_matrix(*ends, kernel, shape, transform)[0, 0]
+    poly = dense.polynomial_matrix(terms, order, truncated) if order >= 0 else np.zeros((*block.shape[:-1], 0))
+    m = poly.shape[-1]
+    matrix = np.zeros((*block.shape[:-2], n + m, n + m))
+    matrix[..., :n, :n], matrix[..., :n, n:], matrix[..., n:, :n] = block, poly, np.swapaxes(poly, -1, -2)
+    return matrix
+
+
+def _linear(systems: list[Rows], parameters: Parameters) -> tuple[dense.Terms, list[np.ndarray | FieldError], np.ndarray | None, int, bool]:
+    """The weights (or the failure) of linear models of one shape; a transform for one model alone."""
+    order, truncated = polynomial_of(parameters)
+    terms, transform = terms_of(systems), _transform(systems[0], parameters)
+    smoothed = int((systems[0].section <= layout.INCREMENT).sum())
+    matrix = system_matrix(terms, smoothed, parameters.kernel, parameters.shape, transform, order, truncated, parameters.smoothing)
+    right = np.zeros((len(systems), matrix.shape[-1]))
+    right[:, : terms.size] = [s.bounds[:, 3] for s in systems]
+    return terms, dense.solve_all(matrix.reshape(len(systems), *matrix.shape[-2:]), right), transform, order, truncated
+
+
+def _modified(found: Rows, parameters: Parameters) -> ModifiedKernel:
+    return ModifiedKernel(unisolvent_points([found.of_sections(layout.BASIS).first[:, :3]]), parameters.kernel, parameters.shape, _transform(found, parameters))
+
+
+def _quadratic(found: Rows, parameters: Parameters) -> tuple[dense.Terms, np.ndarray, ModifiedKernel, int]:
+    """Terms, weights, modified kernel and iterations: the least energy that meets the inequalities or bounds."""
+    own = found.unknowns
+    terms, kernel = own.terms(), _modified(found, parameters)
     whole = kernel.matrix(terms, terms)
-    weight, iterations = quadratic.predictor_corrector(whole, whole[n:], right, whole[:n] * sign[:, None], lower)
+    sign, lower, upper, value = own.bounds.T
+    if parameters.restricted:
+        weight, iterations = quadratic.bounded(whole, whole, lower, upper - lower)
+    else:
+        n = int((own.section <= layout.LITHOLOGY).sum())
+        weight, iterations = quadratic.predictor_corrector(whole, whole[n:], value[n:], whole[:n] * sign[:n, None], lower[:n])
     return terms, weight, kernel, iterations
 
 
-def fit_one(found: Constraints, parameters: Parameters) -> dict:
-    """The row of one model; constraints in order of insertion within their cleaned order."""
-    row = {"error": None, "kernel": parameters.kernel, "shape": parameters.shape}
-    empty = {"polynomial_order": -1, "truncated": False, "transform": None} | {c: [] for c in ("owner", "coefficient", "point", "direction", "weight", "polynomial")} | {"n_dofs": 0, "basis_points": None, "iterations": 0}
-    try:
-        if not np.isfinite(found.place).all():
-            raise FieldError("NonFiniteInput")
-        if parameters.model == VECTOR and not (found.category == "planar").any():
-            return row | empty
-        if parameters.restricted and parameters.model in (SINGLE_SURFACE, LAJAUNIE, STRATIGRAPHIC):
-            terms, weight, kernel, iterations = fit_restricted(found, parameters)
-            transform, order, truncated, points = kernel.transform, -1, False, kernel.points.ravel().tolist()
-        elif parameters.model == STRATIGRAPHIC or parameters.model == SINGLE_SURFACE and (found.category == "inequality").any():
-            terms, weight, kernel, iterations = fit_inequalities(found, parameters)
-            transform, order, truncated, points = kernel.transform, -1, False, kernel.points.ravel().tolist()
+def _row(model_id: int, parameters: Parameters, error: str | None = None) -> dict:
+    empty = {c: [] for c in ("owner", "coefficient", "point", "direction", "weight", "polynomial")}
+    return {"model_id": model_id, "error": error, "kernel": parameters.kernel, "shape": parameters.shape, "polynomial_order": -1, "truncated": False, "transform": None} | empty | {"n_dofs": 0, "basis_points": None, "iterations": 0}
+
+
+def _fitted(terms: dense.Terms, k: int | None, weight: np.ndarray) -> dict:
+    """The columns of terms and weights; k picks one of a stack."""
+    n, pick = terms.size, (lambda a: a) if k is None else (lambda a: a[k])
+    return {"owner": terms.owner, "coefficient": pick(terms.coefficient), "point": pick(terms.point).ravel(), "direction": pick(terms.direction).ravel(), "weight": weight[:n], "polynomial": weight[n:], "n_dofs": len(weight)}
+
+
+def fit_many(models: list[tuple[int, Rows]], parameters: Parameters) -> list[dict]:
+    """The rows of some models."""
+    out, alike = [], {}
+    restricted = parameters.restricted and parameters.model in (SINGLE_SURFACE, LAJAUNIE, STRATIGRAPHIC)
+    for model_id, found in models:
+        own, error = found.unknowns, found.error[0]
+        if not isinstance(error, str) and len(own.section) + 10 > MOST_DOFS:
+            error = "ModelTooLarge"
+        if isinstance(error, str) or not len(own.section):
+            out.append(_row(model_id, parameters, error if isinstance(error, str) else None))
+        elif restricted or (own.section <= layout.LITHOLOGY).any():
+            try:
+                terms, weight, kernel, iterations = _quadratic(found, parameters)
+                out.append(_row(model_id, parameters) | _fitted(terms, None, weight) | {"transform": None if kernel.transform is None else kernel.transform.astype(float).ravel(), "basis_points": kernel.points.ravel(), "iterations": iterations})
+            except FieldError as e:
+                out.append(_row(model_id, parameters, e.category))
         else:
-            terms, matrix, right, transform, order, truncated = assemble(found, parameters)
-            weight, iterations, points = dense.solve_lu(matrix, right), 0, None
-    except FieldError as e:
-        return row | empty | {"error": e.category}
-    n = terms.size
-    return row | {
-        "polynomial_order": order, "truncated": truncated, "transform": None if transform is None else transform.astype(float).ravel().tolist(), "owner": terms.owner.tolist(), "coefficient": terms.coefficient.tolist(),
-        "point": terms.point.ravel().tolist(), "direction": terms.direction.ravel().tolist(), "weight": weight[:n].tolist(), "polynomial": weight[n:].tolist(), "n_dofs": len(weight), "basis_points": points, "iterations": iterations,
-    }
+            alone = parameters.anisotropy or len(own.section) > SMALL
+            alike.setdefault((model_id,) if alone else own.shape(), []).append((model_id, own))
+    for some in alike.values():
+        for part in (some[k : k + BATCH] for k in range(0, len(some), BATCH)):
+            try:
+                terms, weights, transform, order, truncated = _linear([own for _, own in part], parameters)
+            except FieldError as e:
+                out += [_row(model_id, parameters, e.category) for model_id, _ in part]
+                continue
+            for k, ((model_id, _), weight) in enumerate(zip(part, weights, strict=True)):
+                if isinstance(weight, FieldError):
+                    out.append(_row(model_id, parameters, weight.category))
+                else:
+                    out.append(_row(model_id, parameters) | _fitted(terms, k if len(part) > 1 else None, weight) | {"polynomial_order": order, "truncated": truncated, "transform": None if transform is None else transform.astype(float).ravel()})
+    return out
 
 
 def cleaned(constraints: DataFrame) -> DataFrame:
@@ -255,9 +191,9 @@ def fit(constraints: DataFrame, parameters: Parameters) -> DataFrame:
     parameters = parameters.checked()
 
     def fitted(found: pd.DataFrame) -> pd.DataFrame:
-        ids, rows = found["model_id"].to_numpy(), Constraints.of(found)
+        ids, rows = found["model_id"].to_numpy(), Rows.of(found)
         cuts = np.append(np.flatnonzero(np.append(True, ids[1:] != ids[:-1])), len(ids))
-        return pd.DataFrame([{"model_id": int(ids[a])} | fit_one(rows[a:b], parameters) for a, b in zip(cuts, cuts[1:], strict=False)])
+        return pd.DataFrame(fit_many([(int(ids[a]), rows[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], parameters))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = None
@@ -267,13 +203,15 @@ def fit(constraints: DataFrame, parameters: Parameters) -> DataFrame:
             cut = int(np.searchsorted(part["model_id"].to_numpy(), part["model_id"].iloc[-1]))
             if cut:
                 yield fitted(part.iloc[:cut])
-            left = part.iloc[cut:]
+            # a model has no more basis rows than unknowns and levels: what is cut off here is refused by its size
+            left = part.iloc[cut:].iloc[: 4 * MOST_DOFS]
         if left is not None and len(left):
             yield fitted(left)
 
-    # many models are small: a task takes its models one after another, without a group's overhead for each
-    ordered = cleaned(constraints).repartition("model_id").sortWithinPartitions("model_id", "category", "x", "y", "z", "constraint_id")
-    return ordered.mapInPandas(run, MODELS)
+    flat = layout.rows(constraints, parameters).select(
+        "model_id", "section", *(F.col(f"{side}.{k}").alias(f"{k}{n}") for n, side in ((1, "first"), (2, "second")) for k in "xyzc"), "dx", "dy", "dz", "sign", "lower", "upper", "value", "error", "dof"
+    )
+    return flat.sortWithinPartitions("model_id", "dof").drop("dof").mapInPandas(run, MODELS)
 
 
 def smoothed(parameters: Parameters, amount: float) -> Parameters:

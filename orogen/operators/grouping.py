@@ -14,15 +14,48 @@ def collocated(a: Column, b: Column) -> Column:
 
 
 def remove_collocated(rows: DataFrame, keys: tuple[str, ...] = ("model_id", "category")) -> DataFrame:
-    """Per group in order of x, y, z (then constraint_id) a row is dropped if it is collocated with the last one kept."""
+    """Per group in order of x, y, z (then constraint_id) a row is dropped if it is collocated with the last one kept.
+
+    A row whose x is not near that of the row before it is kept whatever was kept before. So only the runs between such rows are
+    gathered, and a group of any size is sorted by Spark.
+    """
     rest = [c for c in rows.columns if c not in keys]
     # + 0.0 makes -0.0 and 0.0 one place in the order
-    order = F.struct((F.col("x") + 0.0).alias("ox"), (F.col("y") + 0.0).alias("oy"), (F.col("z") + 0.0).alias("oz"), F.col("constraint_id").alias("oid"), F.struct(*rest).alias("row"))
-    sorted_rows = F.transform(F.array_sort(F.collect_list(order)), lambda s: s["row"])
-    grouped = rows.groupBy(*keys).agg(sorted_rows.alias("rows"))
+    places = [F.col(k) + 0.0 for k in "xyz"]
+    order = Window.partitionBy(*keys).orderBy(*places, "constraint_id")
+    near = F.coalesce(F.abs(F.col("x") - F.lag("x").over(order)) < POSITION_EPSILON, F.lit(False))
+    runs = rows.select("*", near.alias("__near")).withColumn("__run", F.sum(F.when(F.col("__near"), 0).otherwise(1)).over(order))
+    entry = F.struct(*(v.alias(f"o{k}") for k, v in zip("xyz", places, strict=True)), F.col("constraint_id").alias("oid"), F.struct(*rest).alias("row"))
+    grouped = runs.groupBy(*keys, "__run").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["row"]).alias("rows"))
     kind = grouped.schema["rows"].dataType.simpleString()
     kept = F.aggregate("rows", F.array().cast(kind), lambda kept, row: F.when((F.size(kept) > 0) & F.coalesce(collocated(F.try_element_at(kept, F.lit(-1)), row), F.lit(False)), kept).otherwise(F.concat(kept, F.array(row))))
-    return grouped.select(*keys, F.inline(kept)).select(*rows.columns)
+    return grouped.select(*keys, F.inline(F.when(F.size("rows") == 1, F.col("rows")).otherwise(kept))).select(*rows.columns)
+
+
+def removed(constraints: DataFrame) -> DataFrame:
+    """model_id, category and how many of its rows remove_collocated drops."""
+    count = lambda df, name: df.groupBy("model_id", "category").agg(F.count("*").alias(name))
+    both = count(constraints, "before").join(count(remove_collocated(constraints), "after"), ["model_id", "category"])
+    return both.select("model_id", "category", (F.col("before") - F.col("after")).alias("removed"))
+
+
+def with_references(rows: DataFrame, carry: Column, order: str = "constraint_id") -> DataFrame:
+    """rows(model_id, category, level, ...) with: at (the level; -0.0 is 0.0), reference (carry of the first interface of the level),
+    is_reference, members (of the level); below (a reference's carry on the next lower level); nearest_above and nearest_below (the
+    references strictly above and below a row). All windows are within model_id."""
+    rows = rows.withColumn("at", F.col("level") + 0.0)
+    level = Window.partitionBy("model_id", "category", "at")
+    first = (F.col("category") == "interface") & (F.col("__nth") == 1)
+    rows = rows.select("*", F.first(carry).over(level.orderBy(order)).alias("reference"), F.row_number().over(level.orderBy(order)).alias("__nth"), F.count("*").over(level).alias("members"))
+    rows = rows.withColumn("is_reference", first).drop("__nth")
+    mine = F.when(F.col("is_reference"), carry)
+    references = Window.partitionBy("model_id", "is_reference").orderBy(F.desc("at"))
+    # of equal levels the others come before the reference, so they do not see it
+    before = lambda direction: Window.partitionBy("model_id").orderBy(direction, "is_reference").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(
+        "*", F.when(F.col("is_reference"), F.lead(carry).over(references)).alias("below"), F.last(mine, ignorenulls=True).over(before(F.desc("at"))).alias("nearest_above"),
+        F.last(mine, ignorenulls=True).over(before(F.asc("at"))).alias("nearest_below"),
+    )
 
 
 def levels(interfaces: DataFrame) -> DataFrame:
@@ -35,22 +68,26 @@ def pair_counts(interfaces: DataFrame) -> DataFrame:
     return levels(interfaces).groupBy("model_id").agg(F.sum(F.col("n") - 1).alias("increments"), F.greatest(F.count("*") - 1, F.lit(0)).alias("sequenced"))
 
 
+def _known(interfaces: DataFrame) -> DataFrame:
+    return with_references(interfaces.select("model_id", F.lit("interface").alias("category"), "constraint_id", "level"), F.struct("constraint_id", "level"))
+
+
 def increments(interfaces: DataFrame) -> DataFrame:
-    """Per level in falling order the pairs of the reference with each other member."""
-    return levels(interfaces).select("model_id", "level", "reference", F.explode("members").alias("member")).filter("member <> reference")
+    """The pairs of each level's reference with each other member."""
+    return _known(interfaces).filter("not is_reference").select("model_id", F.col("at").alias("level"), F.col("reference.constraint_id").alias("reference"), F.col("constraint_id").alias("member"))
 
 
 def sequenced(interfaces: DataFrame) -> DataFrame:
-    """The references of neighbouring levels, from the highest."""
-    order = Window.partitionBy("model_id").orderBy(F.desc("level"))
-    found = levels(interfaces).withColumn("below", F.lead("reference").over(order)).withColumn("level_below", F.lead("level").over(order))
-    return found.filter("below is not null").select("model_id", F.col("reference").alias("above"), "below", "level", "level_below")
+    """The references of neighbouring levels, the higher one above."""
+    found = _known(interfaces).filter("below is not null")
+    return found.select("model_id", F.col("constraint_id").alias("above"), F.col("below.constraint_id").alias("below"), F.col("at").alias("level"), (F.col("below.level") + 0.0).alias("level_below"))
 
 
 def lithology(inequalities: DataFrame, interfaces: DataFrame) -> DataFrame:
     """Per inequality the reference of the nearest level strictly above and of the nearest strictly below, if there are such."""
-    both = inequalities.select("model_id", "constraint_id", F.col("level").alias("at")).join(levels(interfaces).select("model_id", "level", "reference"), "model_id")
-    return both.groupBy("model_id", "constraint_id").agg(F.min_by("reference", F.when(F.col("level") > F.col("at"), F.col("level"))).alias("above"), F.max_by("reference", F.when(F.col("level") < F.col("at"), F.col("level"))).alias("below"))
+    tagged = [df.select("model_id", F.lit(name).alias("category"), "constraint_id", F.col("level").cast("double").alias("level")) for df, name in ((interfaces, "interface"), (inequalities, "inequality"))]
+    found = with_references(tagged[0].unionByName(tagged[1]), F.struct("constraint_id")).filter("category = 'inequality'")
+    return found.select("model_id", "constraint_id", F.col("nearest_above.constraint_id").alias("above"), F.col("nearest_below.constraint_id").alias("below"))
 
 
 def levels_in_both(inequalities: DataFrame, interfaces: DataFrame) -> DataFrame:
