@@ -23,6 +23,11 @@ def polarity_of_normal(nz: Column) -> Column:
     return F.when(nz < 0, OVERTURNED).otherwise(UPRIGHT)
 
 
+def polarity_error(polarity: Column) -> Column:
+    """The category of a polarity code that is neither upright nor overturned, or null."""
+    return F.when(~F.coalesce(polarity.isin(UPRIGHT, OVERTURNED), F.lit(False)), "InvalidInputData")
+
+
 def dip_of_normal(nz: Column) -> Column:
     return F.degrees(F.acos(nz))
 

@@ -113,8 +113,9 @@ def rows(constraints: DataFrame, parameters: Parameters) -> DataFrame:
         ends = {"lower": F.when(low, -wide).otherwise(0.0), "upper": F.when(low, 0.0).otherwise(wide)} if p.restricted else {"lower": 0.0}
         own.append(F.when(is_a("inequality"), F.array(_row(INEQUALITY, me, k2=place, sign=F.when(low, -1.0).otherwise(1.0), **ends))))
     if p.model != CONTINUOUS:
-        around = O.normal_bounds(O.strike_of_normal(vector[0], vector[1]), O.dip_of_normal(vector[2]), F.lit(angle), F.lit(angle / 2))
-        own.append(F.when(is_a("planar"), F.array(*(_row(PLANAR, me, axis=k, direction=[float(k == j) for j in range(3)], k2=3 * place + k, value=vector[k], **bounds(around[f"{a}_lo"], around[f"{a}_hi"])) for k, a in enumerate("xyz")))))
+        around = O.normal_bounds(O.strike_of_normal(vector[0], vector[1]), O.dip_of_normal(vector[2]), F.lit(angle), F.lit(angle / 2)) if p.restricted else None
+        ends = lambda a: bounds(around[f"{a}_lo"], around[f"{a}_hi"]) if p.restricted else {}
+        own.append(F.when(is_a("planar"), F.array(*(_row(PLANAR, me, axis=k, direction=[float(k == j) for j in range(3)], k2=3 * place + k, value=vector[k], **ends(a)) for k, a in enumerate("xyz")))))
     if p.model not in (CONTINUOUS, VECTOR):
         inner = O.angle_bounds(F.lit(angle))
         own.append(F.when(is_a("tangent"), F.array(_row(TANGENT, me, direction=vector, k2=place, value=0.0, **bounds(inner["lo"], inner["hi"])))))

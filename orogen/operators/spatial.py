@@ -70,6 +70,25 @@ def metrics(points: DataFrame) -> DataFrame:
     return bounds(points).join(average_nearest(points), "model_id").withColumn("resolution", F.col("average") / 2).drop("average")
 
 
+def points_of(constraints: DataFrame) -> DataFrame:
+    """The places of all constraints of a model as its point set, in order of inequality, interface, planar, tangent and then of
+    constraint_id; category is kept."""
+    rank = F.array_position(F.array(*map(F.lit, ("inequality", "interface", "planar", "tangent"))), F.col("category"))
+    idx = F.row_number().over(Window.partitionBy("model_id").orderBy(rank, "constraint_id")) - 1
+    return constraints.select("model_id", "category", idx.cast("long").alias("idx"), "x", "y", "z", F.coalesce("c", F.lit(0.0)).alias("c"))
+
+
+def average_nearest_by_category(constraints: DataFrame) -> DataFrame:
+    """average_nearest of the constraints of each category by itself."""
+    own = points_of(constraints).withColumn("model_id", F.struct("model_id", "category")).drop("category")
+    return average_nearest(own).select("model_id.model_id", "model_id.category", "average")
+
+
+def bounds_and_resolution(constraints: DataFrame) -> DataFrame:
+    """metrics of all constraints of a model."""
+    return metrics(points_of(constraints).drop("category"))
+
+
 def axis_order(points: DataFrame) -> DataFrame:
     """The axes by falling range; of equal ranges z before y before x."""
     ranges = F.array(*(F.struct(F.negative(F.abs(F.col(f"{k}_max") - F.col(f"{k}_min"))).alias("range"), F.lit(n).alias("tie"), F.lit(k).alias("axis")) for n, k in enumerate("zyx")))

@@ -29,11 +29,19 @@ def read_constraints(spark: SparkSession, path: str, category: str) -> DataFrame
     return constraints_of(spark.read.parquet(path), category)
 
 
-def refused(constraints: DataFrame) -> DataFrame:
-    """The rows with a null, NaN or infinite number where their category needs one."""
+def with_error(constraints: DataFrame) -> DataFrame:
+    """The rows with error: NonFiniteInput for a null, NaN or infinite number where the category needs one, InvalidInputData for a
+    tangent without length or an unknown category, else null."""
     vector = F.col("category").isin("planar", "tangent")
     ok = finite(F.col("x"), F.col("y"), F.col("z"), F.col("c")) & F.when(vector, finite(F.col("vx"), F.col("vy"), F.col("vz"))).otherwise(finite(F.col("level")))
-    return constraints.filter(~ok)
+    unknown = ~F.coalesce(F.col("category").isin(*MATRIX_COLUMNS), F.lit(False))
+    still = (F.col("category") == "tangent") & (F.col("vx") == 0) & (F.col("vy") == 0) & (F.col("vz") == 0)
+    return constraints.withColumn("error", F.when(unknown, "InvalidInputData").when(~ok, "NonFiniteInput").when(still, "InvalidInputData"))
+
+
+def refused(constraints: DataFrame) -> DataFrame:
+    """The rows that with_error gives an error."""
+    return with_error(constraints).filter("error is not null").select(*constraints.columns)
 
 
 def write_constraints(constraints: DataFrame, path: str, category: str) -> None:

@@ -235,3 +235,50 @@ def test_entry_has_queries_and_sql():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_reconstruction_and_what_follows_a_fit(spark):
+    from orogen.operators import layout, reconstruction
+
+    rows = constraints(spark, HORIZON, PLANARS[:1]).persist()
+    restricted = Parameters(LAJAUNIE, restricted=True, interface_uncertainty=0.25, angular_uncertainty=8.0)
+    models = fitting.fit(rows, restricted).persist()
+    after = reconstruction.reconstructed(models, restricted).persist()
+    r = reconstruction.witnesses(models, after, at(spark)).first()
+    assert r.source == pytest.approx(bits(0xBFC3DA1F8F9C5EE9), abs=1e-7) and r.reconstructed == pytest.approx(bits(0x3FEB99841A674D4B), abs=1e-6)
+    assert (r.reconstructed_gx, r.reconstructed_gy, r.reconstructed_gz) == pytest.approx([bits(x) for x in (0x3FAAA59F4D2703DC, 0xBFA536304179F65C, 0xBFCAA3353C85FFE8)], abs=1e-6)
+    iso = reconstruction.iso_values(after, rows).collect()
+    assert [(i.level, i.reference, i.members) for i in iso] == [(30.0, 0, 4)] and iso[0].iso_value == pytest.approx(bits(0x3FEFF5BC3BBB0AFA), abs=1e-6)
+    before, now = ({p.dof: p.prediction for p in reconstruction.predictions(m).collect()} for m in (models, after))
+    assert before == pytest.approx(now, abs=1e-9) and len(before) == 6
+    told = reconstruction.evidence(models, rows, restricted).collect()
+    assert len(told) == 6 and all(t.accepted and t.lower - 1e-6 <= t.prediction <= t.upper + 1e-6 for t in told)
+    assert {(s.section, s.start, s.stop) for s in layout.sizes(rows, restricted).collect()} == {("increment", 0, 3), ("planar", 3, 6)}
+    # a linear model has nothing to reconstruct
+    assert reconstruction.reconstructed(fitting.fit(rows, Parameters(LAJAUNIE)), Parameters(LAJAUNIE)).first().error == "InvalidInputData"
+
+
+def test_layout_of_horizons(spark):
+    from orogen.operators import layout, reconstruction
+
+    rows = with_inequalities(spark, [((3, -2, 2), 25), ((4, 2, -1), 5)])
+    found = layout.dofs(rows, Parameters(STRATIGRAPHIC)).orderBy("dof").collect()
+    short = lambda c, i: None if c is None else ("i" if c == "inequality" else "") + str(i)
+    # interfaces by place: (0,0,0) 0, (0,0,4) 3, (0,3,0) 2, (2,0,0) 1
+    assert [(short(f.first_category, f.first_id), short(f.second_category, f.second_id)) for f in found if f.section != "planar"] == [("0", "4"), ("4", "5"), ("0", "i0"), ("i0", "4"), ("5", "i1"), ("0", "3"), ("0", "2"), ("0", "1")]
+    assert [f.dof for f in found] == list(range(11)) and [f.role for f in found] == ["inequality"] * 5 + ["equality"] * 6
+    told = reconstruction.evidence(fitting.fit(rows, Parameters(STRATIGRAPHIC)), rows, Parameters(STRATIGRAPHIC), 1e-5).collect()
+    assert len(told) == 11 and all(t.accepted for t in told)
+    assert [e.error for e in layout.errors(with_inequalities(spark, [((3, -2, 2), 20)]), Parameters(STRATIGRAPHIC)).collect()] == ["InvalidInputData"]
+
+
+def test_refused_rows_and_categories(spark):
+    from orogen.sources import tables
+
+    rows = constraints(spark, [((0, 0, 0), 1), ((0, 0, float("nan")), 1), ((3, 0, 0), 1)], tangents=[((0, 0, 0), (0, 0, 0)), ((0, 0, 0), (0, 0, 1))])
+    assert sorted((r.category, r.constraint_id, r.error) for r in tables.with_error(rows).filter("error is not null").collect()) == [("interface", 1, "NonFiniteInput"), ("tangent", 0, "InvalidInputData")]
+    assert [r.e for r in spark.createDataFrame([(0,), (1,), (2,), (None,)], "p int").select(O.polarity_error(F.col("p")).alias("e")).collect()] == [None, None, "InvalidInputData", "InvalidInputData"]
+    near = constraints(spark, [((0, 0, 0), 1), ((0.0005, 0, 0), 1), ((3, 0, 0), 1)])
+    assert [(r.category, r.removed) for r in grouping.removed(near).collect()] == [("interface", 1)]
+    assert {(r.category, r.average) for r in spatial.average_nearest_by_category(constraints(spark, [((0, 0, 0), 1), ((2, 0, 0), 1)], PLANARS[:1])).collect()} == {("interface", 2.0), ("planar", 0.0)}
+    assert spatial.bounds_and_resolution(near).first().resolution == 1.5
