@@ -23,13 +23,6 @@ from . import grouping, spatial
 
 MODEL, SEQUENCED, INEQUALITY, LITHOLOGY, INTERFACE, INCREMENT, PLANAR, TANGENT, BASIS = range(-1, 8)
 SECTIONS = ("sequenced", "inequality", "lithology", "interface", "increment", "planar", "tangent")
-_POINT = "struct<category:string,constraint_id:bigint,x:double,y:double,z:double,c:double>"
-
-
-def _none(kind: str) -> Column:
-    return F.lit(None).cast(kind)
-
-
 def dealt(constraints: DataFrame) -> DataFrame:
     """Dealt by model_id to a fixed number of parts: few small rows of costly models are not put together again."""
     return constraints.repartition(int(constraints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "model_id")
@@ -41,14 +34,16 @@ def placed(constraints: DataFrame) -> DataFrame:
     return grouping.remove_collocated(dealt(constraints)).withColumn("place", (F.row_number().over(order) - 1).cast("long"))
 
 
-def _row(section: int, first: Column | None = None, second: Column | None = None, axis: int | None = None, direction: list[Column] | None = None, k1: Column | None = None, k2: Column | None = None, sign=None, lower=None, upper=None, value=None, error: Column | None = None) -> Column:
-    number = lambda v: _none("double") if v is None else (F.lit(v) if not isinstance(v, Column) else v).cast("double")
-    direction = direction or [None] * 3
-    return F.struct(
-        F.lit(section).alias("section"), number(k1).alias("k1"), (_none("long") if k2 is None else k2.cast("long")).alias("k2"), (_none(_POINT) if first is None else first.cast(_POINT)).alias("first"),
-        (_none(_POINT) if second is None else second.cast(_POINT)).alias("second"), F.lit(axis).cast("int").alias("axis"), *(number(d).alias(f"d{k}") for k, d in zip("xyz", direction, strict=True)),
-        number(sign).alias("sign"), number(lower).alias("lower"), number(upper).alias("upper"), number(value).alias("value"), (_none("string") if error is None else error).alias("error"),
-    )
+#: What a row may have beside its section, as SQL, and the type of each.
+_FIELDS = {
+    "k1": "double", "k2": "long", "first": "struct<category:string,constraint_id:bigint,x:double,y:double,z:double,c:double>", "second": "struct<category:string,constraint_id:bigint,x:double,y:double,z:double,c:double>", "axis": "int",
+    "dx": "double", "dy": "double", "dz": "double", "sign": "double", "lower": "double", "upper": "double", "value": "double", "error": "string",
+}
+
+
+def _row(section: int, **values: str | float) -> str:
+    """A layout row as SQL; what is not given is null."""
+    return f"named_struct('section', {section}, " + ", ".join(f"'{k}', cast({values.get(k, 'null')} as {kind})" for k, kind in _FIELDS.items()) + ")"
 
 
 def _error(p: Parameters) -> Column:
@@ -78,50 +73,44 @@ def rows(constraints: DataFrame, parameters: Parameters) -> DataFrame:
         points = found.select("model_id", F.struct("category", "place").alias("idx"), "x", "y", "z", "c")
         found = found.join(spatial.largest_distance(points).withColumnRenamed("distance", "wide"), "model_id")
     else:
-        found = found.withColumn("wide", _none("double"))
-    me = F.struct("category", "constraint_id", "x", "y", "z", "c").cast(_POINT)
-    found = grouping.with_references(found, me, "place")
-    model, at_level = Window.partitionBy("model_id"), Window.partitionBy("model_id", "at")
-    number = lambda flag: F.count(F.when(flag, 1))
-    reference = F.col("is_reference")
-    relations = F.when(reference & F.col("below").isNotNull(), 1).otherwise(0) + F.when(is_a("inequality"), F.when(F.col("nearest_above").isNotNull(), 1).otherwise(0) + F.when(F.col("nearest_below").isNotNull(), 1).otherwise(0)).otherwise(0)
-    found = (
-        found.withColumn("clash", (number(reference).over(at_level) > 0) & is_a("inequality"))
-        .select(
-            "*", *(number(is_a(k)).over(model).alias(f"{k}s" if k != "inequality" else "inequalities") for k in ("interface", "inequality", "planar", "tangent")), number(reference).over(model).alias("levels"),
-            number(F.col("clash")).over(model).alias("conflicts"), F.sum(relations).over(model).alias("relations"), number(~O.finite(*(F.col(k) for k in "xyzc"))).over(model).alias("unplaced"),
-            F.max(F.when(reference & (F.col("members") > 1), F.struct("members", "at"))).over(model).alias("largest"), F.row_number().over(model.orderBy("category", "place")).alias("nth"),
-        )
-    )
-    place, u, angle, wide, level = F.col("place"), p.interface_uncertainty, p.angular_uncertainty, F.col("wide"), F.col("level")
-    vector = [F.col(f"v{k}") for k in "xyz"]
-    bounds = lambda lo, hi: {"lower": lo, "upper": hi} if p.restricted else {}
-    increment = _row(INCREMENT, F.col("reference"), me, k1=-F.col("at"), k2=place, value=0.0, **bounds(-u, u))
-    sequenced = _row(SEQUENCED, me, F.col("below"), k1=-F.col("at"), sign=1.0, lower=p.least_thickness, upper=wide if p.restricted else None)
-    own: list[Column] = []
+        found = found.withColumn("wide", F.lit(None).cast("double"))
+    me = F.struct("category", "constraint_id", "x", "y", "z", "c")
+    found = grouping.with_references(found.withColumn("me", me), F.col("me"), "place")
+    counts = {
+        "clashes": "count_if(is_reference) over (partition by model_id, at) > 0 and category = 'inequality'",
+        "interfaces": "count_if(category = 'interface') over m", "planars": "count_if(category = 'planar') over m", "tangents": "count_if(category = 'tangent') over m", "levels": "count_if(is_reference) over m",
+        "unplaced": "count_if(not finite) over m", "relations": "sum(if(is_reference and below is not null, 1, 0) + if(category = 'inequality', int(nearest_above is not null) + int(nearest_below is not null), 0)) over m",
+        "largest": "max(if(is_reference and members > 1, struct(members, at), null)) over m", "nth": "row_number() over (partition by model_id order by category, place)",
+    }
+    found = found.withColumn("finite", O.finite(*(F.col(k) for k in "xyzc")))
+    found = found.selectExpr("*", *(f"{v.replace('over m', 'over (partition by model_id)')} as {k}" for k, v in counts.items())).selectExpr("*", "count_if(clashes) over (partition by model_id) as conflicts")
+    found = found.withColumn("refusal", _error(p))
+    u, angle, thick = p.interface_uncertainty, p.angular_uncertainty, p.least_thickness
+    bounds = lambda lower, upper: {"lower": lower, "upper": upper} if p.restricted else {}
+    #: Condition and rows of it.
+    own: list[tuple[str, list[str]]] = [("nth = 1", [_row(MODEL, error="refusal")]), ("category = 'interface' and members = largest.members and at = largest.at", [_row(BASIS, first="me", k2="place")])]
     if p.model in (SINGLE_SURFACE, CONTINUOUS):
-        own.append(F.when(is_a("interface"), F.array(_row(INTERFACE, me, k2=place, value=level, **bounds(-u, u)))))
+        own.append(("category = 'interface'", [_row(INTERFACE, first="me", k2="place", value="level", **bounds(-u, u))]))
     if p.model in (LAJAUNIE, STRATIGRAPHIC):
-        own.append(F.when(is_a("interface") & ~reference, F.array(increment)))
+        own.append(("category = 'interface' and not is_reference", [_row(INCREMENT, first="reference", second="me", k1="-at", k2="place", value=0.0, **bounds(-u, u))]))
     if p.model == STRATIGRAPHIC:
-        own.append(F.when(reference & F.col("below").isNotNull(), F.array(sequenced)))
-        sides = [_row(LITHOLOGY, F.col("nearest_above"), me, k2=2 * place, sign=1.0, lower=0.0, upper=p.least_thickness if p.restricted else None), _row(LITHOLOGY, me, F.col("nearest_below"), k2=2 * place + 1, sign=1.0, lower=0.0, upper=p.least_thickness if p.restricted else None)]
-        own += [F.when(is_a("inequality") & F.col(side).isNotNull(), F.array(r)) for side, r in zip(("nearest_above", "nearest_below"), sides, strict=True)]
+        own.append(("is_reference and below is not null", [_row(SEQUENCED, first="me", second="below", k1="-at", sign=1.0, lower=thick, **({"upper": "wide"} if p.restricted else {}))]))
+        ends = {"sign": 1.0, "lower": 0.0} | ({"upper": thick} if p.restricted else {})
+        own.append(("category = 'inequality' and nearest_above is not null", [_row(LITHOLOGY, first="nearest_above", second="me", k2="2 * place", **ends)]))
+        own.append(("category = 'inequality' and nearest_below is not null", [_row(LITHOLOGY, first="me", second="nearest_below", k2="2 * place + 1", **ends)]))
     if p.model == SINGLE_SURFACE:
         # a level of at most 0 asks for a field below the surface, whatever its size
-        low = level <= 0
-        ends = {"lower": F.when(low, -wide).otherwise(0.0), "upper": F.when(low, 0.0).otherwise(wide)} if p.restricted else {"lower": 0.0}
-        own.append(F.when(is_a("inequality"), F.array(_row(INEQUALITY, me, k2=place, sign=F.when(low, -1.0).otherwise(1.0), **ends))))
+        ends = bounds("if(level <= 0, -wide, 0)", "if(level <= 0, 0, wide)") or {"lower": 0.0}
+        own.append(("category = 'inequality'", [_row(INEQUALITY, first="me", k2="place", sign="if(level <= 0, -1, 1)", **ends)]))
+    if p.restricted and p.model not in (CONTINUOUS, VECTOR):
+        found = found.withColumn("around", O.normal_bounds(O.strike_of_normal(F.col("vx"), F.col("vy")), O.dip_of_normal(F.col("vz")), F.lit(angle), F.lit(angle / 2))).withColumn("inner", O.angle_bounds(F.lit(angle)))
     if p.model != CONTINUOUS:
-        around = O.normal_bounds(O.strike_of_normal(vector[0], vector[1]), O.dip_of_normal(vector[2]), F.lit(angle), F.lit(angle / 2)) if p.restricted else None
-        ends = lambda a: bounds(around[f"{a}_lo"], around[f"{a}_hi"]) if p.restricted else {}
-        own.append(F.when(is_a("planar"), F.array(*(_row(PLANAR, me, axis=k, direction=[float(k == j) for j in range(3)], k2=3 * place + k, value=vector[k], **ends(a)) for k, a in enumerate("xyz")))))
+        axes = [_row(PLANAR, first="me", axis=k, k2=f"3 * place + {k}", value=f"v{a}", **{f"d{b}": float(a == b) for b in "xyz"}, **(bounds(f"around.{a}_lo", f"around.{a}_hi") if p.model != VECTOR else {})) for k, a in enumerate("xyz")]
+        own.append(("category = 'planar'", axes))
     if p.model not in (CONTINUOUS, VECTOR):
-        inner = O.angle_bounds(F.lit(angle))
-        own.append(F.when(is_a("tangent"), F.array(_row(TANGENT, me, direction=vector, k2=place, value=0.0, **bounds(inner["lo"], inner["hi"])))))
-    largest = is_a("interface") & (F.col("members") == F.col("largest.members")) & (F.col("at") == F.col("largest.at"))
-    own += [F.when(largest, F.array(_row(BASIS, me, k2=place))), F.when(F.col("nth") == 1, F.array(_row(MODEL, error=_error(p))))]
-    whole = found.select("model_id", F.explode(F.flatten(F.array_compact(F.array(*own)))).alias("r")).select("model_id", "r.*")
+        own.append(("category = 'tangent'", [_row(TANGENT, first="me", k2="place", dx="vx", dy="vy", dz="vz", value=0.0, **bounds("inner.lo", "inner.hi"))]))
+    each = ", ".join(f"case when {condition} then array({', '.join(some)}) end" for condition, some in own)
+    whole = found.selectExpr("model_id", f"explode(flatten(array_compact(array({each})))) as r").select("model_id", "r.*")
     # the MODEL row comes first and counts as -1
     order = Window.partitionBy("model_id").orderBy("section", "k1", "k2")
     return whole.withColumn("dof", F.row_number().over(order) - 2)
