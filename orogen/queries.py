@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import kernels as K
 from .functions import orientation as O
-from .operators import evaluation, fitting, grouping, quadratic, spatial
+from .operators import evaluation, fitting, grouping, layout, quadratic, reconstruction, spatial
 from .parameters import CONTINUOUS, LAJAUNIE, SINGLE_SURFACE, STRATIGRAPHIC, VECTOR, Parameters
 from .sources import tables
 
@@ -248,10 +248,10 @@ def spatial_largest_distance(spark, sf):
 
 
 def _kernel_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return spatial.pairs(tables.points(spark, sf).filter("idx % 7 = 0"), tables.points(spark, sf).filter("idx % 5 = 0"))
+    return spatial.pairs(tables.points(spark, sf), tables.points(spark, sf))
 
 
-_KERNEL_PAIRS = f"{_POINTS}, k AS (SELECT a.model_id, a.idx AS a, b.idx AS b, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS r FROM points a JOIN points b USING (model_id) WHERE a.idx % 7 = 0 AND b.idx % 5 = 0), q AS (SELECT *, 2.0 + r * r AS q, exp(-4.0 * r * r) AS e, exp(-2.0 * r) AS m, ln(CASE WHEN r > 0 THEN r ELSE 1 END) AS l FROM k)"
+_KERNEL_PAIRS = f"{_POINTS}, k AS (SELECT a.model_id, a.idx AS a, b.idx AS b, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS r FROM points a JOIN points b USING (model_id)), q AS (SELECT *, 2.0 + r * r AS q, exp(-4.0 * r * r) AS e, exp(-2.0 * r) AS m, ln(CASE WHEN r > 0 THEN r ELSE 1 END) AS l FROM k)"
 _VALUES = {"cubic": "r * r * r", "gaussian": "e", "multiquadric": "sqrt(q)", "multiquadric_cubic": "q * sqrt(q)", "inverse_multiquadric": "1 / sqrt(q)", "thin_plate": "r * r * r * r * l", "linear": "r", "wendland": "CASE WHEN r > 2 THEN 0 ELSE pow(1 - r / 2, 4) * (1 + 2 * r) END", "matern": "m * (3 + 6 * r + 4 * r * r)"}
 _SLOPES = {"cubic": "3 * r", "gaussian": "-8 * e", "multiquadric": "1 / sqrt(q)", "multiquadric_cubic": "3 * sqrt(q)", "inverse_multiquadric": "-1 / (q * sqrt(q))", "thin_plate": "r * r + 4 * r * r * l", "wendland": "CASE WHEN r > 2 THEN 0 ELSE 20 * pow(r - 2, 3) / 32 END", "matern": "-4 * m * (1 + 2 * r)"}
 #: H_xx and H_xy at r > 0.
@@ -308,13 +308,13 @@ def _quadratic(x: Column, y: Column, z: Column) -> Column:
 _QUADRATIC = "x * x + 2 * y * y + 3 * z * z + 4 * x * y + 5 * x * z + 6 * y * z + 7 * x + 8 * y + 9 * z + 10"
 
 
-@query(f"WITH {_POINTS} SELECT 0::BIGINT AS model_id, idx AS query_id, round({_QUADRATIC}, 5) + 0.0 AS value FROM points WHERE idx >= 60")
+@query(f"WITH {_POINTS} SELECT (idx + 1) % 2 AS model_id, idx AS query_id, round({_QUADRATIC}, 5) + 0.0 AS value FROM points")
 def field_single_surface(spark, sf):
-    """Sites on a quadratic: the order-2 polynomial reproduces it everywhere else."""
-    p = tables.points(spark, sf).withColumn("model_id", F.lit(0).cast("long"))
-    site = p.filter("idx < 60").select("model_id", F.col("idx").alias("constraint_id"), "x", "y", "z", _quadratic(F.col("x"), F.col("y"), F.col("z")).alias("level"))
+    """Sites on a quadratic, one model of the even and one of the odd points: the order-2 polynomial reproduces it at the other half."""
+    p = tables.points(spark, sf)
+    site = p.select((F.col("idx") % 2).alias("model_id"), F.col("idx").alias("constraint_id"), "x", "y", "z", _quadratic(F.col("x"), F.col("y"), F.col("z")).alias("level"))
     models = fitting.fit(tables.constraints_of(site, "interface"), Parameters(SINGLE_SURFACE, polynomial_order=2))
-    found = evaluation.evaluate(models, p.filter("idx >= 60").withColumnRenamed("idx", "query_id"))
+    found = evaluation.evaluate(models, p.withColumn("model_id", (F.col("idx") + 1) % 2).withColumnRenamed("idx", "query_id"))
     return found.withColumn("value", _r("value", 5))
 
 
@@ -333,31 +333,52 @@ def field_continuous_two_sites(spark, sf):
     return evaluation.evaluate(models, at).withColumn("value", _r("value"))
 
 
-@query(f"WITH {_NORMALS}, g AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY constraint_id) AS n FROM normals) SELECT model_id, constraint_id AS query_id, round(nx, 5) + 0.0 AS gx, round(ny, 5) + 0.0 AS gy, round(nz, 5) + 0.0 AS gz FROM g WHERE n <= 12")
+@query(f"WITH {_NORMALS} SELECT constraint_id // 120 * 10 + constraint_id % 10 AS model_id, constraint_id AS query_id, round(nx, 5) + 0.0 AS gx, round(ny, 5) + 0.0 AS gy, round(nz, 5) + 0.0 AS gz FROM normals")
 def field_vector(spark, sf):
-    """The gradient at a model's own planars is their normal."""
-    from pyspark.sql import Window
-
-    p = tables.planars(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("model_id").orderBy("constraint_id"))).filter("n <= 12").drop("n")
+    """The gradient at a model's own planars, twelve of each part of 120 keys, is their normal."""
+    p = tables.planars(spark, sf).withColumn("model_id", F.floor(F.col("constraint_id") / 120) * 10 + F.col("constraint_id") % 10)
     models = fitting.fit(p, Parameters(VECTOR, K.GAUSSIAN, shape=0.5))
     found = evaluation.evaluate(models, p.withColumnRenamed("constraint_id", "query_id"), gradient=True)
     return found.select("model_id", "query_id", *(_r(c, 5).alias(c) for c in ("gx", "gy", "gz")))
 
 
-@query(f"""WITH {_INTERFACES}, {_NORMALS}, few AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY constraint_id) AS n FROM interfaces),
-    own AS (SELECT model_id, level, constraint_id FROM few WHERE n <= 20), g AS (SELECT model_id, level, min(constraint_id) AS reference FROM own GROUP BY model_id, level)
-    SELECT model_id, constraint_id AS member, 0.0::DOUBLE AS increment FROM own JOIN g USING (model_id, level) WHERE constraint_id <> reference""")
-def field_lajaunie(spark, sf):
-    """The members of a level have the value of its reference: the increments are 0."""
-    from pyspark.sql import Window
+#: Interfaces of forty parts each on four planes 0.6 x + 0.8 z = level.
+_PLANES = "planes AS (SELECT *, (level - 0.6 * x) / 0.8 AS z FROM (SELECT p_partkey // 40 AS model_id, p_partkey AS constraint_id, p_partkey % 13 / 3.0::DOUBLE AS x, p_partkey % 7 / 2.0::DOUBLE AS y, p_partkey % 4 * 10.0::DOUBLE AS level FROM part))"
 
-    first = lambda df, n: df.withColumn("n", F.row_number().over(Window.partitionBy("model_id").orderBy("constraint_id"))).filter(F.col("n") <= n).drop("n")
-    own = first(tables.interfaces(spark, sf), 20)
-    models = fitting.fit(own.unionByName(first(tables.planars(spark, sf), 3)), Parameters(LAJAUNIE))
-    found = evaluation.evaluate(models, own.withColumnRenamed("constraint_id", "query_id")).select("model_id", "query_id", "value")
-    pairs = grouping.increments(own)
-    a, b = (found.select("model_id", F.col("query_id").alias(c), F.col("value").alias(f"v_{c}")) for c in ("reference", "member"))
-    return pairs.join(a, ["model_id", "reference"]).join(b, ["model_id", "member"]).select("model_id", "member", _r(F.col("v_reference") - F.col("v_member"), 4).alias("increment"))
+
+def _planes(spark: SparkSession, sf: str) -> DataFrame:
+    """The interfaces of _PLANES and one planar for each model, with the planes' normal: the field of first order is 0.6 x + 0.8 z."""
+    k = F.col("p_partkey")
+    level, x = (k % 4 * 10.0), (k % 13 / 3.0)
+    own = spark.read.parquet(f"{sf}/part.parquet").select(F.floor(k / 40).alias("model_id"), k.alias("constraint_id"), x.alias("x"), (k % 7 / 2.0).alias("y"), ((level - 0.6 * x) / 0.8).alias("z"), level.alias("level"))
+    planar = own.select("model_id").distinct().select("model_id", F.lit(0).alias("constraint_id"), *(F.lit(v).alias(c) for c, v in zip(("x", "y", "z", "vx", "vy", "vz"), (1.0, 2.0, 3.0, 0.6, 0.0, 0.8), strict=True)))
+    return tables.constraints_of(own, "interface").unionByName(tables.constraints_of(planar, "planar"))
+
+
+@query(f"WITH {_PLANES} SELECT model_id, constraint_id AS query_id, round(0.6 * (x + 1) + 0.8 * (z + constraint_id % 11 * 0.1), 4) + 0.0 AS value FROM planes")
+def field_lajaunie(spark, sf):
+    """Levels on planes: the field is 0.6 x + 0.8 z beside the interfaces too."""
+    own = _planes(spark, sf)
+    at = own.filter("category = 'interface'").select("model_id", F.col("constraint_id").alias("query_id"), (F.col("x") + 1).alias("x"), "y", (F.col("z") + F.col("constraint_id") % 11 * 0.1).alias("z"))
+    return evaluation.evaluate(fitting.fit(own, Parameters(LAJAUNIE)), at).withColumn("value", _r("value", 4))
+
+
+@query(f"WITH {_PLANES} SELECT model_id, level, arg_min(constraint_id, (x, y, z, constraint_id)) AS reference, count(*) AS members, round(level, 4) AS iso_value FROM planes GROUP BY model_id, level")
+def interface_iso_values(spark, sf):
+    """The reference point of each level and the field there: on the planes it is the level."""
+    own = _planes(spark, sf)
+    found = reconstruction.iso_values(fitting.fit(own, Parameters(LAJAUNIE)), own)
+    return found.select("model_id", "level", "reference", "members", _r("iso_value", 4).alias("iso_value"))
+
+
+@query(f"""WITH {_PLANES}, p AS (SELECT *, row_number() OVER (PARTITION BY model_id, level ORDER BY x, y, z, constraint_id) AS n, row_number() OVER (PARTITION BY model_id ORDER BY x, y, z, constraint_id) AS place,
+    first_value(constraint_id) OVER (PARTITION BY model_id, level ORDER BY x, y, z, constraint_id) AS reference FROM planes),
+    d AS (SELECT model_id, 0 AS s, -level AS k1, place AS k2, 'increment' AS section, reference AS first_id, constraint_id AS second_id, NULL::INT AS axis, 0.0::DOUBLE AS value FROM p WHERE n > 1
+        UNION ALL SELECT model_id, 1, 0, a, 'planar', 0, NULL, a::INT, [0.6, 0.0, 0.8][a + 1]::DOUBLE FROM (SELECT DISTINCT model_id FROM planes), range(3) t(a))
+    SELECT model_id, row_number() OVER (PARTITION BY model_id ORDER BY s, k1, k2) - 1 AS dof, section, 'equality' AS role, first_id, second_id, axis, value FROM d""")
+def layout_lajaunie(spark, sf):
+    """The unknowns of the Lajaunie models of the planes, with their right-hand sides."""
+    return layout.dofs(_planes(spark, sf), Parameters(LAJAUNIE)).select("model_id", F.col("dof").cast("long").alias("dof"), "section", "role", "first_id", "second_id", "axis", "value")
 
 
 @query("SELECT 0::BIGINT AS model_id, l_orderkey * 8 + l_linenumber AS query_id, round(l_quantity / 10.0 * 3 + l_discount * 5 - l_tax + 2, 5) + 0.0 AS value FROM lineitem")
