@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontamination, langid, ngrams, passages, pii, rules, sentencepieces, simhash, warc
+from . import classifier, decontamination, langid, ngrams, passages, pii, rules, sentencepieces, simhash, vectorcodes, warc
 
 
 #: The model of op8_sentencepiece and of the pipeline; sentencepieces.load() takes any path.
@@ -60,6 +60,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -71,8 +75,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Rounds of assignment a<k> by codebook b<k - 1>, whose entries' means make b<k>."""
+    nearest = lambda k: f"""
+        a{k} AS (SELECT vec_id, parts.p, parts.v, min(list_sum(list_transform(list_zip(parts.v, b.v), lambda t: ((t[1] - t[2]) * (t[1] - t[2]))::HUGEINT))::HUGEINT * 256 + b.e) AS near
+                 FROM parts JOIN b{k} AS b ON b.p = parts.p GROUP BY vec_id, parts.p, parts.v)"""
+    moved = lambda k: f"""
+        s{k} AS (SELECT p, e, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n
+                 FROM (SELECT p, near % 256 AS e, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{k}) GROUP BY p, e, i),
+        m{k} AS (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{k} GROUP BY p, e),
+        b{k + 1} AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{k} AS b LEFT JOIN m{k} AS m ON m.p = b.p AND m.e = b.e)"""
+    steps = ",".join(nearest(k) + "," + moved(k) for k in range(rounds))
+    return f"""
+        WITH kept AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS (SELECT vec_id, p, list_transform(embedding[p * (len(embedding) // 4) + 1 : (p + 1) * (len(embedding) // 4)], lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+                  FROM kept CROSS JOIN (SELECT unnest(range(4)) AS p)),
+        b0 AS (SELECT p, (row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1)::HUGEINT AS e, v FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)),
+        {steps},{nearest(rounds)},
+        told AS (SELECT vec_id, string_agg(printf('%02x', (near % 256)::INTEGER), '' ORDER BY p) AS code, sum(near // 256)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+        digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM told JOIN kept USING (vec_id) CROSS JOIN digest"""
+
+
 _DIGEST = "translate(concat(" + ", ".join(f"to_base(('0x' || substr(sha1(p), {1 + 10 * k}, 10))::BIGINT, 32, 8)" for k in range(4)) + "), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
 
 ORACLES: dict[str, str] = {
@@ -96,4 +125,5 @@ ORACLES: dict[str, str] = {
         sums AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (backed) AS n_backoffs, round(sum(s), 6) AS log_score FROM told GROUP BY doc_id)
         SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backoffs, 0) AS n_backoffs, coalesce(log_score, 0.0) AS log_score, log_score / n_words AS mean_log_score
         FROM documents LEFT JOIN sums USING (doc_id)""",
+    "op13_vector_codes": _codes_sql(),
 }
