@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontamination, langid, ngrams, passages, pii, rules, sentencepieces, simhash, vectorcodes, warc
+from . import classifier, decontamination, langid, ngrams, passages, pii, rules, sentencepieces, simhash, toxicity, vectorcodes, warc
 
 
 #: The model of op8_sentencepiece and of the pipeline; sentencepieces.load() takes any path.
@@ -60,6 +60,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compressed(_table(spark, sf_dir, "embeddings"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_toxicity": op12_toxicity,
     "op13_vector_codes": op13_vector_codes,
 }
 

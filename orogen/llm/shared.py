@@ -6,15 +6,18 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task looks at together; a longer text is looked at alone.
 PIECE_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: The seed of all hashes of words: Spark's own.
+SEED = 42
 _SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
@@ -106,22 +109,69 @@ class Words:
         return np.bincount(self.doc, weights=values, minlength=len(self.offsets) - 1)
 
 
-def hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes."""
-    power, inverse = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
-    return mixed((sums[stop] - sums[start]) * inverse[start])
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = -(-n // (1 << 18)) * (1 << 18)
-        _POWERS[:] = [np.cumprod(np.r_[np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: The five odd constants of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+#: Longer runs are hashed one by one; there are few of them for their bytes.
+_LONG = 1024
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each run of bytes, equal to Spark's xxhash64 of the run as a string."""
+    size = stop - start
+    found = np.zeros(len(start), np.uint64)
+    for i in np.flatnonzero(size > _LONG):
+        found[i] = xxhash.xxh64_intdigest(raw[start[i] : stop[i]].tobytes(), seed)
+    some = np.flatnonzero(size <= _LONG)
+    if len(some):
+        with np.errstate(over="ignore"):
+            found[some] = _short_hashes(raw, start[some], size[some], np.uint64(seed))
+    return found
+
+
+def _short_hashes(raw: np.ndarray, at: np.ndarray, size: np.ndarray, seed: np.uint64) -> np.ndarray:
+    held = np.concatenate([raw, np.zeros(8, np.uint8)])
+    at, size = at.astype(np.int64), size.astype(np.int64)
+    eight = np.ndarray((len(raw) + 1,), "<u8", held, strides=(1,))
+    four = np.ndarray((len(raw) + 1,), "<u4", held, strides=(1,))
+    end, acc = at + size, np.full(len(at), seed + _P5, np.uint64)
+    striped = np.flatnonzero(size >= 32)
+    if len(striped):
+        where, last = at[striped], end[striped]
+        lanes = [np.full(len(striped), first, np.uint64) for first in (seed + _P1 + _P2, seed + _P2, seed, seed - _P1)]
+        go = np.arange(len(striped))
+        while len(go):
+            for k in range(4):
+                lanes[k][go] = _turned(lanes[k][go] + eight[where[go] + 8 * k] * _P2, 31) * _P1
+            where[go] += 32
+            go = go[where[go] + 32 <= last[go]]
+        total = _turned(lanes[0], 1) + _turned(lanes[1], 7) + _turned(lanes[2], 12) + _turned(lanes[3], 18)
+        for lane in lanes:
+            total = (total ^ (_turned(lane * _P2, 31) * _P1)) * _P1 + _P4
+        acc[striped], at = total, at.copy()
+        at[striped] = where
+    acc += size.astype(np.uint64)
+    go = np.flatnonzero(at + 8 <= end)
+    while len(go):
+        acc[go] = _turned(acc[go] ^ (_turned(eight[at[go]] * _P2, 31) * _P1), 27) * _P1 + _P4
+        at[go] += 8
+        go = go[at[go] + 8 <= end[go]]
+    go = np.flatnonzero(at + 4 <= end)
+    acc[go] = _turned(acc[go] ^ (four[at[go]].astype(np.uint64) * _P1), 23) * _P2 + _P3
+    at[go] += 4
+    go = np.flatnonzero(at < end)
+    while len(go):
+        acc[go] = _turned(acc[go] ^ (held[at[go]].astype(np.uint64) * _P5), 11) * _P1
+        at[go] += 1
+        go = go[at[go] < end[go]]
+    acc = (acc ^ (acc >> np.uint64(33))) * _P2
+    acc = (acc ^ (acc >> np.uint64(29))) * _P3
+    return acc ^ (acc >> np.uint64(32))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -148,6 +198,71 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
         start = stop
 
 
+class Segment(NamedTuple):
+    """Parts of texts: row (of the batch) of each, bytes, offsets, how many of each part's bytes are its own, whether it starts its text."""
+
+    row: np.ndarray
+    raw: np.ndarray
+    offsets: np.ndarray
+    own: np.ndarray
+    starts: np.ndarray
+
+
+def segments(batch: pa.RecordBatch, table: np.ndarray, ahead: int = 0, column: str = "text", most: int = PIECE_BYTES, unbroken: int | None = None) -> Iterator[Segment]:
+    """The texts of a batch in parts of about `most` bytes, so that memory does not grow with the length of a text.
+
+    Short texts come together and whole. A long one is cut before bytes that `table` maps to 0, and each of its parts is followed by up to
+    `ahead` further words, which are not its own: whatever starts in a part's own bytes and ends within so many words is seen once. `unbroken` bounds the bytes after `most` in which
+    a separator is looked for; beyond them the text is cut anyway.
+    """
+    text = batch.column(column)
+    sizes = _offsets(text)
+    data = text.buffers()[2]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(sizes, sizes[start] + most, side="right")) - 1)
+        offsets = sizes[start : stop + 1]
+        if stop > start + 1 or offsets[-1] - offsets[0] <= most:
+            own = np.diff(offsets)
+            yield Segment(np.arange(start, stop), raw[offsets[0] : offsets[-1]], offsets - offsets[0], own, np.ones(len(own), bool))
+        else:
+            whole, at = raw[offsets[0] : offsets[1]], 0
+            while at < len(whole):
+                cut = _next_blank(whole, min(at + most, len(whole)), table)
+                if unbroken is not None:
+                    cut = min(cut, at + most + unbroken)
+                end = _after_words(whole, cut, ahead, table)
+                yield Segment(np.array([start]), whole[at:end], np.array([0, end - at]), np.array([cut - at]), np.array([at == 0]))
+                at = cut
+        start = stop
+
+
+def _next_blank(raw: np.ndarray, at: int, table: np.ndarray, step: int = 1 << 12) -> int:
+    """The first separating byte from `at` on, or the end."""
+    while at < len(raw):
+        blank = np.flatnonzero((table[raw[at : at + step]] == 0) & ((raw[at : at + step] != 0) | (table[1] == 0)))
+        if len(blank):
+            return at + int(blank[0])
+        at += step
+    return len(raw)
+
+
+def _next_word(raw: np.ndarray, at: int, table: np.ndarray, step: int = 1 << 12) -> int:
+    while at < len(raw):
+        word = np.flatnonzero((table[raw[at : at + step]] != 0) | ((raw[at : at + step] == 0) & (table[1] != 0)))
+        if len(word):
+            return at + int(word[0])
+        at += step
+    return len(raw)
+
+
+def _after_words(raw: np.ndarray, at: int, n: int, table: np.ndarray) -> int:
+    for _ in range(n):
+        at = _next_blank(raw, _next_word(raw, at, table), table)
+    return at
+
+
 def _offsets(text: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type) else np.int32
     buffer = text.buffers()[1]
