@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontamination, langid, ngrams, passages, pii, rules, sentencepieces, simhash, toxicity, vectorcodes, warc
+from . import classifier, decontamination, langid, ngrams, passages, phrases, pii, rules, sentencepieces, simhash, toxicity, vectorcodes, warc
 
 
 #: The model of op8_sentencepiece and of the pipeline; sentencepieces.load() takes any path.
@@ -60,6 +60,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_phrase_mining": op11_phrase_mining,
     "op12_toxicity": op12_toxicity,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -109,6 +114,23 @@ def _codes_sql(rounds: int = 4) -> str:
 
 _DIGEST = "translate(concat(" + ", ".join(f"to_base(('0x' || substr(sha1(p), {1 + 10 * k}, 10))::BIGINT, 32, 8)" for k in range(4)) + "), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
 
+_PHRASES_SQL = r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+        cut AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+        placed AS (SELECT lang, ws, k, unnest(range(len(ws) - k + 1)) AS i FROM cut CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k),
+        f AS (SELECT lang, array_to_string(ws[i + 1 : i + k], ' ') AS phrase, k, count(*) AS a FROM placed GROUP BY ALL),
+        n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, phrase, string_split(phrase, ' ') AS ws, k, a FROM f WHERE k > 1 AND a >= 30),
+        starts AS (SELECT lang, phrase, ws, k, a, j, unnest(range(k - j + 1)) AS i FROM c CROSS JOIN (SELECT unnest([2, 3]) AS j) WHERE k > j),
+        covered AS (SELECT lang, array_to_string(ws[i + 1 : i + j], ' ') AS phrase, max(a) AS longer FROM starts GROUP BY ALL),
+        alone AS (SELECT c.* FROM c LEFT JOIN covered USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * c.a),
+        cuts AS (SELECT lang, phrase, a, w, array_to_string(ws[1 : w], ' ') AS head, array_to_string(ws[w + 1 : k], ' ') AS tail FROM alone CROSS JOIN (SELECT unnest([1, 2, 3]) AS w) WHERE w < k),
+        scored AS (SELECT cuts.lang, cuts.phrase, cuts.a, w, h.a AS l, t.a AS r, (2000000::HUGEINT * cuts.a // (h.a + t.a))::BIGINT AS score
+                   FROM cuts JOIN f AS h ON h.lang = cuts.lang AND h.phrase = cuts.head JOIN f AS t ON t.lang = cuts.lang AND t.phrase = cuts.tail),
+        best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, w) AS cut FROM scored),
+        ranked AS (SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE cut = 1)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op2_warc": f"""
         WITH recs AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
@@ -130,5 +152,6 @@ ORACLES: dict[str, str] = {
         sums AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (backed) AS n_backoffs, round(sum(s), 6) AS log_score FROM told GROUP BY doc_id)
         SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backoffs, 0) AS n_backoffs, coalesce(log_score, 0.0) AS log_score, log_score / n_words AS mean_log_score
         FROM documents LEFT JOIN sums USING (doc_id)""",
+    "op11_phrase_mining": _PHRASES_SQL,
     "op13_vector_codes": _codes_sql(),
 }

@@ -30,25 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: its lineage is cut and lost executors cost nothing."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: its lineage is cut and lost executors cost nothing. by: a column of folders."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
 
 
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables that written() made and that nothing reads any more. Spark deletes the shuffle files of finished jobs once the driver
-    has collected its garbage, so that is asked for too: long operators would fill the disks of a cluster with them."""
+def forget(*tables: DataFrame, shuffles: bool = True) -> None:
+    """Deletes tables that written() made and that nothing reads any more. With `shuffles` also what finished jobs left: Spark deletes their
+    shuffle files once the driver has collected its garbage, so that is asked for: long operators would fill the disks of a cluster with them."""
     for table in tables:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    if tables:
+    if shuffles and tables:
+        gc.collect()
         tables[0].sparkSession._jvm.System.gc()
 
 
@@ -84,7 +84,7 @@ def table_of_bytes(hold: str = "", lower: bool = False) -> np.ndarray:
 class Words:
     """The words of some texts as arrays: doc (row of each word), start and end (bytes), hash (64 bits)."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, hashed: bool = True):
         self.offsets, self.raw = offsets, raw
         mapped = table[raw]
         # byte 0 of a text itself is a word character
@@ -102,7 +102,8 @@ class Words:
         last = inside & (~after[1:] | edge[1:])
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
-        self.hash = hashes(mapped, self.start, self.end)
+        if hashed:
+            self.hash = hashes(mapped, self.start, self.end)
 
     def per_doc(self, values: np.ndarray | None = None) -> np.ndarray:
         """For each text the number of its words, or the sum of their values."""
