@@ -1,7 +1,8 @@
-"""Spatial measures of point sets. Points belong to a model, and every pairing is an equi-join on model_id.
+"""Spatial measures of point sets. Points belong to a model.
 
 A point set is a DataFrame (model_id, idx, x, y, z, c); distances use all four coordinates, bounds the first three. Ties go to the
-smaller idx. One model's points are bounded (see orogen.operators.fitting.MOST_DOFS), so its pairs are too.
+smaller idx. Nearest and farthest points are found by boxes that are narrowed down (orogen.operators.boxes), so one model may have any number
+of points. Only pairs() makes all pairs of a model, for kernel matrices, whose size is the square by what they are.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import boxes
 from .grouping import remove_collocated
 
 
@@ -22,42 +24,80 @@ def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return point(left, "a").join(point(right, "b"), "model_id").withColumn("d", distance("a", "b"))
 
 
+def _answers(queries: DataFrame, points: DataFrame, keep: boxes.Keep, first: int = 1) -> DataFrame:
+    """model_id, place (of the query), near (an index of points) and d of all pairs that `keep` lets through. The place is one column: with
+    four that d is made of, the optimiser would infer every mixture of them."""
+    asking = boxes.Boxes(queries)
+    asked = asking if points is queries and first == 1 else boxes.Boxes(points, first)
+    found = boxes.narrowed(asking, asked, keep)
+    return found.select("model_id", F.struct(*(F.col(f"a.lo_{k}").alias(k) for k in boxes.AXES)).alias("place"), F.explode("b.ids").alias("near"), boxes.least().alias("d"))
+
+
+_PLACE = ("model_id", "place")
+
+
+def _told(queries: DataFrame, answers: DataFrame) -> DataFrame:
+    """The answers of a place for each query there."""
+    place = F.struct(*((F.col(k) + 0.0).alias(k) for k in boxes.AXES))
+    return queries.select("model_id", "idx", place.alias("place")).join(answers, list(_PLACE)).drop("place")
+
+
 def nearest(queries: DataFrame, points: DataFrame) -> DataFrame:
     """The nearest point that is not at distance 0."""
-    return pairs(queries, points).filter("d <> 0").groupBy("model_id", F.col("a.idx").alias("idx")).agg(F.min(F.struct("d", "b.idx")).alias("m")).select("model_id", "idx", F.col("m.idx").alias("nearest"), F.col("m.d").alias("distance"))
+    found = _answers(queries, points, boxes.among_nearest(1)).filter("d <> 0").groupBy(*_PLACE).agg(F.min(F.struct("d", "near")).alias("m"))
+    return _told(queries, found).select("model_id", "idx", F.col("m.near").alias("nearest"), F.col("m.d").alias("distance"))
 
 
 def nearest_k(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """The k nearest points that are not at distance 0, by rank from 1."""
-    order = Window.partitionBy("model_id", "idx").orderBy("d", "near")
-    found = pairs(queries, points).filter("d <> 0").select("model_id", F.col("a.idx").alias("idx"), F.col("b.idx").alias("near"), "d")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    found = _answers(queries, points, boxes.among_nearest(k), k).filter("d <> 0")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(*_PLACE).orderBy("d", "near")))
+    # a filter here sends the optimiser through all ways to write d; inline() of null has no rows
+    first = F.when(F.col("rank") <= k, F.array(F.struct("near", "d", "rank")))
+    return _told(queries, ranked.select(*_PLACE, F.inline(first))).select("model_id", "idx", "near", "d", "rank")
 
 
 def farthest(queries: DataFrame, points: DataFrame) -> DataFrame:
-    return pairs(queries, points).groupBy("model_id", F.col("a.idx").alias("idx")).agg(F.max(F.struct("d", F.negative("b.idx").alias("n"))).alias("m")).select("model_id", "idx", F.negative("m.n").alias("farthest"), F.col("m.d").alias("distance"))
+    found = _answers(queries, points, boxes.among_farthest).groupBy(*_PLACE).agg(F.max(F.struct("d", F.negative("near").alias("n"))).alias("m"))
+    return _told(queries, found).select("model_id", "idx", F.negative("m.n").alias("farthest"), F.col("m.d").alias("distance"))
+
+
+def closest_to_distance(queries: DataFrame, points: DataFrame, target: float) -> DataFrame:
+    """For each query the point whose distance is closest to target."""
+    gap = F.struct(F.abs(F.col("d") - target).alias("gap"), "near")
+    found = _answers(queries, points, boxes.among_closest_to(target)).groupBy(*_PLACE).agg(F.min(gap).alias("m"))
+    return _told(queries, found).select("model_id", "idx", F.col("m.near").alias("closest"), F.col("m.gap").alias("gap"))
+
+
+def _outstanding(points: DataFrame, others: DataFrame) -> DataFrame:
+    """model_id, d, i, j (first indices) of the pairs of places that may have the largest distance of the model."""
+    own = boxes.Boxes(points)
+    found = boxes.narrowed(own, own if others is points else boxes.Boxes(others), boxes.among_farthest_of_model)
+    return found.select("model_id", boxes.least().alias("d"), F.negative(F.col("a.ids")[0]).alias("i"), F.negative(F.col("b.ids")[0]).alias("j"))
 
 
 def farthest_from_other_set(points: DataFrame, others: DataFrame) -> DataFrame:
     """Of points the one with the largest distance to any of others."""
-    return pairs(points, others).groupBy("model_id").agg(F.max(F.struct("d", F.negative("a.idx").alias("n"))).alias("m")).select("model_id", F.negative("m.n").alias("idx"), F.col("m.d").alias("distance"))
+    return _outstanding(points, others).groupBy("model_id").agg(F.max(F.struct("d", "i")).alias("m")).select("model_id", F.negative("m.i").alias("idx"), F.col("m.d").alias("distance"))
 
 
 def farthest_pair(points: DataFrame) -> DataFrame:
     """The pair with the largest distance, the first in order of both indices."""
-    return pairs(points, points).groupBy("model_id").agg(F.max(F.struct("d", F.negative("a.idx").alias("i"), F.negative("b.idx").alias("j"))).alias("m")).select("model_id", F.negative("m.i").alias("i"), F.negative("m.j").alias("j"), F.col("m.d").alias("distance"))
+    return _outstanding(points, points).groupBy("model_id").agg(F.max(F.struct("d", "i", "j")).alias("m")).select("model_id", F.negative("m.i").alias("i"), F.negative("m.j").alias("j"), F.col("m.d").alias("distance"))
 
 
-def closest_to_distance(queries: DataFrame, points: DataFrame, target: float) -> DataFrame:
-    """For each query the point whose distance is closest to target."""
-    gap = F.struct(F.abs(F.col("d") - target).alias("gap"), "b.idx")
-    return pairs(queries, points).groupBy("model_id", F.col("a.idx").alias("idx")).agg(F.min(gap).alias("m")).select("model_id", "idx", F.col("m.idx").alias("closest"), F.col("m.gap").alias("gap"))
+def largest_distance(points: DataFrame) -> DataFrame:
+    """The largest distance of two points of a model; 0 for a single point."""
+    return _outstanding(points, points).groupBy("model_id").agg(F.max("d").alias("distance"))
 
 
 def average_nearest(points: DataFrame) -> DataFrame:
     """The mean distance of a point to the nearest other one; 0 for a single point. Points at one place count as 0."""
-    near = pairs(points, points).filter("a.idx <> b.idx").groupBy("model_id", F.col("a.idx").alias("idx")).agg(F.min("d").alias("d"))
-    return points.select("model_id").distinct().join(near, "model_id", "left").groupBy("model_id").agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("average"))
+    own = boxes.Boxes(points)
+    near = boxes.narrowed(own, own, boxes.among_nearest(1)).withColumn("d", boxes.least()).filter("d > 0")
+    alone = near.groupBy("model_id", "a.key").agg(F.first("a.n").alias("n"), F.min("d").alias("d")).groupBy("model_id").agg(F.sum(F.when(F.col("n") == 1, F.col("d"))).alias("d"))
+    all_of = own.places.groupBy("model_id").agg(F.sum("n").alias("n"))
+    return all_of.join(alone, "model_id", "left").select("model_id", (F.coalesce("d", F.lit(0.0)) / F.col("n")).alias("average"))
 
 
 def bounds(points: DataFrame) -> DataFrame:
@@ -107,8 +147,3 @@ def extremal_points(points: DataFrame) -> DataFrame:
 
     chosen = F.aggregate(lists, F.array().cast("array<long>"), take)
     return both.select("model_id", F.posexplode(chosen).alias("rank", "idx"))
-
-
-def largest_distance(points: DataFrame) -> DataFrame:
-    found = pairs(points, points).groupBy("model_id").agg(F.max("d").alias("d"))
-    return points.select("model_id").distinct().join(found, "model_id", "left").select("model_id", F.coalesce("d", F.lit(0.0)).alias("distance"))
