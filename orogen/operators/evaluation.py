@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import FieldError
 from . import dense
 from .modified import ModifiedKernel
+from .shared import written
 
 BROADCAST_BYTES, PART_ROWS, CELLS = 64 << 20, 200_000, 1 << 18
 SCALARS, GRADIENTS = "model_id long, query_id long, value double", "model_id long, query_id long, gx double, gy double, gz double"
@@ -142,12 +143,11 @@ def evaluate(models: DataFrame, queries: DataFrame, gradient: bool = False) -> D
     spark = models.sparkSession
     schema = GRADIENTS if gradient else SCALARS
     points = queries.select("model_id", "query_id", "x", "y", "z")
-    # fitted once for the check of the size and for what follows it
-    models = models.persist()
+    # fitted once for the check of the size and for what follows it; what the caller has cached stays as it is
+    models = models if models.is_cached or models.storageLevel.useMemory or models.storageLevel.useDisk else written(models, "models")
     numbers = models.agg(F.coalesce(F.sum(F.size("point") + F.size("direction") + F.size("weight") + 2 * F.size("owner")), F.lit(0))).first()[0]
     if numbers * 8 <= BROADCAST_BYTES:
         known = spark.sparkContext.broadcast(Known(models.collect()))
-        models.unpersist()
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,20 +21,32 @@ def collocated(a: Column, b: Column) -> Column:
 def remove_collocated(rows: DataFrame, keys: tuple[str, ...] = ("model_id", "category")) -> DataFrame:
     """Per group in order of x, y, z (then constraint_id) a row is dropped if it is collocated with the last one kept.
 
-    A row whose x is not near that of the row before it is kept whatever was kept before. So only the runs between such rows are
-    gathered, and a group of any size is sorted by Spark.
+    A row whose x is not near that of the row before it is kept whatever was kept before; the window that tells so also deals and sorts the
+    rows. The fold then passes over them as they come, with the last kept row carried along: no run is gathered, and a group's rows cost
+    their sort and one look each, however many lie at one x.
     """
-    rest = [c for c in rows.columns if c not in keys]
     # + 0.0 makes -0.0 and 0.0 one place in the order
-    places = [F.col(k) + 0.0 for k in "xyz"]
-    order = Window.partitionBy(*keys).orderBy(*places, "constraint_id")
+    order = Window.partitionBy(*keys).orderBy(*(F.col(k) + 0.0 for k in "xyz"), "constraint_id")
     near = F.coalesce(F.abs(F.col("x") - F.lag("x").over(order)) < POSITION_EPSILON, F.lit(False))
-    runs = rows.select("*", near.alias("__near")).withColumn("__run", F.sum(F.when(F.col("__near"), 0).otherwise(1)).over(order))
-    entry = F.struct(*(v.alias(f"o{k}") for k, v in zip("xyz", places, strict=True)), F.col("constraint_id").alias("oid"), F.struct(*rest).alias("row"))
-    grouped = runs.groupBy(*keys, "__run").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["row"]).alias("rows"))
-    kind = grouped.schema["rows"].dataType.simpleString()
-    kept = F.aggregate("rows", F.array().cast(kind), lambda kept, row: F.when((F.size(kept) > 0) & F.coalesce(collocated(F.try_element_at(kept, F.lit(-1)), row), F.lit(False)), kept).otherwise(F.concat(kept, F.array(row))))
-    return grouped.select(*keys, F.inline(F.when(F.size("rows") == 1, F.col("rows")).otherwise(kept))).select(*rows.columns)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (math.inf,) * 3
+        for batch in batches:
+            within, places = batch.column("__near").to_numpy(zero_copy_only=False), [batch.column(k).to_numpy(zero_copy_only=False) for k in "xyz"]
+            kept = np.ones(batch.num_rows, bool)
+            for i in np.flatnonzero(within).tolist():
+                if i and not within[i - 1]:
+                    last = tuple(p[i - 1] for p in places)
+                here = tuple(p[i] for p in places)
+                if all(abs(u - v) < POSITION_EPSILON for u, v in zip(here, last, strict=True)):
+                    kept[i] = False
+                else:
+                    last = here
+            if batch.num_rows and not within[-1]:
+                last = tuple(p[-1] for p in places)
+            yield batch.drop_columns(["__near"]).filter(pa.array(kept))
+
+    return rows.withColumn("__near", near).mapInArrow(fold, rows.schema)
 
 
 def removed(constraints: DataFrame) -> DataFrame:

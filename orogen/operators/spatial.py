@@ -136,14 +136,20 @@ def axis_order(points: DataFrame) -> DataFrame:
 
 
 def extremal_points(points: DataFrame) -> DataFrame:
-    """Per axis in axis_order the first least and the first greatest point that was not taken before: model_id, rank, idx."""
-    ends = points.groupBy("model_id").agg(*(F.array_sort(F.collect_list(F.struct(F.col(k).alias("v"), "idx"))).alias(f"s{k}") for k in "xyz"), *(F.array_sort(F.collect_list(F.struct(F.negative(F.col(k)).alias("v"), "idx"))).alias(f"g{k}") for k in "xyz"))
-    both = ends.join(axis_order(points), "model_id")
+    """Per axis in axis_order the first least and the first greatest point that was not taken before: model_id, rank, idx.
+
+    Six points are taken, so the first six of each of the six orders are enough, and only these are gathered.
+    """
+    sides = F.array(*(F.struct(F.lit(f"{side}{k}").alias("order"), (F.col(k) if side == "s" else F.negative(F.col(k))).alias("v")) for k in "xyz" for side in "sg"))
+    each = points.select("model_id", "idx", F.inline(sides))
+    ahead = each.withColumn("nth", F.row_number().over(Window.partitionBy("model_id", "order").orderBy("v", "idx"))).filter("nth <= 6")
+    firsts = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("order") == name, F.struct("nth", "idx")))), lambda s: s["idx"]).alias(name)
+    both = ahead.groupBy("model_id").agg(*(firsts(f"{side}{k}") for k in "xyz" for side in "sg")).join(axis_order(points), "model_id")
     lists = F.flatten(F.transform("axes", lambda a: F.array(*(F.when(a == "x", F.col(f"{side}x")).when(a == "y", F.col(f"{side}y")).otherwise(F.col(f"{side}z")) for side in "sg"))))
 
     def take(taken: Column, order: Column) -> Column:
-        free = F.filter(order, lambda s: ~F.array_contains(taken, s["idx"]))
-        return F.when(F.size(free) > 0, F.concat(taken, F.array(free[0]["idx"]))).otherwise(taken)
+        free = F.filter(order, lambda i: ~F.array_contains(taken, i))
+        return F.when(F.size(free) > 0, F.concat(taken, F.array(free[0]))).otherwise(taken)
 
     chosen = F.aggregate(lists, F.array().cast("array<long>"), take)
     return both.select("model_id", F.posexplode(chosen).alias("rank", "idx"))

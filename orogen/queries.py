@@ -234,7 +234,17 @@ def spatial_axis_order(spark, sf):
     return spatial.axis_order(tables.points(spark, sf)).select("model_id", F.array_join("axes", "").alias("axes"))
 
 
-@query()
+def _extremal_sql() -> str:
+    """One step for each point taken: the axis of its rank, least or greatest, of those not taken before."""
+    steps = ["t0 AS (SELECT model_id, list(axis ORDER BY range DESC, axis DESC) AS axes, []::BIGINT[] AS taken FROM r GROUP BY model_id)"]
+    for k in range(6):
+        value = f"CASE axes[{k // 2 + 1}] WHEN 'x' THEN x WHEN 'y' THEN y ELSE z END * {'-1' if k % 2 else '1'}"
+        steps.append(f"t{k + 1} AS (SELECT model_id, any_value(axes) AS axes, list_append(any_value(taken), arg_min(idx, ({value}, idx))) AS taken FROM t{k} JOIN points USING (model_id) WHERE NOT list_contains(taken, idx) GROUP BY model_id)")
+    return f"""WITH {_POINTS}, r AS (SELECT model_id, unnest(['x', 'y', 'z']) AS axis, unnest([max(x) - min(x), max(y) - min(y), max(z) - min(z)]) AS range FROM points GROUP BY model_id),
+    {", ".join(steps)} SELECT model_id, unnest(range(6))::INT AS rank, unnest(taken) AS idx FROM t6"""
+
+
+@query(_extremal_sql())
 def spatial_extremal_points(spark, sf):
     return spatial.extremal_points(tables.points(spark, sf))
 

@@ -7,7 +7,8 @@ import random
 
 import pytest
 
-from orogen.operators import boxes, spatial
+from orogen.operators import boxes, evaluation, fitting, grouping, spatial
+from orogen.parameters import CONTINUOUS, Parameters
 
 SCHEMA = "model_id long, idx long, x double, y double, z double, c double"
 
@@ -74,3 +75,34 @@ def test_cells_hold_few_places_however_dense(points):
 def test_no_points(spark):
     nothing = spark.createDataFrame([], SCHEMA)
     assert spatial.nearest(nothing, nothing).count() == 0 and spatial.largest_distance(nothing).count() == 0
+
+
+def greedy(rows):
+    kept, last = [], None
+    for r in sorted(rows, key=lambda r: (r[2], r[3], r[4], r[1])):
+        if last is None or any(abs(u - v) >= 1e-3 for u, v in zip(r[2:5], last[2:5], strict=True)):
+            kept.append(r[:2])
+            last = r
+    return kept
+
+
+def test_collocated_points_are_dropped_in_order(spark):
+    rng = random.Random(8)
+    rows = [(m, i, rng.choice([0.0, 0.5, rng.random() * 0.01]), rng.random() * 0.003, rng.choice([0.0, -0.0, 0.0005]), 0.0) for m in (1, 2) for i in range(300)]
+    table = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("idx", "constraint_id")
+    got = sorted((r.model_id, r.constraint_id) for r in grouping.remove_collocated(table, ("model_id",)).collect())
+    assert got == sorted(k for m in (1, 2) for k in greedy([r for r in rows if r[0] == m])) and len(got) < 550
+
+
+def test_a_million_points_at_one_x(spark):
+    table = spark.range(1_000_000).selectExpr("1L AS model_id", "id AS constraint_id", "0.5D AS x", "id * 4e-4 AS y", "0D AS z")
+    assert grouping.remove_collocated(table, ("model_id",)).count() == 333_334
+
+
+def test_evaluation_leaves_the_callers_cache(spark):
+    rows = [(1, "interface", i, float(i), float(i % 2), 0.0, 0.0, float(i % 3), None, None, None) for i in range(6)]
+    constraints = spark.createDataFrame(rows, "model_id long, category string, constraint_id long, x double, y double, z double, c double, level double, vx double, vy double, vz double")
+    models = fitting.fit(constraints, Parameters(CONTINUOUS)).persist()
+    at = spark.createDataFrame([(1, 0, 0.5, 0.5, 0.5)], "model_id long, query_id long, x double, y double, z double")
+    assert evaluation.evaluate(models, at).count() == 1 and models.storageLevel.useMemory
+    models.unpersist()
