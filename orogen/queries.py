@@ -264,12 +264,12 @@ def _kernel_pairs(spark: SparkSession, sf: str) -> DataFrame:
 _KERNEL_PAIRS = f"{_POINTS}, k AS (SELECT a.model_id, a.idx AS a, b.idx AS b, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS r FROM points a JOIN points b USING (model_id)), q AS (SELECT *, 2.0 + r * r AS q, exp(-4.0 * r * r) AS e, exp(-2.0 * r) AS m, ln(CASE WHEN r > 0 THEN r ELSE 1 END) AS l FROM k)"
 _VALUES = {"cubic": "r * r * r", "gaussian": "e", "multiquadric": "sqrt(q)", "multiquadric_cubic": "q * sqrt(q)", "inverse_multiquadric": "1 / sqrt(q)", "thin_plate": "r * r * r * r * l", "linear": "r", "wendland": "CASE WHEN r > 2 THEN 0 ELSE pow(1 - r / 2, 4) * (1 + 2 * r) END", "matern": "m * (3 + 6 * r + 4 * r * r)"}
 _SLOPES = {"cubic": "3 * r", "gaussian": "-8 * e", "multiquadric": "1 / sqrt(q)", "multiquadric_cubic": "3 * sqrt(q)", "inverse_multiquadric": "-1 / (q * sqrt(q))", "thin_plate": "r * r + 4 * r * r * l", "wendland": "CASE WHEN r > 2 THEN 0 ELSE 20 * pow(r - 2, 3) / 32 END", "matern": "-4 * m * (1 + 2 * r)"}
-#: H_xx and H_xy at r > 0.
+#: H_xx and H_xy; at r = 0 their limits, where the formula divides by r.
 _SECONDS = {
-    "cubic": ("-3 * (dx * dx / r + r)", "-3 * dx * dy / r"), "gaussian": ("(8 - 64 * dx * dx) * e", "-64 * dx * dy * e"), "multiquadric": ("dx * dx / pow(q, 1.5) - 1 / sqrt(q)", "dx * dy / pow(q, 1.5)"),
+    "cubic": ("CASE WHEN r = 0 THEN 0 ELSE -3 * (dx * dx / r + r) END", "CASE WHEN r = 0 THEN 0 ELSE -3 * dx * dy / r END"), "gaussian": ("(8 - 64 * dx * dx) * e", "-64 * dx * dy * e"), "multiquadric": ("dx * dx / pow(q, 1.5) - 1 / sqrt(q)", "dx * dy / pow(q, 1.5)"),
     "multiquadric_cubic": ("-3 * dx * dx / sqrt(q) - 3 * sqrt(q)", "-3 * dx * dy / sqrt(q)"), "inverse_multiquadric": ("-3 * dx * dx / pow(q, 2.5) + 1 / pow(q, 1.5)", "-3 * dx * dy / pow(q, 2.5)"),
     "thin_plate": ("-7 * dx * dx - dy * dy - dz * dz - 8 * dx * dx * l - 4 * r * r * l", "-6 * dx * dy - 8 * dx * dy * l"),
-    "wendland": ("CASE WHEN r > 2 THEN 0 ELSE -20 / (32 * r * r) * (2 - r) * (2 - r) * (-2 * r * r + r * (4 * dx * dx + dy * dy + dz * dz)) END", "CASE WHEN r > 2 THEN 0 ELSE -60 * dx * dy * (2 - r) * (2 - r) / (32 * r) END"),
+    "wendland": ("CASE WHEN r > 2 THEN 0 WHEN r = 0 THEN 5 ELSE -20 / (32 * r * r) * (2 - r) * (2 - r) * (-2 * r * r + r * (4 * dx * dx + dy * dy + dz * dz)) END", "CASE WHEN r > 2 OR r = 0 THEN 0 ELSE -60 * dx * dy * (2 - r) * (2 - r) / (32 * r) END"),
     "matern": ("m * (4 + 8 * r - 16 * dx * dx)", "-16 * dx * dy * m"),
 }
 _NAMES = dict(zip(_VALUES, (K.CUBIC, K.GAUSSIAN, K.MULTIQUADRIC, K.MULTIQUADRIC_CUBIC, K.INVERSE_MULTIQUADRIC, K.THIN_PLATE, K.LINEAR, K.WENDLAND, K.MATERN), strict=True))
@@ -287,10 +287,10 @@ def kernel_gradients(spark, sf):
     return _kernel_pairs(spark, sf).select("model_id", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), *(_r(g).alias(f"{n}_{k}") for n in _SLOPES for k, g in zip("xyz", K.gradient(_NAMES[n], p, SHAPE), strict=True)))
 
 
-@query(f"WITH {_KERNEL_PAIRS} SELECT model_id, a, b, {', '.join(f'round({v}, 6) + 0.0 AS {n}_{s}' for n, both in _SECONDS.items() for s, v in zip(('xx', 'xy'), both))} FROM q WHERE r > 0")
+@query(f"WITH {_KERNEL_PAIRS} SELECT model_id, a, b, {', '.join(f'round({v}, 6) + 0.0 AS {n}_{s}' for n, both in _SECONDS.items() for s, v in zip(('xx', 'xy'), both))} FROM q")
 def kernel_second_derivatives(spark, sf):
     p = K.pair("a", "b")
-    return _kernel_pairs(spark, sf).filter("d > 0").select("model_id", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), *(_r(K.second(_NAMES[n], p, SHAPE, 0, j)).alias(f"{n}_{s}") for n in _SECONDS for j, s in enumerate(("xx", "xy"))))
+    return _kernel_pairs(spark, sf).select("model_id", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), *(_r(K.second(_NAMES[n], p, SHAPE, 0, j)).alias(f"{n}_{s}") for n in _SECONDS for j, s in enumerate(("xx", "xy"))))
 
 
 @query(f"WITH {_POINTS} SELECT model_id, idx, round(x * x, 6) + 0.0 AS t0, round(y * y, 6) + 0.0 AS t1, round(z * z, 6) + 0.0 AS t2, round(x * y, 6) + 0.0 AS t3, round(x * z, 6) + 0.0 AS t4, round(y * z, 6) + 0.0 AS t5, round(x, 6) + 0.0 AS t6, round(y, 6) + 0.0 AS t7, round(z, 6) + 0.0 AS t8, 1.0::DOUBLE AS t9 FROM points")
@@ -328,6 +328,19 @@ def field_single_surface(spark, sf):
     return found.withColumn("value", _r("value", 5))
 
 
+@query(f"""WITH {_POINTS} SELECT (idx + 1) % 2 AS model_id, idx AS query_id, round(2 * x + 4 * y + 5 * z + 7, 4) + 0.0 AS gx, round(4 * y + 4 * x + 6 * z + 8, 4) + 0.0 AS gy, round(6 * z + 5 * x + 6 * y + 9, 4) + 0.0 AS gz FROM points""")
+def gradient_single_surface(spark, sf):
+    """The gradients of field_single_surface: those of the quadratic."""
+    p = tables.points(spark, sf)
+    site = p.select((F.col("idx") % 2).alias("model_id"), F.col("idx").alias("constraint_id"), "x", "y", "z", _quadratic(F.col("x"), F.col("y"), F.col("z")).alias("level"))
+    models = fitting.fit(tables.constraints_of(site, "interface"), Parameters(SINGLE_SURFACE, polynomial_order=2))
+    return _gradients(models, p.withColumn("model_id", (F.col("idx") + 1) % 2).withColumnRenamed("idx", "query_id"))
+
+
+def _gradients(models: DataFrame, at: DataFrame) -> DataFrame:
+    return evaluation.evaluate(models, at, gradient=True).select("model_id", "query_id", *(_r(c, 4).alias(c) for c in ("gx", "gy", "gz")))
+
+
 _TWO = "sites AS (SELECT p_partkey // 2 AS model_id, p_partkey % 2 AS side, p_partkey % 13 / 3.0 AS x, p_partkey % 7 / 2.0 AS y, p_partkey % 5 * 1.0 AS z, p_size::DOUBLE AS level FROM part), two AS (SELECT a.model_id, a.x AS ax, a.y AS ay, a.z AS az, a.level AS al, b.x AS bx, b.y AS by_, b.z AS bz, b.level AS bl, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS r FROM sites a JOIN sites b ON a.model_id = b.model_id AND a.side = 0 AND b.side = 1)"
 
 
@@ -343,6 +356,23 @@ def field_continuous_two_sites(spark, sf):
     return evaluation.evaluate(models, at).withColumn("value", _r("value"))
 
 
+def _slope(axis: str, at: float) -> str:
+    each = lambda w, s: f"-2 * {w} * ({at} - {s}{axis}) * exp(-((1 - {s}x) ^ 2 + (0.5 - {s}y{'_' if s == 'b' else ''}) ^ 2 + (2 - {s}z) ^ 2))".replace("by)", "by_)")
+    return f"round({each('w1', 'a')} + {each('w2', 'b')}, 4) + 0.0 AS g{axis}"
+
+
+@query(f"""WITH {_TWO}, k AS (SELECT *, exp(-r * r) AS k FROM two), w AS (SELECT *, (al - k * bl) / (1 - k * k) AS w1, (bl - k * al) / (1 - k * k) AS w2 FROM k)
+    SELECT model_id, model_id AS query_id, {", ".join(_slope(k, v) for k, v in (("x", 1.0), ("y", 0.5), ("z", 2.0)))} FROM w""")
+def gradient_continuous_two_sites(spark, sf):
+    """The gradients of field_continuous_two_sites: the Gaussians' slopes with the closed form's weights."""
+    k = F.col("p_partkey")
+    site = spark.read.parquet(f"{sf}/part.parquet").select(F.floor(k / 2).alias("model_id"), (k % 2).alias("constraint_id"), (k % 13 / 3.0).alias("x"), (k % 7 / 2.0).alias("y"), (k % 5 * 1.0).alias("z"), F.col("p_size").cast("double").alias("level"))
+    two = site.join(site.groupBy("model_id").agg(F.count("*").alias("n")).filter("n = 2").select("model_id"), "model_id")
+    models = fitting.fit(tables.constraints_of(two, "interface"), Parameters(CONTINUOUS, K.GAUSSIAN, shape=1.0))
+    at = two.filter("constraint_id = 0").select("model_id", F.col("model_id").alias("query_id"), F.lit(1.0).alias("x"), F.lit(0.5).alias("y"), F.lit(2.0).alias("z"))
+    return _gradients(models, at)
+
+
 @query(f"WITH {_NORMALS} SELECT constraint_id // 120 * 10 + constraint_id % 10 AS model_id, constraint_id AS query_id, round(nx, 5) + 0.0 AS gx, round(ny, 5) + 0.0 AS gy, round(nz, 5) + 0.0 AS gz FROM normals")
 def field_vector(spark, sf):
     """The gradient at a model's own planars, twelve of each part of 120 keys, is their normal."""
@@ -373,6 +403,15 @@ def field_lajaunie(spark, sf):
     return evaluation.evaluate(fitting.fit(own, Parameters(LAJAUNIE)), at).withColumn("value", _r("value", 4))
 
 
+@query(f"WITH {_PLANES} SELECT model_id, constraint_id AS query_id, 0.6::DOUBLE AS gx, 0.0::DOUBLE AS gy, 0.8::DOUBLE AS gz FROM planes")
+def gradient_lajaunie(spark, sf):
+    """The gradients of field_lajaunie at the interfaces, with tangents of the planes among the constraints: everywhere their normal."""
+    own = _planes(spark, sf)
+    tangents = own.filter("category = 'planar'").select("model_id", F.lit(1).alias("constraint_id"), *(F.lit(v).alias(c) for c, v in zip(("x", "y", "z", "vx", "vy", "vz"), (2.0, -1.0, 1.5, 0.8, 0.3, -0.6), strict=True)))
+    at = own.filter("category = 'interface'").select("model_id", F.col("constraint_id").alias("query_id"), "x", "y", "z")
+    return _gradients(fitting.fit(own.unionByName(tables.constraints_of(tangents, "tangent")), Parameters(LAJAUNIE)), at)
+
+
 @query(f"WITH {_PLANES} SELECT model_id, level, arg_min(constraint_id, (x, y, z, constraint_id)) AS reference, count(*) AS members, round(level, 4) AS iso_value FROM planes GROUP BY model_id, level")
 def interface_iso_values(spark, sf):
     """The reference point of each level and the field there: on the planes it is the level."""
