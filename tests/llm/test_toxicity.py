@@ -127,3 +127,17 @@ def test_hashes_are_xxh64():
     start = rng.integers(0, 48_000, 3000)
     stop = start + np.r_[rng.integers(0, 70, 2500), rng.integers(900, 1400, 500)]
     assert shared.hashes(raw, start, stop).tolist() == [xxhash.xxh64_intdigest(raw[a:b].tobytes(), 42) for a, b in zip(start, stop, strict=True)]
+
+
+def test_words_that_collide_in_polynomial_hashes_are_told_apart(spark):
+    from orogen.llm import rules, sentencepieces
+
+    # the Thue-Morse word and its complement: equal under every polynomial modulo 2^64
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    text = np.frombuffer(f"{one}\n{other}\n{one} x y {other} x z".encode(), np.uint8)
+    counts = rules.text_counts(text, np.array([0, len(text)]))
+    assert counts["n_dup_lines"][0] == 0 and counts["n_repeat_words"][0] == 0
+    docs = table(spark, [one, other])
+    rows = sentencepieces.encoded(docs, sentencepieces.load("/opt/tokenizers/piece_bpe_32k.model"), keep_ids=True).collect()
+    assert all(r.round_trip for r in rows) and len({r.ids_digest for r in rows}) == 2
