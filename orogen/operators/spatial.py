@@ -88,7 +88,8 @@ def farthest_pair(points: DataFrame) -> DataFrame:
 
 def largest_distance(points: DataFrame) -> DataFrame:
     """The largest distance of two points of a model; 0 for a single point."""
-    return _outstanding(points, points).groupBy("model_id").agg(F.max("d").alias("distance"))
+    own = boxes.Boxes(points)
+    return boxes.narrowed(own, own, boxes.among_farthest_of_model).groupBy("model_id").agg(F.max(boxes.least()).alias("distance"))
 
 
 def average_nearest(points: DataFrame) -> DataFrame:
