@@ -430,16 +430,29 @@ def layout_lajaunie(spark, sf):
     return layout.dofs(_planes(spark, sf), Parameters(LAJAUNIE)).select("model_id", F.col("dof").cast("long").alias("dof"), "section", "role", "first_id", "second_id", "axis", "value")
 
 
-@query("SELECT 0::BIGINT AS model_id, l_orderkey * 8 + l_linenumber AS query_id, round(l_quantity / 10.0 * 3 + l_discount * 5 - l_tax + 2, 5) + 0.0 AS value FROM lineitem")
-def field_over_lineitem(spark, sf):
-    """One small model over the largest table: a stateless map of its rows. The sites lie on a plane, which order 1 reproduces."""
+def _over_lineitem(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """One small model whose sites lie on a plane, which order 1 reproduces, and a query for each line item."""
     grid = [(i, float(x), float(y), float(z), 3.0 * x + 5.0 * y - z + 2.0) for i, (x, y, z) in enumerate((x, y, z) for x in (0, 2, 5) for y in (0.0, 0.06, 0.1) for z in (0.0, 0.04, 0.08))]
     site = spark.createDataFrame([(0, *g) for g in grid], "model_id long, constraint_id long, x double, y double, z double, level double")
     models = fitting.fit(tables.constraints_of(site, "interface"), Parameters(SINGLE_SURFACE, polynomial_order=1))
     at = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.lit(0).cast("long").alias("model_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("query_id"), (F.col("l_quantity") / 10.0).cast("double").alias("x"), F.col("l_discount").cast("double").alias("y"), F.col("l_tax").cast("double").alias("z"))
+    return models, at
+
+
+@query("SELECT 0::BIGINT AS model_id, l_orderkey * 8 + l_linenumber AS query_id, round(l_quantity / 10.0 * 3 + l_discount * 5 - l_tax + 2, 5) + 0.0 AS value FROM lineitem")
+def field_over_lineitem(spark, sf):
+    """One small model over the largest table: a stateless map of its rows. The sites lie on a plane, which order 1 reproduces."""
+    models, at = _over_lineitem(spark, sf)
     return evaluation.evaluate(models, at).withColumn("value", _r("value", 5))
 
 
+@query("SELECT 0::BIGINT AS model_id, l_orderkey * 8 + l_linenumber AS query_id, 3.0::DOUBLE AS gx, 5.0::DOUBLE AS gy, -1.0::DOUBLE AS gz FROM lineitem")
+def gradient_over_lineitem(spark, sf):
+    """The gradients of field_over_lineitem: the plane's at every row."""
+    return _gradients(*_over_lineitem(spark, sf))
+
+
+
 @query(f"WITH {_INTERFACES}, g AS (SELECT model_id, level, count(*) AS n FROM interfaces GROUP BY model_id, level), s AS (SELECT model_id, sum(n)::BIGINT AS points, sum(n - 1)::BIGINT AS increments FROM g GROUP BY model_id) SELECT model_id, (points + 4)::INT AS single_surface, (increments + 3)::INT AS lajaunie, points::INT AS continuous FROM s")
 def layout_sizes(spark, sf):
     """Unknowns of each model kind for the interfaces, by their counts; clean and grouped with DataFrame operators."""
