@@ -67,6 +67,21 @@ def _slope(kernel: str, p: Pair, s: float) -> Column:
     }[kernel]()
 
 
+def _curve(kernel: str, p: Pair, s: float) -> Column:
+    """The slope of _slope over r, the factor of d d' in the second derivative; 0 where it has no limit at r = 0."""
+    r, q = p.r, F.lit(s) + p.r * p.r
+    return {
+        CUBIC: lambda: F.when(r > 0, 3 / r).otherwise(0.0),
+        GAUSSIAN: lambda: 4 * s**4 * F.exp(-(s * s) * r * r),
+        MULTIQUADRIC: lambda: -1 / (q * F.sqrt(q)),
+        MULTIQUADRIC_CUBIC: lambda: 3 / F.sqrt(q),
+        INVERSE_MULTIQUADRIC: lambda: 3 / (q * q * F.sqrt(q)),
+        THIN_PLATE: lambda: F.when(r > 0, 6 + 8 * F.ln(r)).otherwise(0.0),
+        WENDLAND: lambda: F.when((r > s) | (r == 0), 0.0).otherwise(60 * F.pow(r - s, F.lit(2)) / (s**5 * r)),
+        MATERN: lambda: s**4 * F.exp(-s * r),
+    }[kernel]()
+
+
 def gradient(kernel: str, p: Pair, s: float) -> tuple[Column, Column, Column]:
     """At the first point."""
     slope = _slope(kernel, p, s)
@@ -103,6 +118,46 @@ def hessian(kernel: str, p: Pair, s: float) -> list[list[Column]]:
     return [[second(kernel, p, s, i, j) for j in range(3)] for i in range(3)]
 
 
+#: Rows of the transform that leaves space as it is.
+IDENTITY = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+
+
+def stretched(d: tuple[Column, Column, Column], m: Column) -> Pair:
+    """The pair with difference d after the transform m, an array of nine; the fourth coordinate does not count. Its d is m' m d, so that
+    values, and gradients at the first point, are those of any pair."""
+    t = [sum((m[3 * i + j] * d[j] for j in range(1, 3)), m[3 * i] * d[0]) for i in range(3)]
+    q = tuple(sum((m[3 * i + j] * t[i] for i in range(1, 3)), m[j] * t[0]) for j in range(3))
+    return Pair(q, F.sqrt(t[0] * t[0] + t[1] * t[1] + t[2] * t[2]))
+
+
+def metric(m: Column) -> list[list[Column]]:
+    """m' m of an array of nine."""
+    return [[m[i] * m[j] + m[3 + i] * m[3 + j] + m[6 + i] * m[6 + j] for j in range(3)] for i in range(3)]
+
+
+def along(p: Pair, u: tuple[Column, ...]) -> Column:
+    return p.d[0] * u[0] + p.d[1] * u[1] + p.d[2] * u[2]
+
+
+def at_first(kernel: str, p: Pair, s: float, u: tuple[Column, ...]) -> Column:
+    """The derivative along u at the first point."""
+    return _slope(kernel, p, s) * along(p, u)
+
+
+def at_both(kernel: str, p: Pair, s: float, u: tuple[Column, ...], v: tuple[Column, ...], m: Column | None = None) -> Column:
+    """The derivative along u at the first and along v at the second point, of a pair that m has stretched, if it has."""
+    turned = u if m is None else [sum((g[j] * u[j] for j in range(1, 3)), g[0] * u[0]) for g in metric(m)]
+    inner = turned[0] * v[0] + turned[1] * v[1] + turned[2] * v[2]
+    return -(_slope(kernel, p, s) * inner + _curve(kernel, p, s) * along(p, u) * along(p, v))
+
+
+def polynomial_along(order: int, x: Column, y: Column, z: Column, u: tuple[Column, ...], truncated: bool = False) -> list[Column]:
+    """The derivatives of the polynomial basis along u."""
+    a, b, c = u
+    terms = [2 * x * a, 2 * y * b, 2 * z * c, y * a + x * b, z * a + x * c, z * b + y * c][: 6 * (order == 2)] + [a, b, c][: 3 * (order >= 1)]
+    return terms + ([] if truncated else [F.lit(0.0)])
+
+
 def polynomial(order: int, x: Column, y: Column, z: Column, truncated: bool = False) -> list[Column]:
     """The polynomial basis of order 0, 1 or 2, the constant last; a truncated basis has no constant."""
     terms = [x * x, y * y, z * z, x * y, x * z, y * z][: 6 * (order == 2)] + [x, y, z][: 3 * (order >= 1)]
