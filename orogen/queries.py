@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import kernels as K
 from .functions import orientation as O
-from .operators import evaluation, fitting, grouping, layout, quadratic, reconstruction, spatial
+from .operators import anisotropy, assembly, evaluation, fitting, grouping, layout, quadratic, reconstruction, spatial
 from .parameters import CONTINUOUS, LAJAUNIE, SINGLE_SURFACE, STRATIGRAPHIC, VECTOR, Parameters
 from .sources import tables
 
@@ -308,6 +308,50 @@ def assembled_matrix(spark, sf):
     return spatial.pairs(dofs, dofs).select("model_id", F.col("a.idx").alias("row"), F.col("b.idx").alias("col"), _r(K.value(K.CUBIC, K.pair("a", "b"), 1.0)).alias("value"))
 
 
+#: Normals of each model's planars: the covariance's eigenvalues by the trigonometric form of a symmetric matrix.
+_EIGEN = f"""{_NORMALS}, c AS (SELECT model_id, sum(nx * nx) AS xx, sum(nx * ny) AS xy, sum(nx * nz) AS xz, sum(ny * ny) AS yy, sum(ny * nz) AS yz, sum(nz * nz) AS zz FROM normals GROUP BY model_id),
+    m AS (SELECT *, (xx + yy + zz) / 3 AS q FROM c), o AS (SELECT *, sqrt(((xx - q) ^ 2 + (yy - q) ^ 2 + (zz - q) ^ 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM m),
+    d AS (SELECT *, acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p)))) / 3 AS a FROM o),
+    e AS (SELECT *, q + 2 * p * cos(a + 2 * pi() / 3) AS e0, q + 2 * p * cos(a - 2 * pi() / 3) AS e1, q + 2 * p * cos(a) AS e2 FROM d)"""
+
+
+@query(f"""WITH {_EIGEN} SELECT model_id, round(e0, 5) + 0.0 AS e0, round(e1, 5) + 0.0 AS e1, round(e2, 5) + 0.0 AS e2, round(1 + sqrt(e1 / e0) + sqrt(e2 / e0), 4) + 0.0 AS trace,
+    {", ".join(f"round({k} / e0, 4) + 0.0 AS m_{k}" for k in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM e""")
+def anisotropy_transforms(spark, sf):
+    """The transform of each model's planars: its eigenvalues, its trace, and its square, which is the covariance over the least eigenvalue."""
+    found = anisotropy.transforms(tables.planars(spark, sf))
+    square, e = K.metric(F.col("transform")), F.col("eigenvalues")
+    names = {(0, 0): "xx", (0, 1): "xy", (0, 2): "xz", (1, 1): "yy", (1, 2): "yz", (2, 2): "zz"}
+    trace = F.col("transform")[0] + F.col("transform")[4] + F.col("transform")[8]
+    return found.select("model_id", *(_r(e[k], 5).alias(f"e{k}") for k in range(3)), _r(trace, 4).alias("trace"), *(_r(square[i][j], 4).alias(f"m_{n}") for (i, j), n in names.items()))
+
+
+#: Planars along the axes, three, two and one of six keys: the transform is diagonal with these counts.
+_AXIAL = f"{_POINTS}, n AS (SELECT model_id, sum((idx % 6 < 3)::INT)::DOUBLE AS nx, sum((idx % 6 IN (3, 4))::INT)::DOUBLE AS ny, sum((idx % 6 = 5)::INT)::DOUBLE AS nz FROM points GROUP BY model_id)"
+_STRETCHED = f"""{_AXIAL}, s AS (SELECT model_id, greatest(nx, 1e-4) / greatest(least(nx, ny, nz), 1e-4) AS sx, greatest(ny, 1e-4) / greatest(least(nx, ny, nz), 1e-4) AS sy, greatest(nz, 1e-4) / greatest(least(nx, ny, nz), 1e-4) AS sz FROM n),
+    k AS (SELECT a.model_id, a.idx AS a, b.idx AS b, sx, sy, sz, sx * (a.x - b.x) AS dx, sy * (a.y - b.y) AS dy, sz * (a.z - b.z) AS dz, sqrt(sx * (a.x - b.x) ^ 2 + sy * (a.y - b.y) ^ 2 + sz * (a.z - b.z) ^ 2) AS r FROM points a JOIN points b USING (model_id) JOIN s USING (model_id)),
+    q AS (SELECT *, 2.0 + r * r AS q, exp(-4.0 * r * r) AS e, ln(CASE WHEN r > 0 THEN r ELSE 1 END) AS l FROM k)"""
+#: The slope over r of the slope, of the kernels with an anisotropic form and derivatives.
+_CURVES = {"cubic": "CASE WHEN r > 0 THEN 3 / r ELSE 0 END", "gaussian": "64 * e", "multiquadric": "-1 / pow(q, 1.5)", "inverse_multiquadric": "3 / pow(q, 2.5)", "thin_plate": "CASE WHEN r > 0 THEN 6 + 8 * l ELSE 0 END"}
+
+
+@query(f"""WITH {_STRETCHED} SELECT model_id, a, b, round(r, 6) AS linear, {", ".join(f"round({_VALUES[n]}, 5) + 0.0 AS {n}, round(({_SLOPES[n]}) * dy, 5) + 0.0 AS {n}_y, round(-(({_SLOPES[n]}) * sx + ({c}) * dx * dx), 5) + 0.0 AS {n}_xx, round(-({c}) * dx * dz, 5) + 0.0 AS {n}_xz" for n, c in _CURVES.items())} FROM q""")
+def kernel_anisotropic(spark, sf):
+    """The six anisotropic kernels between all points of a model: value, slope and two mixed second derivatives."""
+    p = tables.points(spark, sf)
+    axis = F.when(F.col("idx") % 6 < 3, 0).when(F.col("idx") % 6 < 5, 1).otherwise(2)
+    own = anisotropy.transforms(p.select("model_id", *((axis == k).cast("double").alias(f"v{c}") for k, c in enumerate("xyz"))))
+    found = spatial.pairs(p, p).join(own.select("model_id", "transform"), "model_id")
+    d = tuple(F.col(f"a.{k}") - F.col(f"b.{k}") for k in "xyz")
+    pair, m = K.stretched(d, F.col("transform")), F.col("transform")
+    x, y, z = (tuple(F.lit(float(k == j)) for j in range(3)) for k in range(3))
+    out = [_r(K.value(K.LINEAR, pair, SHAPE)).alias("linear")]
+    for n in _CURVES:
+        k = _NAMES[n]
+        out += [_r(K.value(k, pair, SHAPE), 5).alias(n), _r(K.at_first(k, pair, SHAPE, y), 5).alias(f"{n}_y"), _r(K.at_both(k, pair, SHAPE, x, x, m), 5).alias(f"{n}_xx"), _r(K.at_both(k, pair, SHAPE, x, z, m), 5).alias(f"{n}_xz")]
+    return found.select("model_id", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), *out)
+
+
 # --- fits and fields
 
 
@@ -430,6 +474,33 @@ def layout_lajaunie(spark, sf):
     return layout.dofs(_planes(spark, sf), Parameters(LAJAUNIE)).select("model_id", F.col("dof").cast("long").alias("dof"), "section", "role", "first_id", "second_id", "axis", "value")
 
 
+#: The functionals of the Lajaunie models of the planes with a planar and a tangent, as terms (weight, point, direction), and their order.
+_TERMS = f"""{_PLANES}, p AS (SELECT *, row_number() OVER (PARTITION BY model_id, level ORDER BY x, y, z, constraint_id) AS n, row_number() OVER (PARTITION BY model_id ORDER BY x, y, z, constraint_id) AS place,
+    first_value([x, y, z]) OVER (PARTITION BY model_id, level ORDER BY x, y, z, constraint_id) AS ref FROM planes), m AS (SELECT DISTINCT model_id FROM planes),
+    f AS (SELECT model_id, 0 AS s, -level AS k1, place AS k2, ref AS head, [x, y, z] AS tail, NULL::DOUBLE[] AS dir FROM p WHERE n > 1
+        UNION ALL SELECT model_id, 1, 0, a, [1.0, 2.0, 3.0]::DOUBLE[], NULL, [(a = 0)::INT::DOUBLE, (a = 1)::INT::DOUBLE, (a = 2)::INT::DOUBLE] FROM m, range(3) t(a) UNION ALL SELECT model_id, 2, 0, 0, [2.0, -1.0, 1.5]::DOUBLE[], NULL, [0.8, 0.3, -0.6]::DOUBLE[] FROM m),
+    g AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY s, k1, k2) - 1 AS i, count(*) OVER (PARTITION BY model_id) AS n FROM f),
+    t AS (SELECT model_id, i, n, s, 1.0 AS w, head[1] AS x, head[2] AS y, head[3] AS z, dir IS NOT NULL AS moved, coalesce(dir[1], 0) AS u, coalesce(dir[2], 0) AS v, coalesce(dir[3], 0) AS o FROM g
+        UNION ALL SELECT model_id, i, n, s, -1.0, tail[1], tail[2], tail[3], false, 0, 0, 0 FROM g WHERE tail IS NOT NULL)"""
+
+
+@query(f"""WITH {_TERMS}, b AS (SELECT a.model_id, a.i, b.i AS j, a.s, a.w * b.w AS w, a.moved AS am, b.moved AS bm, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz, a.u * b.u + a.v * b.v + a.o * b.o AS uv,
+        (a.x - b.x) * a.u + (a.y - b.y) * a.v + (a.z - b.z) * a.o AS du, (a.x - b.x) * b.u + (a.y - b.y) * b.v + (a.z - b.z) * b.o AS dv, sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2) AS r FROM t a JOIN t b USING (model_id)),
+    k AS (SELECT model_id, i, j, sum(w * CASE WHEN am AND bm THEN -3 * (r * uv + CASE WHEN r > 0 THEN du * dv / r ELSE 0 END) WHEN am THEN 3 * r * du WHEN bm THEN -3 * r * dv ELSE r * r * r END) AS value FROM b GROUP BY ALL),
+    q AS (SELECT model_id, i, n, unnest([0, 1, 2]) AS c, unnest(CASE WHEN moved THEN [u, v, o] ELSE [w * x, w * y, w * z] END) AS value FROM t), h AS (SELECT model_id, i, n + c AS j, sum(value) AS value FROM q GROUP BY ALL),
+    whole AS (SELECT model_id, i, j, CASE WHEN i = j AND i < n0 THEN 0.125 ELSE value END AS value FROM k JOIN (SELECT model_id, max(n) - 4 AS n0 FROM t GROUP BY model_id) USING (model_id) UNION ALL SELECT model_id, i, j, value FROM h UNION ALL SELECT model_id, j, i, value FROM h)
+    SELECT model_id, i::BIGINT AS row, j::BIGINT AS col, round(value, 4) + 0.0 AS value FROM whole""")
+def assembled_lajaunie(spark, sf):
+    """The whole systems of the Lajaunie models of the planes, each with a planar, a tangent, and a smoothing of 0.5."""
+    found = assembly.system(_with_tangents(_planes(spark, sf)), Parameters(LAJAUNIE, smoothing=0.5))
+    return found.withColumn("value", _r("value", 4))
+
+
+def _with_tangents(own: DataFrame) -> DataFrame:
+    tangents = own.filter("category = 'planar'").select("model_id", F.lit(1).alias("constraint_id"), *(F.lit(v).alias(c) for c, v in zip(("x", "y", "z", "vx", "vy", "vz"), (2.0, -1.0, 1.5, 0.8, 0.3, -0.6), strict=True)))
+    return own.unionByName(tables.constraints_of(tangents, "tangent"))
+
+
 def _over_lineitem(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """One small model whose sites lie on a plane, which order 1 reproduces, and a query for each line item."""
     grid = [(i, float(x), float(y), float(z), 3.0 * x + 5.0 * y - z + 2.0) for i, (x, y, z) in enumerate((x, y, z) for x in (0, 2, 5) for y in (0.0, 0.06, 0.1) for z in (0.0, 0.04, 0.08))]
