@@ -6,7 +6,7 @@ from __future__ import annotations
 CATEGORIES = (
     "NonFiniteInput", "ZeroNormal", "NormalZOutOfRange", "DegenerateOrientation", "InvalidInputData", "NoInterfaceData", "InterpolationMatrixFailure",
     "UnsupportedKernel", "LinearDerivativeUnavailable", "SingularSystem", "NonFiniteMatrix", "NonFiniteRightHandSide", "NonFiniteSolution", "ResidualTooLarge",
-    "EqualityVectorOutOfBounds", "ModelTooLarge", "MissingInequalities", "InfeasibleSolution", "ComplementarityTolerance", "IterationLimit",
+    "EqualityVectorOutOfBounds", "ModelTooLarge", "MissingInequalities", "InfeasibleSolution", "ComplementarityTolerance", "IterationLimit", "KernelLayoutMismatch",
 )
 
 
