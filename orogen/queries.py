@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import kernels as K
 from .functions import orientation as O
-from .operators import anisotropy, assembly, evaluation, fitting, grouping, layout, quadratic, reconstruction, spatial
+from .operators import anisotropy, assembly, evaluation, fitting, grouping, layout, quadratic, reconstruction, spatial, unisolvent
 from .parameters import CONTINUOUS, LAJAUNIE, SINGLE_SURFACE, STRATIGRAPHIC, VECTOR, Parameters
 from .sources import tables
 
@@ -501,6 +501,61 @@ def _with_tangents(own: DataFrame) -> DataFrame:
     return own.unionByName(tables.constraints_of(tangents, "tangent"))
 
 
+def _volume(p: str, a: str, b: str, c: str) -> str:
+    """The determinant of p - a, b - a, c - a of structs x, y, z, as SQL."""
+    d = lambda q, k: f"({q}.{k} - {a}.{k})"
+    minor = lambda i, j: f"({d(b, i)} * {d(c, j)} - {d(b, j)} * {d(c, i)})"
+    return f"({d(p, 'x')} * {minor('y', 'z')} - {d(p, 'y')} * {minor('x', 'z')} + {d(p, 'z')} * {minor('x', 'y')})"
+
+
+def _lagrange(at: str) -> list[str]:
+    others = [[f"b{j}" for j in range(4) if j != k] for k in range(4)]
+    return [f"{_volume(at, *some)} / {_volume(f'b{k}', *some)}" for k, some in enumerate(others)]
+
+
+#: The four points of each model's largest level: ends of its widest axis and, of what is left, of the next one.
+_BASIS = f"""{_INTERFACES}, g AS (SELECT model_id, level, count(*) AS members FROM interfaces GROUP BY ALL), top AS (SELECT model_id, arg_max(level, (members, level)) AS level, max(members) AS members FROM g GROUP BY model_id),
+    l AS (SELECT i.*, {{'x': x, 'y': y, 'z': z}} AS pt FROM interfaces i JOIN top USING (model_id, level) WHERE members >= 4),
+    w AS (SELECT model_id, unnest(['x', 'y', 'z']) AS axis, unnest([max(x) - min(x), max(y) - min(y), max(z) - min(z)]) AS range FROM l GROUP BY model_id), o AS (SELECT model_id, list(axis ORDER BY range DESC, axis) AS axes FROM w GROUP BY model_id),
+    c AS (SELECT l.*, CASE axes[1] WHEN 'x' THEN x WHEN 'y' THEN y ELSE z END AS v1, CASE axes[2] WHEN 'x' THEN x WHEN 'y' THEN y ELSE z END AS v2 FROM l JOIN o USING (model_id)),
+    e1 AS (SELECT model_id, arg_min(pt, v1) AS b0, arg_max(pt, v1) AS b1 FROM c GROUP BY model_id), basis AS (SELECT model_id, any_value(b0) AS b0, any_value(b1) AS b1, arg_min(pt, v2) AS b2, arg_max(pt, v2) AS b3 FROM c JOIN e1 USING (model_id) WHERE pt <> b0 AND pt <> b1 GROUP BY model_id)"""
+
+
+@query(f"""WITH {_BASIS}, a AS (SELECT model_id, constraint_id, {{'x': x, 'y': y, 'z': z}} AS pt, b0, b1, b2, b3 FROM interfaces JOIN basis USING (model_id))
+    SELECT model_id, constraint_id, {", ".join(f"round({v}, 5) + 0.0 AS l{k}" for k, v in enumerate(_lagrange("pt")))} FROM a""")
+def lagrange_basis(spark, sf):
+    """The four Lagrange planes of each model's unisolvent points, at all its interfaces."""
+    own = tables.interfaces(spark, sf)
+    basis = unisolvent.basis_points(own, Parameters(SINGLE_SURFACE)).filter("error is null")
+    found = own.join(basis, "model_id").withColumn("at", F.struct("x", "y", "z"))
+    return found.select("model_id", "constraint_id", *(_r(v, 5).alias(f"l{k}") for k, v in enumerate(unisolvent.lagrange(F.col("basis"), F.col("at")))))
+
+
+_CUBE = "pow(({a}.x - {b}.x) ^ 2 + ({a}.y - {b}.y) ^ 2 + ({a}.z - {b}.z) ^ 2, 1.5)"
+
+
+@query(f"""WITH {_BASIS}, {_ORIENTATIONS}, p AS (SELECT *, row_number() OVER (PARTITION BY model_id, level ORDER BY x, y, z, constraint_id) AS n, row_number() OVER (PARTITION BY model_id ORDER BY x, y, z, constraint_id) AS place,
+    first_value({{'x': x, 'y': y, 'z': z}}) OVER (PARTITION BY model_id, level ORDER BY x, y, z, constraint_id) AS ref FROM interfaces),
+    f AS (SELECT model_id, 0 AS s, -level AS k1, place AS k2, ref AS head, {{'x': x, 'y': y, 'z': z}} AS tail, -1 AS axis FROM p WHERE n > 1
+        UNION ALL SELECT model_id, 1, 0, 3 * (row_number() OVER (PARTITION BY model_id, t.a ORDER BY x, y, z, constraint_id)) + t.a, {{'x': x::DOUBLE, 'y': y::DOUBLE, 'z': z::DOUBLE}}, NULL, t.a FROM orientations, range(3) t(a)),
+    d AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY s, k1, k2) - 1 AS i FROM f),
+    t AS (SELECT model_id, i, 1.0 AS w, head AS pt, axis FROM d UNION ALL SELECT model_id, i, -1.0, tail, -1 FROM d WHERE tail IS NOT NULL),
+    -- planes and kernels to the four points of each term: central differences are exact for planes
+    u AS (SELECT t.*, b0, b1, b2, b3, {{'x': pt.x + (axis = 0)::INT, 'y': pt.y + (axis = 1)::INT, 'z': pt.z + (axis = 2)::INT}} AS up FROM t JOIN basis USING (model_id)),
+    m AS (SELECT model_id, i, w, pt, axis, unnest([0, 1, 2, 3]) AS k, unnest([b0, b1, b2, b3]) AS b, unnest([{", ".join(_lagrange("pt"))}]) AS l, unnest([{", ".join(_lagrange("up"))}]) AS lu FROM u),
+    q AS (SELECT model_id, i, k, any_value(b) AS b, sum(w * CASE WHEN axis < 0 THEN l ELSE lu - l END) AS l,
+        sum(w * CASE axis WHEN -1 THEN {_CUBE.format(a="pt", b="b")} WHEN 0 THEN 3 * pow({_CUBE.format(a="pt", b="b")}, 1.0 / 3) * (pt.x - b.x) WHEN 1 THEN 3 * pow({_CUBE.format(a="pt", b="b")}, 1.0 / 3) * (pt.y - b.y) ELSE 3 * pow({_CUBE.format(a="pt", b="b")}, 1.0 / 3) * (pt.z - b.z) END) AS s FROM m GROUP BY model_id, i, k),
+    h AS (SELECT x.model_id, x.i, y.k, sum(x.l * CASE WHEN x.k = y.k THEN 1 ELSE {_CUBE.format(a="x.b", b="y.b")} END) AS c FROM q x JOIN q y ON x.model_id = y.model_id AND x.i = y.i GROUP BY ALL),
+    n AS (SELECT * FROM q JOIN h USING (model_id, i, k)), less AS (SELECT x.model_id, x.i, y.i AS j, sum(x.l * y.s + x.s * y.l - x.c * y.l) AS v FROM n x JOIN n y USING (model_id, k) GROUP BY ALL),
+    r AS (SELECT x.model_id, x.i, y.i AS j, x.w * y.w AS w, x.axis AS xa, y.axis AS ya, [x.pt.x - y.pt.x, x.pt.y - y.pt.y, x.pt.z - y.pt.z] AS d, sqrt((x.pt.x - y.pt.x) ^ 2 + (x.pt.y - y.pt.y) ^ 2 + (x.pt.z - y.pt.z) ^ 2) AS r FROM t x JOIN t y USING (model_id)),
+    whole AS (SELECT model_id, i, j, sum(w * CASE WHEN xa < 0 AND ya < 0 THEN r * r * r WHEN ya < 0 THEN 3 * r * d[xa + 1] WHEN xa < 0 THEN -3 * r * d[ya + 1] ELSE -3 * (r * (xa = ya)::INT + CASE WHEN r > 0 THEN d[xa + 1] * d[ya + 1] / r ELSE 0 END) END) AS v FROM r GROUP BY ALL)
+    SELECT model_id, i::BIGINT AS row, j::BIGINT AS col, round(whole.v - less.v, 3) + 0.0 AS value FROM whole JOIN less USING (model_id, i, j)""")
+def assembled_modified(spark, sf):
+    """The modified kernel under all functionals of restricted Lajaunie models: increments of the interfaces, derivatives at the planars."""
+    own = tables.interfaces(spark, sf).unionByName(tables.planars(spark, sf))
+    return unisolvent.modified_block(own, Parameters(LAJAUNIE, restricted=True, interface_uncertainty=0.1, angular_uncertainty=5.0)).withColumn("value", _r("value", 3))
+
+
 def _over_lineitem(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """One small model whose sites lie on a plane, which order 1 reproduces, and a query for each line item."""
     grid = [(i, float(x), float(y), float(z), 3.0 * x + 5.0 * y - z + 2.0) for i, (x, y, z) in enumerate((x, y, z) for x in (0, 2, 5) for y in (0.0, 0.06, 0.1) for z in (0.0, 0.04, 0.08))]
