@@ -29,7 +29,8 @@ MOST_DOFS, SMALL, BATCH = 5000, 64, 512
 CONSTRAINTS = "model_id long, category string, constraint_id long, x double, y double, z double, c double, level double, vx double, vy double, vz double"
 MODELS = (
     "model_id long, error string, kernel string, shape double, polynomial_order int, truncated boolean, transform array<double>, owner array<int>, coefficient array<double>, "
-    "point array<double>, direction array<double>, weight array<double>, polynomial array<double>, n_dofs int, basis_points array<double>, iterations int"
+    "point array<double>, direction array<double>, weight array<double>, polynomial array<double>, n_dofs int, basis_points array<double>, iterations int, "
+    "dual array<double>, slack array<double>, tolerance double"
 )
 
 
@@ -122,23 +123,23 @@ def _modified(found: Rows, parameters: Parameters) -> ModifiedKernel:
     return ModifiedKernel(unisolvent_points([found.of_sections(layout.BASIS).first[:, :3]]), parameters.kernel, parameters.shape, _transform(found, parameters))
 
 
-def _quadratic(found: Rows, parameters: Parameters) -> tuple[dense.Terms, np.ndarray, ModifiedKernel, int]:
-    """Terms, weights, modified kernel and iterations: the least energy that meets the inequalities or bounds."""
+def _quadratic(found: Rows, parameters: Parameters) -> tuple[dense.Terms, quadratic.Solution, ModifiedKernel]:
+    """Terms, weights with their multipliers, and modified kernel: the least energy that meets the inequalities or bounds."""
     own = found.unknowns
     terms, kernel = own.terms(), _modified(found, parameters)
     whole = kernel.matrix(terms, terms)
     sign, lower, upper, value = own.bounds.T
     if parameters.restricted:
-        weight, iterations = quadratic.bounded(whole, whole, lower, upper - lower)
+        solution = quadratic.boxed(whole, whole, lower, upper - lower)
     else:
         n = int((own.section <= layout.LITHOLOGY).sum())
-        weight, iterations = quadratic.predictor_corrector(whole, whole[n:], value[n:], whole[:n] * sign[:n, None], lower[:n])
-    return terms, weight, kernel, iterations
+        solution = quadratic.constrained(whole, whole[n:], value[n:], whole[:n] * sign[:n, None], lower[:n])
+    return terms, solution, kernel
 
 
 def _row(model_id: int, parameters: Parameters, error: str | None = None) -> dict:
     empty = {c: [] for c in ("owner", "coefficient", "point", "direction", "weight", "polynomial")}
-    return {"model_id": model_id, "error": error, "kernel": parameters.kernel, "shape": parameters.shape, "polynomial_order": -1, "truncated": False, "transform": None} | empty | {"n_dofs": 0, "basis_points": None, "iterations": 0}
+    return {"model_id": model_id, "error": error, "kernel": parameters.kernel, "shape": parameters.shape, "polynomial_order": -1, "truncated": False, "transform": None} | empty | {"n_dofs": 0, "basis_points": None, "iterations": 0, "dual": None, "slack": None, "tolerance": None}
 
 
 def _fitted(terms: dense.Terms, k: int | None, weight: np.ndarray) -> dict:
@@ -159,8 +160,8 @@ def fit_many(models: list[tuple[int, Rows]], parameters: Parameters) -> list[dic
             out.append(_row(model_id, parameters, error if isinstance(error, str) else None))
         elif restricted or (own.section <= layout.LITHOLOGY).any():
             try:
-                terms, weight, kernel, iterations = _quadratic(found, parameters)
-                out.append(_row(model_id, parameters) | _fitted(terms, None, weight) | {"transform": None if kernel.transform is None else kernel.transform.astype(float).ravel(), "basis_points": kernel.points.ravel(), "iterations": iterations})
+                terms, s, kernel = _quadratic(found, parameters)
+                out.append(_row(model_id, parameters) | _fitted(terms, None, s.x) | {"transform": None if kernel.transform is None else kernel.transform.astype(float).ravel(), "basis_points": kernel.points.ravel(), "iterations": s.iterations, "dual": s.dual, "slack": s.slack, "tolerance": s.tolerance})
             except FieldError as e:
                 out.append(_row(model_id, parameters, e.category))
         else:

@@ -6,6 +6,8 @@ Both follow published primal-dual methods: a predictor step, a centring paramete
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 from ..errors import FieldError
@@ -13,6 +15,17 @@ from ..errors import FieldError
 ITERATIONS = 300
 
 
+@dataclass
+class Solution:
+    """x, the multipliers and slacks of the inequalities, how far an inequality may be missed, and the iterations."""
+
+    x: np.ndarray
+    dual: np.ndarray
+    slack: np.ndarray
+    tolerance: float
+    iterations: int
+
+
 def _solve(matrix: np.ndarray, right: np.ndarray) -> np.ndarray:
     try:
         return np.linalg.solve(matrix, right)
@@ -34,8 +47,8 @@ def _inner_step(v: np.ndarray, dv: np.ndarray, s: np.ndarray, ds: np.ndarray) ->
     return min(1.0, 0.99 * float((both[move < 0] / -move[move < 0]).min(initial=np.inf)))
 
 
-def _iterated(k: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, published: bool) -> tuple[np.ndarray, int]:
-    """x and the number of iterations; the category of the failure is raised otherwise. published: with its step rule."""
+def _iterated(k: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, published: bool) -> Solution:
+    """The optimum; the category of the failure is raised otherwise. published: with its step rule."""
     n, ne, nc = len(k), len(b), len(d)
     if not nc:
         raise FieldError("MissingInequalities")
@@ -85,12 +98,12 @@ def _iterated(k: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.
         raise FieldError("ResidualTooLarge")
     if np.abs(h @ x - a.T @ y - c.T @ z).max() > limit(h @ x, z):
         raise FieldError("ResidualTooLarge")
-    return x, iteration
+    return Solution(x, z, s, limit(d, x), iteration)
 
 
-def predictor_corrector(k: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, int]:
-    """min x'Kx with Ax = b and Cx >= d: x and the iterations. Where the published step rule ends away from the optimum (its ratios
-    may pass the boundary), the plain rule is run."""
+def constrained(k: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> Solution:
+    """min x'Kx with Ax = b and Cx >= d. Where the published step rule ends away from the optimum (its ratios may pass the
+    boundary), the plain rule is run."""
     try:
         return _iterated(k, a, b, c, d, True)
     except FieldError as e:
@@ -99,8 +112,21 @@ def predictor_corrector(k: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarr
         return _iterated(k, a, b, c, d, False)
 
 
-def bounded(k: np.ndarray, a: np.ndarray, lower: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, int]:
-    """min x'Kx with lower <= Ax <= lower + width, as inequalities of both sides; a box without width has no interior and fails."""
+def boxed(k: np.ndarray, a: np.ndarray, lower: np.ndarray, width: np.ndarray) -> Solution:
+    """min x'Kx with lower <= Ax <= lower + width, as inequalities of both sides, the lower ones first; a box without width has no
+    interior and fails."""
     if len(width) and (width <= 0).any():
         raise FieldError("InfeasibleSolution", "a bound has no width")
     return _iterated(k, np.zeros((0, len(k))), np.zeros(0), np.concatenate([a, -a]), np.concatenate([lower, -(lower + width)]), False)
+
+
+def predictor_corrector(k: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, int]:
+    """x and the iterations of constrained()."""
+    found = constrained(k, a, b, c, d)
+    return found.x, found.iterations
+
+
+def bounded(k: np.ndarray, a: np.ndarray, lower: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, int]:
+    """x and the iterations of boxed()."""
+    found = boxed(k, a, lower, width)
+    return found.x, found.iterations

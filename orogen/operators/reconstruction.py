@@ -57,13 +57,22 @@ def predictions(models: DataFrame) -> DataFrame:
 
 def evidence(models: DataFrame, constraints: DataFrame, parameters: Parameters, tolerance: float = 1e-6) -> DataFrame:
     """The layout's rows with prediction, slack (to the nearer bound, or from the value) and accepted within the tolerance: relations of
-    layers, inequalities and bounds."""
+    layers, inequalities and bounds. dual and solver_slack are the solver's multiplier and slack of an inequality or of a lower bound,
+    active means within the tolerance or the solver's;
+    dual_upper and solver_slack_upper those of an upper bound, solver_tolerance what the solver lets an inequality miss; null where a row
+    has none."""
     found = layout.dofs(constraints, parameters).join(predictions(models), ["model_id", "dof"])
     told = F.coalesce(F.col("sign"), F.lit(1.0)) * F.col("prediction")
     lower, upper = told - F.col("lower"), F.when(F.col("role") == "bounded", F.col("upper") - F.col("prediction"))
     above = F.when(F.col("role") == "bounded", F.col("prediction") - F.col("lower")).otherwise(lower)
     slack = F.when(F.col("role") == "equality", -F.abs(F.col("prediction") - F.col("value"))).otherwise(F.least(above, upper))
-    return found.withColumn("slack", slack).withColumn("accepted", F.col("slack") >= -tolerance).withColumn("active", F.abs("slack") <= tolerance)
+    solved = models.select("model_id", F.col("dual").alias("duals"), F.col("slack").alias("slacks"), F.col("tolerance").alias("solver_tolerance"))
+    # inequalities are a model's first rows; bounds come twice, all lower ones before all upper ones
+    upper_at = F.when(F.col("role") == "bounded", (F.size("duals") / 2).cast("int") + F.col("dof"))
+    found = found.join(solved, "model_id", "left").withColumns({
+        "dual": F.get("duals", F.col("dof")), "solver_slack": F.get("slacks", F.col("dof")), "dual_upper": F.get("duals", upper_at), "solver_slack_upper": F.get("slacks", upper_at),
+    }).drop("duals", "slacks")
+    return found.withColumn("slack", slack).withColumn("accepted", F.col("slack") >= -tolerance).withColumn("active", F.abs("slack") <= F.greatest(F.lit(tolerance), "solver_tolerance"))
 
 
 def reconstructed(models: DataFrame, parameters: Parameters) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import kernels as K
 from .functions import orientation as O
 from .operators import anisotropy, assembly, evaluation, fitting, grouping, layout, quadratic, reconstruction, spatial, unisolvent
+from .operators.shared import written
 from .parameters import CONTINUOUS, LAJAUNIE, SINGLE_SURFACE, STRATIGRAPHIC, VECTOR, Parameters
 from .sources import tables
 
@@ -606,6 +607,31 @@ def field_inequalities(spark, sf):
     return evaluation.evaluate(models, at).withColumn("value", _r("value", 3))
 
 
+#: Four interfaces of one level and an inequality for each part: below the surface for even keys, above it for odd ones.
+_WEDGES = """k AS (SELECT p_partkey AS k, 1 + p_partkey % 5::DOUBLE AS v, p_partkey % 2 = 0 AS below FROM part), basis AS (SELECT *, {'x': 0.0::DOUBLE, 'y': 0.0::DOUBLE, 'z': 0.0::DOUBLE} AS b0,
+    {'x': (10 + k % 7) / 10::DOUBLE, 'y': 0.1::DOUBLE, 'z': k % 3 / 10::DOUBLE} AS b1, {'x': 0.3::DOUBLE, 'y': (4 + k % 5) / 10::DOUBLE, 'z': 0.2::DOUBLE} AS b2, {'x': 0.5::DOUBLE, 'y': (-2 - k % 4) / 10::DOUBLE, 'z': 0.15::DOUBLE} AS b3,
+    {'x': (2 + k % 11) / 10::DOUBLE, 'y': (k % 6 - 1.5) / 10::DOUBLE, 'z': (4 + k % 9) / 10::DOUBLE} AS q FROM k)"""
+
+
+@query(f"""WITH {_WEDGES}, l AS (SELECT *, {", ".join(f"{v} AS l{k}" for k, v in enumerate(_lagrange("q")))} FROM basis),
+    n AS (SELECT *, {" + ".join(f"l{i} * l{j} * {_CUBE.format(a=f'b{i}', b=f'b{j}')}" for i in range(4) for j in range(4) if i != j)} - 2 * ({" + ".join(f"l{i} * {_CUBE.format(a=f'b{i}', b='q')}" for i in range(4))}) AS n FROM l)
+    SELECT k AS model_id, CASE WHEN below THEN -1.0 ELSE 1.0 END::DOUBLE AS sign, round(CASE WHEN below THEN 0 ELSE v END, 2) + 0.0 AS field, below AS active, true AS accepted, round(CASE WHEN below THEN 2 * v / n ELSE 0 END, 2) + 0.0 AS dual, round(CASE WHEN below THEN 0 ELSE v END, 2) + 0.0 AS solver_slack FROM n""")
+def evidence_inequalities(spark, sf):
+    """Fields, multipliers and slacks of an inequality for each part. The plane of the interfaces has their level everywhere: an inequality that
+    agrees is idle, the other one is active and bends the field by the closed form of one multiplier."""
+    k = F.col("p_partkey")
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    places = [(F.lit(0.0), F.lit(0.0), F.lit(0.0)), ((10 + k % 7) / 10, F.lit(0.1), k % 3 / 10), (F.lit(0.3), (4 + k % 5) / 10, F.lit(0.2)), (F.lit(0.5), (-2 - k % 4) / 10, F.lit(0.15))]
+    at = F.array(*(F.struct(*(c.cast("double").alias(a) for a, c in zip("xyz", p, strict=True))) for p in places))
+    sites = part.select(k.alias("model_id"), (1.0 + k % 5).alias("level"), F.posexplode(at).alias("constraint_id", "at")).select("model_id", "constraint_id", "at.*", "level")
+    ends = part.select(k.alias("model_id"), F.lit(0).alias("constraint_id"), ((2 + k % 11) / 10).alias("x"), ((k % 6 - 1.5) / 10).alias("y"), ((4 + k % 9) / 10).alias("z"), F.when(k % 2 == 0, -1.0).otherwise(1.0).alias("level"))
+    own, p = tables.constraints_of(sites, "interface").unionByName(tables.constraints_of(ends, "inequality")), Parameters(SINGLE_SURFACE)
+    # fitted once: predictions and multipliers both come from the models
+    models = written(fitting.fit(own, p), "models")
+    found = reconstruction.evidence(models, own, p).filter("section = 'inequality'")
+    return found.select("model_id", "sign", _r("prediction", 2).alias("field"), "active", "accepted", _r("dual", 2).alias("dual"), _r("solver_slack", 2).alias("solver_slack"))
+
+
 @query("SELECT n_nationkey::BIGINT AS model_id, true AS ordered, 0.0::DOUBLE AS spread FROM nation")
 def field_stratigraphic(spark, sf):
     """Horizons: a higher level's reference has at least the value of the next one's, and one level has one value."""
