@@ -94,3 +94,19 @@ def test_systems_of_refused_models(spark):
     with pytest.raises(FieldError, match="UnsupportedKernel"):
         assembly.system(rows, Parameters(SINGLE_SURFACE, K.MATERN, anisotropy=True))
     assert assembly.system(rows.limit(0), Parameters(STRATIGRAPHIC)).count() == 0
+
+
+def test_multipliers_of_bounds(spark):
+    """At the optimum the weights are half the difference of both bounds' multipliers, and a multiplier or its slack is 0."""
+    from orogen.operators import reconstruction
+
+    p = Parameters(LAJAUNIE, restricted=True, interface_uncertainty=0.25, angular_uncertainty=8.0)
+    rows = constraints(spark, HORIZON + MORE, PLANARS[:1])
+    models = fitting.fit(rows, p)
+    found = {r.dof: r for r in reconstruction.evidence(models, rows, p).collect()}
+    weight = models.first().weight
+    assert len(found) == len(weight) and all(r.accepted for r in found.values())
+    for k, r in found.items():
+        assert (r.dual - r.dual_upper) / 2 == pytest.approx(weight[k], abs=1e-6 * max(1.0, np.abs(weight).max()))
+        assert abs(r.dual * r.solver_slack) < 1e-6 and abs(r.dual_upper * r.solver_slack_upper) < 1e-6
+        assert r.solver_slack == pytest.approx(r.prediction - r.lower, abs=1e-5) and r.solver_slack_upper == pytest.approx(r.upper - r.prediction, abs=1e-5)
