@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from .errors import FieldError
+from .errors import LAJAUNIE, FieldError
 from .functions.kernels import CUBIC, KERNELS
 
-SINGLE_SURFACE, LAJAUNIE, STRATIGRAPHIC, CONTINUOUS, VECTOR = "Single_surface", "Lajaunie_approach", "Stratigraphic_horizons", "Continuous_property", "Vector_field"
+SINGLE_SURFACE, STRATIGRAPHIC, CONTINUOUS, VECTOR = "Single_surface", "Stratigraphic_horizons", "Continuous_property", "Vector_field"
 #: Fixed codes of the models.
 MODEL_CODES = {1: SINGLE_SURFACE, 2: LAJAUNIE, 3: VECTOR, 4: STRATIGRAPHIC, 5: CONTINUOUS}
 
@@ -37,3 +37,13 @@ class Parameters:
         if self.polynomial_order not in (0, 1, 2):
             raise FieldError("InterpolationMatrixFailure", f"polynomial order {self.polynomial_order}")
         return self
+
+    @staticmethod
+    def parsed(model: int | str, kernel: str = CUBIC, **more) -> Parameters:
+        """From a model's code (1 to 5) or name and a kernel's name, spelled exactly; UnknownModel and UnknownRbf otherwise."""
+        name = MODEL_CODES.get(model, model)
+        if name not in MODEL_CODES.values():
+            raise FieldError("UnknownModel", str(model))
+        if kernel not in KERNELS:
+            raise FieldError("UnknownRbf", kernel)
+        return Parameters(name, kernel, **more).checked()
