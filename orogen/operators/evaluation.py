@@ -1,8 +1,9 @@
 """Evaluation: fitted models at very many query points.
 
-The models are small and go to the queries if their size, which is checked, is below BROADCAST_BYTES; the queries then are a stateless
-map without a shuffle. Larger sets of models meet their queries by model_id, the queries of one model dealt to as many parts as
-they need. Linear models whose terms have one shape are evaluated together, so many small models cost as much as one.
+The models are small and go to the queries if their size and number, which are checked, are at most BROADCAST_BYTES and BROADCAST_MODELS; the
+queries then are a stateless map without a shuffle. Otherwise models and queries are dealt and sorted by model_id together, the queries of
+one model to as many parts as they need, and a task passes over them batch by batch: it holds one batch and the last model, however many
+there are. Linear models whose terms have one shape are evaluated together, so many small models cost as much as one.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from . import dense
 from .modified import ModifiedKernel
 from .shared import written
 
-BROADCAST_BYTES, PART_ROWS, CELLS = 64 << 20, 200_000, 1 << 18
+BROADCAST_BYTES, BROADCAST_MODELS, PART_ROWS, CELLS = 64 << 20, 1000, 200_000, 1 << 18
 SCALARS, GRADIENTS = "model_id long, query_id long, value double", "model_id long, query_id long, gx double, gy double, gz double"
 
 
@@ -129,10 +130,11 @@ class Known:
         where = np.array([self.place.get(i, (-1 if i in self.failed else -2, 0)) for i in ids.tolist()], np.int64).reshape(-1, 2)[back]
         points = np.concatenate([queries[["x", "y", "z"]].to_numpy(float), np.zeros((len(queries), 1))], axis=1)
         out = np.full((len(queries), 3 if gradient else 1), np.nan)
-        for stack in np.unique(where[:, 0]):
-            if stack >= 0:
-                mine = np.flatnonzero(where[:, 0] == stack)
-                out[mine] = self.stacks[stack](where[mine, 1], points[mine], gradient)
+        order = np.argsort(where[:, 0], kind="stable")
+        cuts = np.flatnonzero(np.append(True, where[order[1:], 0] != where[order[:-1], 0])) if len(order) else []
+        for mine in np.split(order, cuts[1:]):
+            if len(mine) and where[mine[0], 0] >= 0:
+                out[mine] = self.stacks[where[mine[0], 0]](where[mine, 1], points[mine], gradient)
         told = pd.concat([queries[["model_id", "query_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["gx", "gy", "gz"] if gradient else ["value"])], axis=1)
         return told[where[:, 0] > -2]
 
@@ -145,8 +147,8 @@ def evaluate(models: DataFrame, queries: DataFrame, gradient: bool = False) -> D
     points = queries.select("model_id", "query_id", "x", "y", "z")
     # fitted once for the check of the size and for what follows it; what the caller has cached stays as it is
     models = models if models.is_cached or models.storageLevel.useMemory or models.storageLevel.useDisk else written(models, "models")
-    numbers = models.agg(F.coalesce(F.sum(F.size("point") + F.size("direction") + F.size("weight") + 2 * F.size("owner")), F.lit(0))).first()[0]
-    if numbers * 8 <= BROADCAST_BYTES:
+    numbers, count = models.agg(F.coalesce(F.sum(F.size("point") + F.size("direction") + F.size("weight") + 2 * F.size("owner")), F.lit(0)), F.count("*")).first()
+    if numbers * 8 <= BROADCAST_BYTES and count <= BROADCAST_MODELS:
         known = spark.sparkContext.broadcast(Known(models.collect()))
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,14 +157,28 @@ def evaluate(models: DataFrame, queries: DataFrame, gradient: bool = False) -> D
                     yield known.value.answers(part, gradient)
 
         return points.mapInPandas(run, schema)
-    sizes = points.groupBy("model_id").agg((F.floor(F.count("*") / PART_ROWS) + 1).alias("parts"))
-    dealt = points.join(sizes, "model_id").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")))
-    copies = models.join(sizes, "model_id").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-
-    def meet(mine: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        if not len(model) or not len(mine):
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        row = model.iloc[0].to_dict()
-        return Known([row | {"error": row["error"] or None}]).answers(mine, gradient)
-
-    return dealt.groupBy("model_id", "part").cogroup(copies.groupBy("model_id", "part")).applyInPandas(meet, schema)
+    # few models have more queries than a part: at most one for each PART_ROWS queries
+    many = F.broadcast(points.groupBy("model_id").agg((F.floor(F.count("*") / PART_ROWS) + 1).alias("parts")).filter("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = points.filter("model_id is not null").join(many, "model_id", "left").withColumn("part", F.pmod(F.xxhash64("query_id"), parts)).drop("parts")
+    copies = models.filter("model_id is not null").join(many, "model_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    both = copies.withColumn("asks", F.lit(False)).unionByName(dealt.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    sorted_rows = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "model_id", "part").sortWithinPartitions("model_id", "part", "asks")
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: list[dict] = []
+        for batch in batches:
+            asks = batch["asks"].to_numpy(bool)
+            # the queries of the last model may go on in the next batch
+            rows = last + [_typed(r) for r in batch[~asks].to_dict("records")]
+            last = rows[-1:]
+            if asks.any():
+                yield Known(rows).answers(batch[asks], gradient)
+
+    return sorted_rows.mapInPandas(meet, schema)
+
+
+def _typed(row: dict) -> dict:
+    """A model's row from Pandas, where nulls beside it have changed its types."""
+    null = lambda v: None if v is None or isinstance(v, float) and np.isnan(v) else v
+    return row | {c: null(row[c]) for c in ("error", "transform", "basis_points")} | {"polynomial_order": int(row["polynomial_order"]), "truncated": bool(row["truncated"])}
