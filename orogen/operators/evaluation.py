@@ -57,10 +57,14 @@ class Fields:
         self.point, self.direction = np.stack([f.terms.point for f in fields]), np.stack([f.terms.direction for f in fields])
         self.weight = np.stack([f.terms.coefficient * f.weight[f.terms.owner] for f in fields])
         self.polynomial = np.stack([f.polynomial for f in fields])
+        some = (self.weight != 0).any(axis=0)
+        if self.one.modified is None and not some.all():
+            # terms without weight add nothing
+            self.directed, self.point, self.direction, self.weight = self.directed[some], self.point[:, some], self.direction[:, some], self.weight[:, some]
 
     def __call__(self, field: np.ndarray, points: np.ndarray, gradient: bool) -> np.ndarray:
         """The scalars (n, 1) or gradients (n, 3) at points (n, 4) of the fields with these numbers."""
-        cells = 4 * len(self.one.terms.owner) if self.one.modified is not None else len(self.one.terms.owner)
+        cells = 4 * len(self.one.terms.owner) if self.one.modified is not None else self.weight.shape[1]
         step = max(1, CELLS // max(1, cells))
         out = np.zeros((len(points), 3 if gradient else 1))
         for k in range(0, len(points), step):
@@ -75,7 +79,7 @@ class Fields:
         # one field is not copied for every point
         own = (lambda a: a[:1]) if len(self.point) == 1 else (lambda a: a[field])
         out = np.zeros((n, 3 if gradient else 1))
-        for mine in (~self.directed, self.directed) if len(one.weight) else ():
+        for mine in (~self.directed, self.directed) if self.weight.shape[1] else ():
             if mine.any():
                 out += self._kernel(own(self.point[:, mine]), own(self.direction[:, mine]), own(self.weight[:, mine]), points, bool(self.directed[mine].any()), gradient)
         if self.polynomial.shape[1]:

@@ -2,9 +2,9 @@
 
 Constraints are one tagged table: model_id, category (interface, inequality, planar, tangent), constraint_id (order of insertion),
 x, y, z, c, level, and vx, vy, vz (a planar's normal or a tangent). orogen.operators.layout makes the table of each model's unknowns with
-DataFrame operators; here the rows of a model meet in one task for the dense solution alone. A model of more than MOST_DOFS unknowns
-is refused, and its rows are not gathered beyond that, so a task's memory is bounded. Small linear models of one shape are solved
-together.
+DataFrame operators; here the rows of a model meet in one task for the dense solution alone. A linear model of more than MOST_DOFS unknowns
+is solved over the cluster (orogen.operators.iterative); one with inequalities or bounds is refused, and its rows are not gathered beyond that, so a task's
+memory is bounded. Small linear models of one shape are solved together.
 
 A fitted model is a row: the terms of its functionals, their weights, the polynomial's coefficients, or an error category.
 """
@@ -189,7 +189,18 @@ def cleaned(constraints: DataFrame) -> DataFrame:
 
 def fit(constraints: DataFrame, parameters: Parameters) -> DataFrame:
     """A row of MODELS for each model_id. Spark deals the models to tasks by model_id."""
+    from . import iterative
+
     parameters = parameters.checked()
+    large = iterative.large_of(constraints, parameters, MOST_DOFS)
+    if large is None:
+        return _fitted_in_tasks(constraints, parameters)
+    functionals, ids = large
+    return _fitted_in_tasks(constraints.filter(F.col("model_id").isNull() | ~F.col("model_id").isin(ids)), parameters).unionByName(iterative.models(functionals, parameters))
+
+
+def _fitted_in_tasks(constraints: DataFrame, parameters: Parameters) -> DataFrame:
+    """The models, each in one task."""
 
     def fitted(found: pd.DataFrame) -> pd.DataFrame:
         ids, rows = found["model_id"].to_numpy(), Rows.of(found)
