@@ -10,9 +10,10 @@ reached the threshold, in one byte. It has a size fixed beforehand (see _slots),
 started early, all over the cluster in the same scan, and whatever is started is counted for a full cycle; so the counts are exact
 and every phrase that reaches the threshold has been counted, as both its subphrases reached it too.
 
-A scan adds up equal phrases of a block exactly, by numbers given to its words, and then the whole scan's by (lang, phrase); each scan's counts are
-a table in the shared folder. The running sums that tell who has reached the threshold are kept by hash, and only of phrases that are still short
-of it and still in their cycle.
+A scan adds up equal phrases of a block exactly, by numbers given to its words, and sends on their hashes and counts alone. The running sums that
+tell who has reached the threshold are kept by hash, and only of phrases that are still short of it and still in their cycle; a phrase never
+has more than its hash. After the scans one pass over all blocks takes the phrases whose slots have reached the threshold as they are written, and
+these are added up by (lang, phrase): hashes that meet only let one more phrase into that pass, and the counts are exact.
 
 Defined cases: a null text counts as empty; a null lang is "und"; repeated rows count as often as they occur; blanks of any number separate words,
 and words of any length are words; extra columns are ignored; an empty table or one without frequent phrases gives an empty result. A long text is
@@ -21,8 +22,7 @@ cut between words into parts of about a megabyte, each followed by the words tha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,10 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Bits of a slot at least and at most: tables of 256 kB to 256 MB.
 SLOT_BITS = (18, 28)
 _NEVER = 255
+#: Bytes of one lang that make a block, and of all langs that a task holds: equal phrases of a block are one row.
+BLOCK_BYTES, HELD_BYTES = 1 << 20, 4 << 20
+#: Slots after the scans: phrases of up to three words have reached the threshold, those of four words too, these alone.
+_SHORT, _BOTH, _LONG = 0, 1, 254
 _SCALE = 2_000_000
 
 
@@ -64,7 +68,18 @@ def blocks(docs: DataFrame) -> DataFrame:
     """lang, block, own, shard: words with single blanks between, \\n before a word that begins a piece. `own` is the number of leading words
     whose phrases belong to the block; up to three more follow where a long text goes on."""
 
+    def row(lang: str, block: bytes, own: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([block], pa.binary()), pa.array([own], pa.int64())], names=["lang", "block", "own"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[bytes, int]]] = {}
+        sizes: dict[str, int] = {}
+
+        def told(lang: str) -> pa.RecordBatch:
+            some = held.pop(lang)
+            del sizes[lang]
+            return row(lang, b"".join(x for x, _ in some), sum(n for _, n in some))
+
         for batch in batches:
             langs, codes = np.unique(batch.column("lang").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
             for part in segments(batch, _BYTES, ahead=LONGEST - 1):
@@ -73,18 +88,25 @@ def blocks(docs: DataFrame) -> DataFrame:
                 begins = np.ones(len(words.doc), bool)
                 begins[1:] = (words.doc[1:] != words.doc[:-1]) | (n_ends[words.start[1:]] > n_ends[words.end[:-1]])
                 own = words.start - part.offsets[words.doc] < part.own[words.doc]
-                code, rows = codes[part.row[words.doc]], {"lang": [], "block": [], "own": []}
+                code = codes[part.row[words.doc]]
                 for c in np.unique(code):
-                    # words that are not the part's own come last: only a part alone has them
-                    of = np.flatnonzero(code == c)
-                    rows["lang"].append(langs[c])
-                    rows["block"].append(_joined(part.raw, words.start[of], words.end[of], begins[of]))
-                    rows["own"].append(int(own[of].sum()))
-                if rows["lang"]:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows["lang"], pa.string()), pa.array(rows["block"], pa.binary()), pa.array(rows["own"], pa.int64())], names=list(rows))
+                    # words that are not the part's own come last: only a part alone has them, and it stays a block of its own
+                    of, lang = np.flatnonzero(code == c), str(langs[c])
+                    block, n = _joined(part.raw, words.start[of], words.end[of], begins[of]), int(own[of].sum())
+                    if n < len(of):
+                        yield row(lang, block, n)
+                        continue
+                    held.setdefault(lang, []).append((block, n))
+                    sizes[lang] = sizes.get(lang, 0) + len(block)
+                    if sizes[lang] >= BLOCK_BYTES:
+                        yield told(lang)
+                    elif sum(sizes.values()) >= HELD_BYTES:
+                        yield told(max(sizes, key=sizes.get))
+        for lang in list(held):
+            yield told(lang)
 
     plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").filter("text IS NOT NULL")
-    return plain.mapInArrow(run, "lang string, block binary, own long").withColumn("shard", (F.monotonically_increasing_id() % SHARDS).cast("int"))
+    return plain.mapInArrow(run, "lang string, block binary, own long").withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SHARDS)).cast("int"))
 
 
 def _joined(raw: np.ndarray, start: np.ndarray, end: np.ndarray, begins: np.ndarray) -> bytes:
@@ -131,7 +153,7 @@ class _Phrases:
         _, place, which = np.unique(left[at] * np.int64(len(self.value)) + right[at], return_index=True, return_inverse=True)
         least = at[place]
         one, other = left[least], right[least]
-        reached = since[(self.value >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64)
+        reached = since[_slot(self.value, bits)].astype(np.int64)
         # a slot that is shared may be on before the subphrase itself has begun
         ready = np.maximum(reached + 1, self.begun)
         begun = np.maximum(ready[one], ready[other])
@@ -142,8 +164,12 @@ class _Phrases:
         return _Phrases(ids, least[started], value[started], begun[started])
 
 
-def _counted(block: bytes, own: int, lang: bytes, step: int, since: np.ndarray, bits: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length the different phrases of a block that are counted in scan `step`: length, phrases, hashes, counts, scan after the last."""
+def _slot(value: np.ndarray, bits: int) -> np.ndarray:
+    return (value >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _begun(block: bytes, own: int, lang: bytes, step: int, since: np.ndarray, bits: int) -> Iterator[tuple[int, _Phrases, np.ndarray, Callable[[np.ndarray], pa.Array]]]:
+    """For each length the different phrases of a block that have started by scan `step`: length, phrases, counts, what writes some of them."""
     raw = np.frombuffer(block, np.uint8)
     first = np.flatnonzero((raw == 32) | (raw == 10))
     start, end, joins = first + 1, np.append(first[1:], len(raw)), raw[first] == 32
@@ -154,68 +180,91 @@ def _counted(block: bytes, own: int, lang: bytes, step: int, since: np.ndarray,
         if k > 1:
             some = some.longer(k, joins, step, since, bits)
         mine = some.ids[:own]
-        n = np.bincount(mine[mine >= 0], minlength=len(some.value))
-        told = np.flatnonzero((n > 0) & (step < some.begun + SHARDS))
-        if len(told):
-            at = some.least[told]
-            yield k, _texts(raw, start[at], end[at + k - 1]), some.value[told], n[told], some.begun[told] + SHARDS
+        yield k, some, np.bincount(mine[mine >= 0], minlength=len(some.value)), lambda which: _texts(raw, start[some.least[which]], end[some.least[which] + k - 1])  # noqa: B023
         if not len(some.value):
             return
 
 
+def _counted(block: bytes, own: int, lang: bytes, step: int, since: np.ndarray, bits: int, texts: bool = True) -> Iterator[tuple[int, pa.Array | None, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length the different phrases of a block that are counted in scan `step`: length, phrases, hashes, counts, scan after the last."""
+    for k, some, n, write in _begun(block, own, lang, step, since, bits):
+        told = np.flatnonzero((n > 0) & (step < some.begun + SHARDS))
+        if len(told):
+            yield k, write(told) if texts else None, some.value[told], n[told], some.begun[told] + SHARDS
+
+
 def _scan(shard: DataFrame, step: int, since: np.ndarray, bits: int) -> DataFrame:
-    """lang, phrase, k, hash, until, n of what is counted in one scan, added up."""
+    """hash, until, n of the phrases of each block that are counted in one scan. The lowest bit of a hash is whether a longer phrase can follow."""
     slots = shard.sparkSession.sparkContext.broadcast(since)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, block, own in zip(*(batch.column(c) for c in ("lang", "block", "own")), strict=True):
-                for k, phrase, value, n, until in _counted(block.as_py(), own.as_py(), lang.as_py().encode(), step, slots.value, bits):
-                    same = lambda x, kind: pa.repeat(pa.scalar(x, kind), len(phrase))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays(
-                        [same(lang.as_py(), pa.string()), phrase, same(k, pa.int32()), pa.array(value.view(np.int64)), pa.array(until.astype(np.int32)), pa.array(n)],
-                        names=["lang", "phrase", "k", "hash", "until", "n"],
-                    )
+                for k, _, value, n, until in _counted(block.as_py(), own.as_py(), lang.as_py().encode(), step, slots.value, bits, texts=False):
+                    key = value & ~np.uint64(1) | np.uint64(k < LONGEST)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(until.astype(np.int32)), pa.array(n)], names=["hash", "until", "n"])
 
-    found = shard.select("lang", "block", "own").mapInArrow(run, "lang string, phrase string, k int, hash long, until int, n long")
-    return found.groupBy("lang", "phrase").agg(*(F.max(c).alias(c) for c in ("k", "hash", "until")), F.sum("n").alias("n"))
+    return shard.select("lang", "block", "own").mapInArrow(run, "hash long, until int, n long")
 
 
-def _reached(running: DataFrame, bits: int, threshold: int) -> np.ndarray:
-    """The slots of phrases whose running sum is at the threshold, as bitmaps of 32,768 slots each."""
+def _reached(running: DataFrame, bits: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of phrases whose running sum is at the threshold, as bitmaps of 32,768 slots each: of phrases that a longer one can follow, and
+    of the longest."""
     slot = F.shiftrightunsigned("hash", 64 - bits) + 1
-    of = running.filter(F.col("n") >= threshold).select(slot.alias("slot"))
-    maps = of.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    found = np.zeros(1 << bits, bool)
+    of = running.filter(F.col("n") >= threshold).select(slot.alias("slot"), F.col("hash").bitwiseAND(1).alias("short"))
+    maps = of.groupBy("short", F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+    found = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
     for row in maps:
         on = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little").astype(bool)
-        at = (row["part"] - 1) * len(on)
-        found[at : at + len(on)] = on[: len(found) - at]
+        at, own = (row["part"] - 1) * len(on), found[0 if row["short"] else 1]
+        own[at : at + len(on)] = on[: len(own) - at]
     return found
 
 
-def counts(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, list[DataFrame]]:
-    """lang, phrase, k, n to be added up: the sums of words and of whatever reaches the threshold are those of all texts. Beside it the scans'
-    tables, which it reads: the caller forgets them."""
+def _written_out(cut: DataFrame, slots: np.ndarray, bits: int) -> DataFrame:
+    """lang, phrase, k, n of the phrases of each block whose slot has reached the threshold."""
+    known = cut.sparkSession.sparkContext.broadcast(slots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, block, own in zip(*(batch.column(c) for c in ("lang", "block", "own")), strict=True):
+                for k, some, n, write in _begun(block.as_py(), own.as_py(), lang.as_py().encode(), _BOTH + 1, known.value, bits):
+                    slot = known.value[_slot(some.value, bits)]
+                    told = np.flatnonzero((n > 0) & ((slot == _BOTH) | (slot == (_SHORT if k < LONGEST else _LONG))))
+                    same = lambda x, kind: pa.repeat(pa.scalar(x, kind), len(told))  # noqa: B023, E731
+                    if len(told):
+                        yield pa.RecordBatch.from_arrays([same(lang.as_py(), pa.string()), write(told), same(k, pa.int32()), pa.array(n[told])], names=["lang", "phrase", "k", "n"])
+
+    return cut.select("lang", "block", "own").mapInArrow(run, "lang string, phrase string, k int, n long")
+
+
+def counts(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """lang, phrase, k, n of the phrases of all texts that reach the threshold, and lang, n of all words; both are written."""
     small_batches(docs.sparkSession)
     cut = written(blocks(docs), "phrases-blocks", by="shard")
     total = cut.agg(F.coalesce(F.sum(F.octet_length("block")), F.lit(0))).first()[0]
-    bits, scans, running, last, step = _slots(total), [], None, -1, 0
-    since = np.full(1 << bits, _NEVER, np.uint8)
+    bits, running, last, step = _slots(total), None, -1, 0
+    since, longest = np.full(1 << bits, _NEVER, np.uint8), np.zeros(1 << bits, bool)
     while step <= last + SHARDS:
-        scans.append(written(_scan(cut.filter(F.col("shard") == step % SHARDS), step, since, bits), "phrases-scan"))
-        new = scans[-1].filter(F.col("k") < LONGEST).select("hash", "until", "n")
+        new = _scan(cut.filter(F.col("shard") == step % SHARDS), step, since, bits)
         if running is not None:
             new = new.unionByName(running.filter((F.col("n") < threshold) & (F.col("until") > step)))
         before, running = running, written(new.groupBy("hash").agg(F.max("until").alias("until"), F.sum("n").alias("n")), "phrases-running")
-        fresh = _reached(running, bits, threshold) & (since == _NEVER)
+        short, long = _reached(running, bits, threshold)
+        fresh, longest = short & (since == _NEVER), longest | long
         if fresh.any():
             since[fresh], last = step, step
         if before is not None:
             forget(before, shuffles=step % SHARDS == 0)
         step += 1
+    # in bytes throughout: the driver holds the table too
+    slots, short = np.full(1 << bits, _NEVER, np.uint8), since != _NEVER
+    slots[longest], slots[short] = _LONG, _SHORT
+    slots[short & longest] = _BOTH
+    known = _written_out(cut, slots, bits).groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.sum("n").alias("n")).filter(F.col("n") >= threshold)
+    known, words = written(known, "phrases-known"), written(cut.groupBy("lang").agg(F.sum("own").alias("n")), "phrases-words")
     forget(cut, running)
-    return reduce(DataFrame.unionByName, (s.select("lang", "phrase", "k", "n") for s in scans)), scans
+    return known, words
 
 
 def _subphrases(phrase: Column, shortest: int, longest: int) -> Column:
@@ -227,11 +276,7 @@ def _subphrases(phrase: Column, shortest: int, longest: int) -> Column:
 
 def collocations(docs: DataFrame, top: int = TOP, threshold: int = THRESHOLD) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first `top` phrases of each lang."""
-    scanned, scans = counts(docs, threshold)
-    sums = scanned.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.sum("n").alias("n"))
-    words = written(scanned.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n")), "phrases-words")
-    known = written(sums.filter(F.col("n") >= threshold), "phrases-known")
-    forget(*scans)
+    known, words = counts(docs, threshold)
     candidates = known.filter("k > 1").select("lang", "phrase", "k", F.col("n").alias("a"))
     # the largest count of a longer candidate around a phrase
     inner = candidates.filter("k > 2").select("lang", "a", F.explode(F.array_distinct(_subphrases(F.col("phrase"), 2, LONGEST - 1))).alias("phrase"), F.col("phrase").alias("around"))

@@ -107,3 +107,25 @@ def test_a_phrase_waits_for_both_subphrases():
     found = {k: ([p.as_py() for p in some], until.tolist()) for k, some, _, _, until in phrases._counted(block, 3, b"en", 3, since, 18)}
     assert found[2] == (["a b"], [3 + phrases.SHARDS])
     assert [k for k, *_ in phrases._counted(block, 3, b"en", 7, since, 18)] == []
+
+
+def test_many_small_texts_make_one_block_of_a_lang(spark):
+    rng = random.Random(7)
+    words = vocabulary(rng, 40)
+    rows = [(rng.choice(["en", "de"]), " ".join(rng.choice(words) for _ in range(6))) for _ in range(2500)]
+    docs = table(spark, [t for _, t in rows], [lang for lang, _ in rows]).coalesce(1)
+    phrases.small_batches(spark)
+    found = phrases.blocks(docs).collect()
+    assert sorted(r["lang"] for r in found) == ["de", "en"] and sum(r["own"] for r in found) == 15_000
+    # a scan sends no phrases, only their hashes
+    scan = phrases._scan(phrases.blocks(docs), 0, np.full(1 << 18, 255, np.uint8), 18)
+    assert scan.columns == ["hash", "until", "n"] and scan.count() == 80
+
+
+def test_phrases_of_four_words_that_share_a_slot_with_shorter_ones(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SLOT_BITS", (6, 6))
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 500)
+    rows = corpus(11, 150)
+    docs = table(spark, [t for _, t in rows], [lang for lang, _ in rows])
+    want = plain(rows, 4)
+    assert sorted(tuple(r) for r in phrases.collocations(docs, threshold=4).collect()) == want and any(len(r[2].split()) == 4 for r in want)
