@@ -4,7 +4,7 @@ Constraints are one tagged table: model_id, category (interface, inequality, pla
 x, y, z, c, level, and vx, vy, vz (a planar's normal or a tangent). orogen.operators.layout makes the table of each model's unknowns with
 DataFrame operators; here the rows of a model meet in one task for the dense solution alone. A linear model of more than MOST_DOFS unknowns
 is solved over the cluster (orogen.operators.iterative); one with inequalities or bounds is refused, and its rows are not gathered beyond that, so a task's
-memory is bounded. Small linear models of one shape are solved together.
+memory is bounded. Small models of one shape are solved together.
 
 A fitted model is a row: the terms of its functionals, their weights, the polynomial's coefficients, or an error category.
 """
@@ -123,6 +123,20 @@ def _modified(found: Rows, parameters: Parameters) -> ModifiedKernel:
     return ModifiedKernel(unisolvent_points([found.of_sections(layout.BASIS).first[:, :3]]), parameters.kernel, parameters.shape, _transform(found, parameters))
 
 
+def _modified_stack(systems: list[Rows], parameters: Parameters) -> ModifiedKernel:
+    points = np.stack([unisolvent_points([s.of_sections(layout.BASIS).first[:, :3]]) for s in systems])
+    return ModifiedKernel(points, parameters.kernel, parameters.shape)
+
+
+def _programs(systems: list[Rows], parameters: Parameters) -> tuple[dense.Terms, list[quadratic.Solution | FieldError], ModifiedKernel]:
+    """What _quadratic() gives for several models with inequalities of one shape, as stacks."""
+    own = [s.unknowns for s in systems]
+    terms, kernel = terms_of(own), _modified_stack(systems, parameters)
+    whole, n = kernel.matrix(terms, terms), int((own[0].section <= layout.LITHOLOGY).sum())
+    sign, lower, _, value = np.moveaxis(np.stack([o.bounds for o in own]), -1, 0)
+    return terms, quadratic.constrained_all(whole, whole[:, n:], value[:, n:], whole[:, :n] * sign[:, :n, None], lower[:, :n]), kernel
+
+
 def _quadratic(found: Rows, parameters: Parameters) -> tuple[dense.Terms, quadratic.Solution, ModifiedKernel]:
     """Terms, weights with their multipliers, and modified kernel: the least energy that meets the inequalities or bounds."""
     own = found.unknowns
@@ -148,9 +162,33 @@ def _fitted(terms: dense.Terms, k: int | None, weight: np.ndarray) -> dict:
     return {"owner": terms.owner, "coefficient": pick(terms.coefficient), "point": pick(terms.point).ravel(), "direction": pick(terms.direction).ravel(), "weight": weight[:n], "polynomial": weight[n:], "n_dofs": len(weight)}
 
 
+def _fitted_programs(part: list[tuple[int, Rows]], parameters: Parameters) -> list[dict]:
+    """The rows of models with inequalities or bounds of one shape."""
+    if len(part) > 1:
+        try:
+            terms, solutions, kernel = _programs([found for _, found in part], parameters)
+        except FieldError:
+            # one that cannot be set up fails the stack: each for itself
+            return [row for one in part for row in _fitted_programs([one], parameters)]
+    else:
+        try:
+            terms, solution, kernel = _quadratic(part[0][1], parameters)
+            solutions = [solution]
+        except FieldError as e:
+            solutions = [e]
+    out = []
+    for k, ((model_id, _), s) in enumerate(zip(part, solutions, strict=True)):
+        if isinstance(s, FieldError):
+            out.append(_row(model_id, parameters, s.category))
+            continue
+        own, points = (k, kernel.points[k]) if len(part) > 1 else (None, kernel.points)
+        out.append(_row(model_id, parameters) | _fitted(terms, own, s.x) | {"transform": None if kernel.transform is None else kernel.transform.astype(float).ravel(), "basis_points": points.ravel(), "iterations": s.iterations, "dual": s.dual, "slack": s.slack, "tolerance": s.tolerance})
+    return out
+
+
 def fit_many(models: list[tuple[int, Rows]], parameters: Parameters) -> list[dict]:
     """The rows of some models."""
-    out, alike = [], {}
+    out, alike, programs = [], {}, {}
     restricted = parameters.restricted and parameters.model in (SINGLE_SURFACE, LAJAUNIE, STRATIGRAPHIC)
     for model_id, found in models:
         own, error = found.unknowns, found.error[0]
@@ -159,14 +197,14 @@ def fit_many(models: list[tuple[int, Rows]], parameters: Parameters) -> list[dic
         if isinstance(error, str) or not len(own.section):
             out.append(_row(model_id, parameters, error if isinstance(error, str) else None))
         elif restricted or (own.section <= layout.LITHOLOGY).any():
-            try:
-                terms, s, kernel = _quadratic(found, parameters)
-                out.append(_row(model_id, parameters) | _fitted(terms, None, s.x) | {"transform": None if kernel.transform is None else kernel.transform.astype(float).ravel(), "basis_points": kernel.points.ravel(), "iterations": s.iterations, "dual": s.dual, "slack": s.slack, "tolerance": s.tolerance})
-            except FieldError as e:
-                out.append(_row(model_id, parameters, e.category))
+            alone = restricted or parameters.anisotropy or len(own.section) > SMALL
+            programs.setdefault((model_id,) if alone else (*own.shape(), own.section.tobytes()), []).append((model_id, found))
         else:
             alone = parameters.anisotropy or len(own.section) > SMALL
             alike.setdefault((model_id,) if alone else own.shape(), []).append((model_id, own))
+    for some in programs.values():
+        for part in (some[k : k + BATCH] for k in range(0, len(some), BATCH)):
+            out += _fitted_programs(part, parameters)
     for some in alike.values():
         for part in (some[k : k + BATCH] for k in range(0, len(some), BATCH)):
             try:

@@ -47,7 +47,8 @@ def unisolvent_points(groups: list[np.ndarray]) -> np.ndarray:
 
 @dataclass
 class ModifiedKernel:
-    """K(p, q) less its interpolation by planes in both arguments. The points' own values count as 1."""
+    """K(p, q) less its interpolation by planes in both arguments. The points' own values count as 1. A stack of points, each for a model,
+    takes stacked terms."""
 
     points: np.ndarray
     kernel: str
@@ -55,20 +56,21 @@ class ModifiedKernel:
     transform: np.ndarray | None = None
 
     def __post_init__(self):
-        whole = np.concatenate([self.points, np.ones((len(self.points), 1))], axis=1)
+        one = np.ones((*self.points.shape[:-1], 1))
+        whole = np.concatenate([self.points, one], axis=-1)
         size = abs(np.linalg.det(whole))
-        if not size > 0 or not np.isfinite(size):
+        if not (size > 0).all() or not np.isfinite(size).all():
             raise FieldError("InvalidInputData", "the four points lie in a plane")
         #: Columns are the polynomials' coefficients of x, y, z, 1.
         self.coefficients = np.linalg.inv(whole)
-        self.terms = dense.Terms.build([dense.value(np.append(p, 0.0)) for p in self.points])
+        self.terms = dense.Terms(np.arange(4), one[..., 0], np.concatenate([self.points, 0 * one], axis=-1), np.zeros(self.points.shape))
         self.between = dense.kernel_matrix(self.terms, self.terms, self.kernel, self.shape, self.transform)
-        np.fill_diagonal(self.between, 1.0)
+        self.between[..., np.arange(4), np.arange(4)] = 1.0
 
     def planes(self, a: dense.Terms) -> np.ndarray:
         return dense.polynomial_matrix(a, 1) @ self.coefficients
 
     def matrix(self, a: dense.Terms, b: dense.Terms) -> np.ndarray:
         of = lambda x, y: dense.kernel_matrix(x, y, self.kernel, self.shape, self.transform)
-        p, q = self.planes(a), self.planes(b)
-        return of(a, b) - p @ of(self.terms, b) - of(a, self.terms) @ q.T + p @ self.between @ q.T
+        p, q = self.planes(a), np.swapaxes(self.planes(b), -1, -2)
+        return of(a, b) - p @ of(self.terms, b) - of(a, self.terms) @ q + p @ self.between @ q
