@@ -6,7 +6,7 @@ first word) have reached the threshold, and each for exactly one full cycle. So
 words seldom waits for the fourth pass over the texts. The scans end when no started phrase lacks a shard.
 
 Which phrases have started is told to the tasks by a table of slots: for each hash of a phrase the scan in which it was first seen to have
-reached the threshold, in one byte. It has a size fixed beforehand (see _slots), whatever the number of phrases. Phrases that share a slot can only be
+reached the threshold, in half a byte. The driver holds that table, a bit a slot and the bits of one scan, and its copies for the tasks go after each scan. It has a size fixed beforehand (see _slots), whatever the number of phrases. Phrases that share a slot can only be
 started early, all over the cluster in the same scan, and whatever is started is counted for a full cycle; so the counts are exact
 and every phrase that reaches the threshold has been counted, as both its subphrases reached it too.
 
@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +36,16 @@ from .shared import Words, forget, hashes, mixed, segments, small_batches, table
 LONGEST, THRESHOLD, SHARDS, COVERED, TOP = 4, 30, 4, 80, 2000
 #: Fixed by the contract: what ends a piece.
 ENDS = b".,;:!?\n\x0b\x0c\r"
-#: Bits of a slot at least and at most: tables of 256 kB to 256 MB.
+#: Bits of a slot at least and at most: tables of 128 kB to 128 MB.
 SLOT_BITS = (18, 28)
-_NEVER = 255
+#: Fits half a byte: phrases of k words have reached the threshold by scan SHARDS * k - 1.
+_NEVER = 15
+#: Slots of a bitmap of Spark's.
+_MAP = 1 << 15
 #: Bytes of one lang that make a block, and of all langs that a task holds: equal phrases of a block are one row.
 BLOCK_BYTES, HELD_BYTES = 1 << 20, 4 << 20
 #: Slots after the scans: phrases of up to three words have reached the threshold, those of four words too, these alone.
-_SHORT, _BOTH, _LONG = 0, 1, 254
+_SHORT, _BOTH, _LONG = 0, 1, 14
 _SCALE = 2_000_000
 
 
@@ -168,6 +172,25 @@ def _slot(value: np.ndarray, bits: int) -> np.ndarray:
     return (value >> np.uint64(64 - bits)).astype(np.int64)
 
 
+class _Table:
+    """What half bytes say of some slots; two slots are a byte, the even one its lower half."""
+
+    def __init__(self, halves: np.ndarray):
+        self.halves = halves
+
+    def __getitem__(self, slot: np.ndarray) -> np.ndarray:
+        return self.halves[slot >> 1] >> (slot & 1).astype(np.uint8) * np.uint8(4) & np.uint8(15)
+
+
+def _bits(halves: np.ndarray) -> np.ndarray:
+    """Slots of a part of a table, one by one."""
+    return np.stack([halves & np.uint8(15), halves >> np.uint8(4)], axis=1).ravel()
+
+
+def _halves(slots: np.ndarray) -> np.ndarray:
+    return slots[::2] | slots[1::2] << np.uint8(4)
+
+
 def _begun(block: bytes, own: int, lang: bytes, step: int, since: np.ndarray, bits: int) -> Iterator[tuple[int, _Phrases, np.ndarray, Callable[[np.ndarray], pa.Array]]]:
     """For each length the different phrases of a block that have started by scan `step`: length, phrases, counts, what writes some of them."""
     raw = np.frombuffer(block, np.uint8)
@@ -193,43 +216,66 @@ def _counted(block: bytes, own: int, lang: bytes, step: int, since: np.ndarray,
             yield k, write(told) if texts else None, some.value[told], n[told], some.begun[told] + SHARDS
 
 
-def _scan(shard: DataFrame, step: int, since: np.ndarray, bits: int) -> DataFrame:
-    """hash, until, n of the phrases of each block that are counted in one scan. The lowest bit of a hash is whether a longer phrase can follow."""
-    slots = shard.sparkSession.sparkContext.broadcast(since)
+def _scan(shard: DataFrame, step: int, table: np.ndarray, bits: int) -> DataFrame:
+    """hash, until, n of the phrases of each block that are counted in one scan. The lowest bit of a hash is whether a longer phrase can follow.
+    Its `slots` are the table's copies, to be destroyed once it has been written."""
+    slots = shard.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        since = _Table(slots.value)
         for batch in batches:
             for lang, block, own in zip(*(batch.column(c) for c in ("lang", "block", "own")), strict=True):
-                for k, _, value, n, until in _counted(block.as_py(), own.as_py(), lang.as_py().encode(), step, slots.value, bits, texts=False):
+                for k, _, value, n, until in _counted(block.as_py(), own.as_py(), lang.as_py().encode(), step, since, bits, texts=False):
                     key = value & ~np.uint64(1) | np.uint64(k < LONGEST)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(until.astype(np.int32)), pa.array(n)], names=["hash", "until", "n"])
 
-    return shard.select("lang", "block", "own").mapInArrow(run, "hash long, until int, n long")
+    found = shard.select("lang", "block", "own").mapInArrow(run, "hash long, until int, n long")
+    found.slots = slots
+    return found
 
 
-def _reached(running: DataFrame, bits: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """The slots of phrases whose running sum is at the threshold, as bitmaps of 32,768 slots each: of phrases that a longer one can follow, and
-    of the longest."""
+def _reached(running: DataFrame, bits: int, threshold: int, step: int, since: np.ndarray, longest: np.ndarray) -> bool:
+    """Sets the slots whose running sum is at the threshold: of phrases that a longer one can follow in `since`, where it was not before, of the longest
+    in the bits of `longest`. Whether there are new ones in `since`. They come as bitmaps of _MAP slots, each set in its place."""
     slot = F.shiftrightunsigned("hash", 64 - bits) + 1
     of = running.filter(F.col("n") >= threshold).select(slot.alias("slot"), F.col("hash").bitwiseAND(1).alias("short"))
     maps = of.groupBy("short", F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    found = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+    new = False
     for row in maps:
-        on = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little").astype(bool)
-        at, own = (row["part"] - 1) * len(on), found[0 if row["short"] else 1]
-        own[at : at + len(on)] = on[: len(own) - at]
-    return found
+        at, on = (row["part"] - 1) * _MAP, np.frombuffer(row["bits"], np.uint8)
+        if not row["short"]:
+            part = longest[at // 8 : (at + _MAP) // 8]
+            part |= on[: len(part)]
+            continue
+        part = since[at // 2 : (at + _MAP) // 2]
+        slots = _bits(part)
+        fresh = np.unpackbits(on, bitorder="little")[: len(slots)].astype(bool) & (slots == _NEVER)
+        if fresh.any():
+            slots[fresh], new = step, True
+            part[:] = _halves(slots)
+    return new
 
 
-def _written_out(cut: DataFrame, slots: np.ndarray, bits: int) -> DataFrame:
+def _ended(since: np.ndarray, longest: np.ndarray) -> None:
+    """Makes the table of the scans that of the slots after them."""
+    for at in range(0, len(longest), _MAP // 8):
+        part = since[at * 4 : at * 4 + _MAP // 2]
+        slots, long = _bits(part), np.unpackbits(longest[at : at + _MAP // 8], bitorder="little").astype(bool)
+        short = slots != _NEVER
+        slots[long], slots[short] = _LONG, _SHORT
+        slots[short & long] = _BOTH
+        part[:] = _halves(slots)
+
+
+def _written_out(cut: DataFrame, known: Broadcast, bits: int) -> DataFrame:
     """lang, phrase, k, n of the phrases of each block whose slot has reached the threshold."""
-    known = cut.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached = _Table(known.value)
         for batch in batches:
             for lang, block, own in zip(*(batch.column(c) for c in ("lang", "block", "own")), strict=True):
-                for k, some, n, write in _begun(block.as_py(), own.as_py(), lang.as_py().encode(), _BOTH + 1, known.value, bits):
-                    slot = known.value[_slot(some.value, bits)]
+                for k, some, n, write in _begun(block.as_py(), own.as_py(), lang.as_py().encode(), _BOTH + 1, reached, bits):
+                    slot = reached[_slot(some.value, bits)]
                     told = np.flatnonzero((n > 0) & ((slot == _BOTH) | (slot == (_SHORT if k < LONGEST else _LONG))))
                     same = lambda x, kind: pa.repeat(pa.scalar(x, kind), len(told))  # noqa: B023, E731
                     if len(told):
@@ -244,25 +290,25 @@ def counts(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, Data
     cut = written(blocks(docs), "phrases-blocks", by="shard")
     total = cut.agg(F.coalesce(F.sum(F.octet_length("block")), F.lit(0))).first()[0]
     bits, running, last, step = _slots(total), None, -1, 0
-    since, longest = np.full(1 << bits, _NEVER, np.uint8), np.zeros(1 << bits, bool)
+    since, longest = np.full(1 << bits - 1, _NEVER << 4 | _NEVER, np.uint8), np.zeros(1 << bits - 3, np.uint8)
     while step <= last + SHARDS:
         new = _scan(cut.filter(F.col("shard") == step % SHARDS), step, since, bits)
+        slots = new.slots
         if running is not None:
             new = new.unionByName(running.filter((F.col("n") < threshold) & (F.col("until") > step)))
         before, running = running, written(new.groupBy("hash").agg(F.max("until").alias("until"), F.sum("n").alias("n")), "phrases-running")
-        short, long = _reached(running, bits, threshold)
-        fresh, longest = short & (since == _NEVER), longest | long
-        if fresh.any():
-            since[fresh], last = step, step
+        # written, so no task asks for this table again
+        slots.destroy()
+        if _reached(running, bits, threshold, step, since, longest):
+            last = step
         if before is not None:
             forget(before, shuffles=step % SHARDS == 0)
         step += 1
-    # in bytes throughout: the driver holds the table too
-    slots, short = np.full(1 << bits, _NEVER, np.uint8), since != _NEVER
-    slots[longest], slots[short] = _LONG, _SHORT
-    slots[short & longest] = _BOTH
+    _ended(since, longest)
+    slots = docs.sparkSession.sparkContext.broadcast(since)
     known = _written_out(cut, slots, bits).groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.sum("n").alias("n")).filter(F.col("n") >= threshold)
     known, words = written(known, "phrases-known"), written(cut.groupBy("lang").agg(F.sum("own").alias("n")), "phrases-words")
+    slots.destroy()
     forget(cut, running)
     return known, words
 
